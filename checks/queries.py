@@ -53,17 +53,35 @@ def check(covers: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round the floating-point columns, so that engines that add in another order agree."""
+def rounded(df: DataFrame) -> DataFrame:
+    """Round the floating-point columns to six places, so that engines that add in another order agree.
+
+    The limit lies just below one half, so that a tie blurred by the order of adding still goes up.
+    """
     doubles = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-    return df.select(*[round_half_up(F.col(c), digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[
+        (F.floor(F.col(c) * 1e6 + 0.5001) / 1e6).alias(c) if c in doubles else F.col(c) for c in df.columns
+    ])
+
+
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """Store a layer bucketed by place, as many buckets as the session has shuffle partitions."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return tables.write_bucketed(df, path.rsplit("/", 1)[1].replace("-", "_"), path, "location_id", buckets, KEY)
 
 
 class Gold:
-    """The modelled layers of one folder. The facts are stored once, as several models read them."""
+    """The modelled layers of one folder. The facts are stored once, as several models read them.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.fact = store(proxy.fact(spark, folder), "fact")
+    Bucketed by place, the models above need no further shuffle. The split forms of the models take
+    plain files instead, so that a long series is not tied to one bucket.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, split: bool = False):
+        facts = proxy.fact(spark, folder)
+        self.fact = store(facts, "fact") if split else bucketed(facts, "fact")
         self.locations = proxy.dim_location(spark, folder)
         self.baseline = climate.climate_baseline(self.fact, proxy.BASELINE)
         self.anomaly = climate.climate_anomaly(self.fact, self.baseline)
@@ -217,7 +235,7 @@ _LATEST_EVENT = """
     where rn = 1"""
 
 
-@check("W11 ST5", _LATEST_EVENT.format(value=o.r("value", 6)))
+@check("W11 ST5", _LATEST_EVENT.format(value=o.six_of("value")))
 def latest_event(spark, folder):
     """The latest of many versions per key, as an aggregate."""
     events = proxy.table(spark, folder, "events").withColumn("day", F.col("ts").cast("date"))
@@ -407,10 +425,9 @@ def anomaly(spark, folder):
 @check("M7 W2 W3 W4", _ANOMALY)
 def anomaly_split(spark, folder):
     """As ``anomaly``, with no task ever holding more than a year of one place."""
-    gold = Gold(spark, folder)
+    gold = Gold(spark, folder, split=True)
     stored = store(climate.deviations(gold.fact, gold.baseline), "deviations")
-    runs = series.run_lengths_split(stored, *KEY, "is_hot_day")
-    return rounded(climate.flag_waves(runs, RunParams()))
+    return rounded(climate.flag_waves(series.run_lengths_split(stored, *KEY, "is_hot_day"), RunParams()))
 
 
 @check(
@@ -432,7 +449,7 @@ def hot_runs(spark, folder):
 
 @check(
     "J1",
-    f"""select season_code, {o.r('avg(temperature_mean_c)', 6)} as mean_c, count(*) as days
+    f"""select season_code, {o.six_of('avg(temperature_mean_c)')} as mean_c, count(*) as days
         from fact join dim_date using (date_key) group by season_code""",
 )
 def season_means(spark, folder):
@@ -463,15 +480,15 @@ def feature_table(spark, folder):
 @check("M8 W5 W6 W7 W8 W9", _FEATURES)
 def feature_table_split(spark, folder):
     """As ``feature_table``, with each place's days cut into blocks that overlap by the frames' reach."""
-    gold = Gold(spark, folder)
-    stored = store(gold.anomaly, "anomaly")
-    return rounded(features.temperature_features(stored, gold.fact, gold.locations, split=True))
+    gold = Gold(spark, folder, split=True)
+    days = store(climate.deviations(gold.fact, gold.baseline), "deviations")
+    return rounded(features.temperature_features(days, gold.fact, gold.locations, split=True))
 
 
 @check(
     "P11",
-    f"""select event_type, {o.r('sum(sin(2 * pi() * dayofyear(ts) / 365.25))', 6)} as sine,
-               {o.r('sum(cos(2 * pi() * dayofyear(ts) / 365.25))', 6)} as cosine
+    f"""select event_type, {o.six_of('sum(sin(2 * pi() * dayofyear(ts) / 365.25))')} as sine,
+               {o.six_of('sum(cos(2 * pi() * dayofyear(ts) / 365.25))')} as cosine
         from events group by event_type""",
 )
 def cyclical(spark, folder):
@@ -542,7 +559,7 @@ def backtest_metrics(spark, folder):
 
 @check(
     "A11",
-    "select horizon, " + ", ".join(f"{o.r(f'avg({m})', 6)} as {m}" for m in _METRICS) + " from metrics group by horizon",
+    "select horizon, " + ", ".join(f"{o.six_of(f'avg({m})')} as {m}" for m in _METRICS) + " from metrics group by horizon",
 )
 def mean_metrics(spark, folder):
     return rounded(backtest.mean_metrics(_closed_form_metrics(spark, folder)))
@@ -622,7 +639,7 @@ def forecast_latest(spark, folder):
     "A17",
     """select location_id, target_date, horizon_days, week_low_c, week_high_c,
               """ + ", ".join(
-        f"{o.r(f'(temperature_{q}_c - week_low_c) / (case when week_high_c = week_low_c then 1 else week_high_c - week_low_c end) * 100', 6)}"
+        f"{o.six_of(f'(temperature_{q}_c - week_low_c) / (case when week_high_c = week_low_c then 1 else week_high_c - week_low_c end) * 100')}"
         f" as {q}_position" for q in ("low", "mid", "high")
     ) + """
        from (select *, min(temperature_low_c) over (partition by location_id) as week_low_c,
@@ -634,7 +651,7 @@ def forecast_week(spark, folder):
 
 @check(
     "T7",
-    f"""select event_id, {o.r('x[1]', 6)} as low, {o.r('x[2]', 6)} as mid, {o.r('x[3]', 6)} as high from (
+    f"""select event_id, {o.six_of('x[1]')} as low, {o.six_of('x[2]')} as mid, {o.six_of('x[3]')} as high from (
         select event_id, list_sort([value, 100 - value, 50.0]) as x from events)""",
 )
 def ordered_quantiles(spark, folder):
@@ -768,9 +785,9 @@ def year_scale(spark, folder):
 
 @check(
     "W12",
-    f"""select location_id, year, anomaly_c, {o.r('''case when row_number() over (partition by location_id
+    f"""select location_id, year, anomaly_c, {o.six_of('''case when row_number() over (partition by location_id
             order by year) >= 3 then avg(anomaly_c) over (partition by location_id order by year
-            rows between 2 preceding and current row) end''', 6)} as moving_mean from city_yearly""",
+            rows between 2 preceding and current row) end''')} as moving_mean from city_yearly""",
 )
 def moving_average(spark, folder):
     """The trailing mean over years, here of three because the tables cover seven."""
@@ -848,7 +865,7 @@ def wording(spark, folder):
 
 @check(
     "P16",
-    f"select event_id, case when value > 0 then {o.r('sqrt(value)', 6)} end as root from events",
+    f"select event_id, case when value > 0 then {o.six_of('sqrt(value)')} end as root from events",
 )
 def nan_cleaned(spark, folder):
     """NaN becomes NULL on the way out."""
@@ -991,7 +1008,7 @@ def staleness(spark, folder):
 
 def _serving_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     gold = Gold(spark, folder)
-    gold.anomaly = store(gold.anomaly, "anomaly")
+    gold.anomaly = bucketed(gold.anomaly, "anomaly")
     long = features.long_targets(gold.features)
     rows = backtest.test_rows(long, proxy.BACKTEST.test_years[0], proxy.BACKTEST.test_years[-1])
     return {
@@ -1050,7 +1067,7 @@ BOOST = BoostParams(rounds=3, depth=4, learning_rate=0.3, min_leaf=200, max_bins
 def boosted_forecast(spark, folder):
     """Train, register, load the champion and score the newest day of every place."""
     gold = Gold(spark, folder)
-    table = store(gold.features, "features")
+    table = bucketed(gold.features, "features")
     registry = Registry(spark, work_dir(spark, "registry"))
     training.train(table, registry, "temperature", proxy.BACKTEST.train_start_year, BOOST)
     return stamped(training.score_champion(table, gold.baseline, registry, "temperature", scored_at()))
@@ -1059,6 +1076,6 @@ def boosted_forecast(spark, folder):
 @check("ML1 ML2 ML5 A8 A9 A10 M15")
 def boosted_backtest(spark, folder):
     """One fit per test year on what was known before it."""
-    table = store(Gold(spark, folder).features, "features")
+    table = bucketed(Gold(spark, folder).features, "features")
     return training.backtest(table, proxy.BACKTEST, BOOST)
 

@@ -47,9 +47,9 @@ def run_lengths_split(df: DataFrame, entity: str, day: str, flag: str) -> DataFr
     Runs are found inside each year. Only a run that reaches a year's first or last day can go on
     in the next year; those few (at most two per year and flag) are chained per entity as intervals.
     """
-    year = F.year(day)
     block = ["_block", entity, flag]
-    rows = df.withColumn("_block", year)
+    # The explicit shuffle keeps years apart even where the input lies together by entity.
+    rows = df.withColumn("_block", F.year(day)).repartition(entity, "_block")
     in_order = Window.partitionBy(*block).orderBy(day)
     rows = rows.withColumn("_run", F.date_sub(F.col(day), F.row_number().over(in_order)))
     local = rows.groupBy(*block, "_run").agg(
@@ -100,8 +100,9 @@ def _with_halo(df: DataFrame, entity: str, day: str, back: int, ahead: int, size
     Row numbers within the series are exact without ordering the series in one task: they are the
     number within the year plus the rows of the years before.
     """
-    rows = df.withColumn("_year", F.year(day))
-    per_year = rows.groupBy(entity, "_year").agg(F.count(F.lit(1)).alias("_n"))
+    # The explicit shuffle keeps years apart even where the input lies together by entity.
+    rows = df.withColumn("_year", F.year(day)).repartition(entity, "_year")
+    per_year = df.groupBy(entity, F.year(day).alias("_year")).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(entity).orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_year.select(entity, "_year", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy(entity, "_year").orderBy(day)

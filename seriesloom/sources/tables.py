@@ -32,8 +32,8 @@ def layer_path(root: str, layer: str, name: str) -> str:
 
 
 def empty_like(df: DataFrame) -> DataFrame:
-    """An empty table with the columns of ``df``; nothing is read."""
-    return df.sparkSession.createDataFrame([], df.schema)
+    """An empty table with the columns of ``df``; the optimizer drops the plan below the limit."""
+    return df.limit(0)
 
 
 def clustered(df: DataFrame, *columns: str) -> DataFrame:
@@ -44,6 +44,19 @@ def clustered(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, order: Sequence[str] = ()) -> DataFrame:
+    """Write a layer bucketed by ``key`` as catalog table ``name`` and return it.
+
+    One shuffle here saves all later ones by that key: aggregates, windows and joins whose keys
+    include it find their rows in place. Each bucket is one file, sorted by ``order``.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key)
+    if order:
+        writer = writer.sortBy(*order)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 class VersionedTable:
     """A Parquet table whose commits replace whole parts and appear at once.
 
@@ -83,7 +96,8 @@ class VersionedTable:
 
     def _read_parts(self, parts: dict[str, int]) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], self.schema)
+            # The limit lets the optimizer see that there is nothing to merge with.
+            return self.spark.createDataFrame([], self.schema).limit(0)
         paths = [f"{self.path}/data/v={version}/{PART}={part}" for part, version in sorted(parts.items())]
         return self.spark.read.schema(self.schema).parquet(*paths)
 
