@@ -15,6 +15,7 @@ def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4",
         "spark.driver.memory": "6g",
+        "spark.sql.maxMetadataStringLength": "1000",
         "spark.ui.showConsoleProgress": "false",
     })
     session.sparkContext.setLogLevel("ERROR")
