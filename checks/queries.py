@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -530,12 +531,12 @@ def time_split(spark, folder):
     """Sizes of the training and test sets of each test year, without a leak."""
     long = store(features.long_targets(Gold(spark, folder).features).select("weather_date", "target_date"), "long")
     late = features.since_year(long, 1996)
-    sizes = []
+    parts = []
     for year in proxy.BACKTEST.test_years:
-        train = backtest.train_rows(late, year).agg(F.count(F.lit(1)).alias("train_rows"))
-        test = backtest.test_rows(long, year).agg(F.count(F.lit(1)).alias("test_rows"))
-        sizes.append(train.join(test).select(F.lit(year).alias("test_year"), "train_rows", "test_rows"))
-    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+        for name, rows in (("train_rows", backtest.train_rows(late, year)), ("test_rows", backtest.test_rows(long, year))):
+            parts.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(year).alias("test_year"), F.lit(name).alias("kind"), "n"))
+    sizes = reduce(DataFrame.unionByName, parts).groupBy("test_year")
+    return sizes.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("train_rows", "test_rows")])
 
 
 # -- backtest and skill

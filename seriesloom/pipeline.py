@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seriesloom import schemas
 from seriesloom.ml import training
 from seriesloom.ml.registry import Registry
-from seriesloom.operators import quality
+from seriesloom.operators import quality, series
 from seriesloom.params import BacktestParams, BaselineParams, BoostParams, RunParams, ServingParams
 from seriesloom.plans import backtest, climate, dims, features, forecast, publish, serving
 from seriesloom.sources import tables
@@ -35,6 +35,8 @@ class PipelineParams:
     serving: ServingParams = field(default_factory=ServingParams)
     # Files per bucketed layer; size it so that one bucket fits in a task's memory.
     buckets: int = 16
+    # A series with more rows than this is cut into blocks instead of being handled by one task.
+    split_above: int = 200_000
 
 
 class Pipeline:
@@ -119,10 +121,13 @@ class Pipeline:
             climate.climate_baseline(facts, self.params.baseline), "gold", "climate_baseline",
             ("location_id", "day_of_year"),
         )
+        split = series.largest_series(facts, "location_id") > self.params.split_above
         days = self._store(
-            climate.climate_anomaly(facts, base, self.params.runs), "gold", "fact_climate_anomaly", DAY_ORDER
+            climate.climate_anomaly(facts, base, self.params.runs, split), "gold", "fact_climate_anomaly", DAY_ORDER
+        )
+        table = self._store(
+            features.temperature_features(days, facts, places, split), "ml", "features_temperature", DAY_ORDER
         )
-        table = self._store(features.temperature_features(days, facts, places), "ml", "features_temperature", DAY_ORDER)
         calendar = dims.dim_date(dims.default_spine(self.spark, today))
         quality.require(quality.report([
             quality.not_null("dim_location", places, ["location_id"]),

@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.plans.climate import ENTITY
 from seriesloom.schemas import columns
 from seriesloom.sources.tables import _child_names, path_exists
 
@@ -59,10 +60,15 @@ def export_tables(
 ) -> DataFrame:
     """Write each table to the staging folder and the manifest last; return the manifest.
 
-    The rebalance hint makes one file of a small table and evenly sized files of a large one.
+    The rebalance hint makes one file of a small table and evenly sized files of a large one. Rows of
+    one entity lie together and in order, so that a reader of one entity can skip the rest of a file.
     """
     for name, table in tables.items():
-        table.hint("rebalance").write.mode("overwrite").parquet(f"{staging}/{name}")
+        if ENTITY in table.columns:
+            table = table.hint("rebalance", ENTITY).sortWithinPartitions(ENTITY)
+        else:
+            table = table.hint("rebalance")
+        table.write.mode("overwrite").parquet(f"{staging}/{name}")
     through = spark.read.parquet(f"{staging}/{newest[0]}").agg(F.max(newest[1]).alias("data_through"))
     manifest = manifest_rows(_staged_sizes(spark, staging, tables), through, exported_at)
     manifest.coalesce(1).write.mode("overwrite").json(f"{staging}/manifest")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import json
 import math
@@ -10,7 +11,7 @@ import pytest
 from seriesloom.operators.quality import QualityError
 from seriesloom.params import BacktestParams, BaselineParams, BoostParams
 from seriesloom.pipeline import Pipeline, PipelineParams
-from seriesloom.plans import publish
+from seriesloom.plans import climate, publish
 from seriesloom.schemas import SERVING, check_schema
 from tests.helpers import day, days
 from tests.test_streaming import NAMES
@@ -59,7 +60,8 @@ def test_daily_refresh(spark, folder):
     assert live["city_summary"].where("not has_history").count() == 1
 
     # A later reply revises the last two weeks and adds five days for one place.
-    second = Pipeline(spark, folder, "two", "loomtest", PARAMS)
+    # This run also takes the form for long series; it must give the same rows.
+    second = Pipeline(spark, folder, "two", "loomtest", dataclasses.replace(PARAMS, split_above=0))
     put(second.landing("weather_daily"), "w3", reply(1, "20230107T000000Z", days("2022-12-18", 18)))
     second.refresh(day("2023-01-07"), NOW)
     assert second.fact.read().count() == 2 * 1095 + 5
@@ -68,6 +70,9 @@ def test_daily_refresh(spark, folder):
         (1, day("2023-01-04")), (2, day("2022-12-30")),
     }
     assert second.forecasts.read().count() == 21
+    facts, base = second.table("gold", "fact_daily"), second.table("gold", "climate_baseline")
+    stored, plain = second.table("gold", "fact_climate_anomaly"), climate.climate_anomaly(facts, base)
+    assert stored.count() == plain.count() and stored.exceptAll(plain).isEmpty()
     assert publish.live_folder(spark, second.live).endswith("run=two")
 
     # A place that is not in the dimension fails the relationship test, and nothing is published.
