@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def variant_fields(paths: Mapping[str, tuple[str, str]], raw: str = "raw", tolerant: bool = False) -> list[Column]:
+def variant_fields(
+    paths: Mapping[str, tuple[str, str]], raw: str = "raw", tolerant: bool = False
+) -> list[Column]:
     """Typed columns ``name -> (path, type)`` out of a VARIANT column.
 
     Strict by default: a value of the wrong type raises. With ``tolerant`` it becomes NULL.

@@ -78,8 +78,8 @@ def by_day(entity: str, day: str):
 
 
 def window_columns(
-    df: DataFrame, entity: str, day: str, make: Callable[[WindowSpec], list[Column]], back: int, ahead: int, split: bool = False,
-    block_rows: int = 366,
+    df: DataFrame, entity: str, day: str, make: Callable[[WindowSpec], list[Column]], back: int, ahead: int,
+    split: bool = False, block_rows: int = 366,
 ) -> DataFrame:
     """Add the columns that ``make(window)`` builds over ``entity`` in the order of ``day``.
 

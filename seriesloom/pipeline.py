@@ -46,7 +46,10 @@ class Pipeline:
     readers keep theirs. ``prefix`` keeps the catalog names of several pipelines apart.
     """
 
-    def __init__(self, spark: SparkSession, root: str, run: str, prefix: str = "loom", params: PipelineParams = PipelineParams()):
+    def __init__(
+        self, spark: SparkSession, root: str, run: str, prefix: str = "loom",
+        params: PipelineParams = PipelineParams(),
+    ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.run = run

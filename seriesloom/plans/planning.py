@@ -20,7 +20,8 @@ class Unresolved(LookupError):
 def entities_with_history(weather: DataFrame, params: PlanningParams = PlanningParams()) -> DataFrame:
     """Entities whose stored days reach back to the start of the history."""
     reached = F.date_add(F.lit(datetime.date.fromisoformat(params.history_start)), params.history_slack_days)
-    return weather.groupBy(ENTITY).agg(F.min(DAY).alias("first_day")).where(F.col("first_day") <= reached).select(ENTITY)
+    first_days = weather.groupBy(ENTITY).agg(F.min(DAY).alias("first_day"))
+    return first_days.where(F.col("first_day") <= reached).select(ENTITY)
 
 
 def backfill_plan(

@@ -109,7 +109,8 @@ def publish(spark: SparkSession, staging: str, live: str, expected: Iterable[str
     staged = [n for n in names if path_exists(spark, f"{staging}/{n}")]
     wanted = spark.createDataFrame([(n,) for n in names], "table_name STRING")
     try:
-        observed = _staged_sizes(spark, staging, staged) if staged else wanted.limit(0).withColumn("row_count", F.lit(0))
+        nothing = wanted.limit(0).withColumn("row_count", F.lit(0))
+        observed = _staged_sizes(spark, staging, staged) if staged else nothing
         problems = manifest_differences(manifest, wanted, observed).collect()
     except PySparkException as error:
         raise PublishRefused(f"a staged table cannot be read: {error}") from error
