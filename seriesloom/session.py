@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,24 +37,23 @@ def build_session(app: str = "seriesloom", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The shared folder for checkpoints and intermediate tables, from configuration only.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder; on a cluster such a folder would be lost with its machine.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder below
+    ``spark.sql.warehouse.dir`` is used, which every executor reaches as well.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    current = context.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="seriesloom-"))
-    return context.getCheckpointDir().rstrip("/")
+    if not configured:
+        configured = context.getCheckpointDir()
+    if not configured:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        configured = f"{warehouse.rstrip('/')}/_working"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(configured)
+    return configured.rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
