@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, packing
+from seriesloom.llm import arrow_files, packing, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -25,6 +25,12 @@ def query(function):
     return run
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored; learnt outside fold 0 of 5."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), parts=5, held=0)
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents cut and packed into sequences of at most 2048 tokens."""
