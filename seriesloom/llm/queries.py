@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, packing, toxicity
+from seriesloom.llm import arrow_files, packing, quality, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -31,6 +31,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), parts=5, held=0)
 
 
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored; learnt outside fold 2 of 4."""
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"), parts=4, held=2)
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents cut and packed into sequences of at most 2048 tokens."""
