@@ -15,9 +15,11 @@ from array import array
 
 import numpy as np
 
-CACHE = 250_000
-# A plain word with marks behind it: the library cuts it into just these two.
-SIMPLE = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+CACHE = 400_000
+# A word of Latin letters, none of which composes with another, with ASCII marks behind it: the library
+# cuts such a piece into just these two.
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+SIMPLE = re.compile(rf"([{LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")
 # How byte-level vocabularies write a space.
 SPACE = "\u0120"
 # White space beside white space, at either end, or other than a space or a line end.
@@ -32,8 +34,22 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the letters below U+0180: every byte of their UTF-8 form as one character.
+
+    Bytes that are printable in Latin-1 stand for themselves, the others follow from U+0100 on.
+    """
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in printable]
+    written = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(written[b] for b in chr(c).encode()) for c in range(128, 0x180)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class _Pieces(dict):
-    """Ids of words as bytes. When full, the younger half is kept as a second look-up."""
+    """Ids of words as bytes. When full, it starts anew and the full one becomes a second look-up."""
 
     def __init__(self, encode):
         super().__init__()
@@ -62,7 +78,7 @@ class Encoder:
         # With a normaliser that folds white space no piece keeps any; without one, a space belongs to the word after it.
         self.keeps_space = self.normal is None
         self.parts = _Pieces(self._model)
-        self.inner = _Pieces(lambda word: self._chunk(" " + word if self.keeps_space else word))
+        self.inner = _Pieces(self._after_space if self.keeps_space else self._chunk)
         self.first = _Pieces(self._chunk)
         self.line_end = self.whole("\n").tobytes() if self.keeps_space else b""
 
@@ -72,19 +88,29 @@ class Encoder:
     def _model(self, part: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a piece without white space but for the space that may lead it."""
+    def _letters(self, word: str, lead: str = "") -> bytes:
+        """Ids of a word of Latin letters."""
+        if not word.isascii():
+            word = (word if self.keeps_space else word.lower()).translate(BYTE_LETTERS)
+        return self._model(lead + word)
+
+    def _after_space(self, word: str) -> bytes:
+        simple = SIMPLE.fullmatch(word)
+        if not simple:
+            return self._library(" " + word)
+        return self.inner[simple[1]] + self.parts[simple[2]] if simple[2] else self._letters(word, SPACE)
+
+    def _chunk(self, word: str) -> bytes:
+        """Ids of a piece without white space. Where letters are folded, A-Z are lower case already."""
+        simple = SIMPLE.fullmatch(word)
+        if not simple:
+            return self._library(word)
+        same = self.first if self.keeps_space else self.inner
+        return same[simple[1]] + self.parts[simple[2]] if simple[2] else self._letters(word)
+
+    def _library(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        body = chunk[1:] if chunk[0] == " " else chunk
-        simple = SIMPLE.fullmatch(body)
-        if simple:
-            word, marks = simple.groups()
-            if not self.keeps_space:
-                word = word.lower()
-            elif body is not chunk:
-                word = SPACE + word
-            return self.parts[word] + self.parts[marks] if marks else self.parts[word]
         text = self.normal.normalize_str(chunk) if self.normal is not None else chunk
         return b"".join([self.parts[part] for part, _ in self.split.pre_tokenize_str(text)])
 
@@ -103,6 +129,8 @@ class Encoder:
             return self.line_end.join(lines)
         if "<|" in text:
             return self.whole(text).tobytes()
+        # The normaliser folds these letters too, after composing, which keeps A-Z apart from a-z only by case.
+        text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         return b"".join(map(self.inner.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode(self, text: str | None) -> np.ndarray:
