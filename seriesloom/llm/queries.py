@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, packing, quality, toxicity
+from seriesloom.llm import arrow_files, decontaminate, packing, quality, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -31,6 +31,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), parts=5, held=0)
 
 
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents against all benchmark items, windows of 13 words."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     """All documents scored; learnt outside fold 2 of 4."""
@@ -49,4 +55,36 @@ def op7_arrow_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return arrow_files.token_files(spark, table(spark, folder, "documents"), "word_bpe_49k.json", end_id=2)
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontamination": r"""
+with cleaned as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+    from documents
+), items as (
+    select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+    from benchmark
+), spots as (
+    select item_id, w, unnest(range(0, greatest(len(w) - 13, 0) + 1)) as pos from items where len(w) > 0
+), windows as (
+    select distinct item_id, least(13, len(w)) as n, array_to_string(list_slice(w, pos + 1, pos + 13), ' ') as words from spots
+), lengths as (
+    select distinct n from windows
+), grams as (
+    select doc_id, n, pos, array_to_string(list_slice(w, pos + 1, pos + n), ' ') as words
+    from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as pos from cleaned cross join lengths where len(w) >= n)
+), found as (
+    select doc_id, pos, g.n, item_id from grams g join windows using (n, words)
+), hits as (
+    select doc_id, count(distinct p) as n_hit
+    from (select doc_id, unnest(range(pos, pos + n)) as p from found) group by doc_id
+), named as (
+    select doc_id, list_sort(list(distinct cast(item_id as varchar))) as ids from found group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(len(ids), 0) as bigint) as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from cleaned left join hits using (doc_id) left join named using (doc_id)
+""",
+}
