@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, decontaminate, packing, quality, toxicity
+from seriesloom.llm import arrow_files, bagminhash, decontaminate, packing, quality, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -55,6 +55,12 @@ def op7_arrow_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return arrow_files.token_files(spark, table(spark, folder, "documents"), "word_bpe_49k.json", end_id=2)
 
 
+@query
+def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes and components of all documents: five-word shingles, weighted Jaccard of 0.8 or more."""
+    return bagminhash.near_duplicates(table(spark, folder, "documents"))
+
+
 SQL: dict[str, str] = {
     "op3_decontamination": r"""
 with cleaned as (
