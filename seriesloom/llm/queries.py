@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, bagminhash, decontaminate, packing, quality, toxicity
+from seriesloom.llm import arrow_files, bagminhash, capfilters, decontaminate, packing, quality, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -37,6 +37,12 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op4_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors of a label with a cosine of 0.98 or more."""
+    return capfilters.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     """All documents scored; learnt outside fold 2 of 4."""
@@ -62,6 +68,26 @@ def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "op4_cap_filters": """
+with recursive vectors as (
+    select vec_id, label, cast(embedding as double[]) as e,
+           label is not null and embedding is not null and len(embedding) > 0
+           and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+           and len(list_filter(embedding, lambda x: x <> 0)) > 0 as usable
+    from embeddings
+), links as (
+    select a.vec_id as a, b.vec_id as b from vectors a join vectors b
+    on a.label = b.label and a.vec_id <> b.vec_id and a.usable and b.usable and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.98
+), reach as (
+    select vec_id, vec_id as seen from vectors
+    union select r.vec_id, l.b from reach r join links l on l.a = r.seen
+), counts as (
+    select a as vec_id, count(*) as n from links group by a
+)
+select vec_id, coalesce(any_value(n), 0) as n_links, min(seen) as component_id, vec_id = min(seen) as kept
+from reach left join counts using (vec_id) group by vec_id
+""",
     "op3_decontamination": r"""
 with cleaned as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
