@@ -7,10 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, bagminhash, capfilters, decontaminate, packing, quality, toxicity
+from seriesloom.llm import arrow_files, bagminhash, capfilters, decontaminate, packing, pseudonyms, quality, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
+# Only for the tests' tables; a real corpus gets a secret of its own.
+PSEUDONYM_KEY = "synthetic corpus"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -61,6 +64,12 @@ def op7_arrow_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return arrow_files.token_files(spark, table(spark, folder, "documents"), "word_bpe_49k.json", end_id=2)
 
 
+@query
+def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their personal data under pseudonyms."""
+    return pseudonyms.pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY)
+
+
 @query
 def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes and components of all documents: five-word shingles, weighted Jaccard of 0.8 or more."""
