@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, bagminhash, capfilters, decontaminate, packing, pseudonyms, quality, toxicity
+from seriesloom.llm import arrow_files, bagminhash, blocks, capfilters, decontaminate, packing, pseudonyms, quality, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -76,6 +76,13 @@ def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op10_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, folder, "pages")
+    return blocks.main_text(pages, blocks.train(pages))
+
+
 SQL: dict[str, str] = {
     "op4_cap_filters": """
 with recursive vectors as (
