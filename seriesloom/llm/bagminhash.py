@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int =
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, with its columns. Repeated ids of a kept document keep one row."""
+    """One document of each near-duplicate group, with its columns. Rows without an id cannot be judged and stay."""
     judged = near_duplicates(docs)
     dropped = judged.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null")
+    kept = named.join(dropped, named["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -369,15 +369,20 @@ def train(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS, seed:
     chosen = pages.select(F.col("page_id").cast("string").alias("id"), F.col("html").cast("string")).where("html is not null").orderBy(
         F.xxhash64("id"), "id", "html").limit(sample)
 
-    def paragraphs(batches):
-        for batch in batches:
-            found = [b.text for page in batch.column("html") for b in blocks(page.as_py()) if b.text.count(" ") >= 4]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
-
-    texts = sorted(r["text"] for r in chosen.select("html").mapInArrow(paragraphs, "text string").collect())
-    random = np.random.default_rng(seed)
-    texts = texts or ["the quick words of a page that has none " * 5]
-    return learn([layout(random, texts) for _ in range(layouts)])
+    # One task fits on the bounded sample; tasks have one thread for matrix products, so the result is the same everywhere.
+    def fit(batches):
+        texts = sorted(b.text for batch in batches for page in batch.column("html") for b in blocks(page.as_py())
+                       if b.text.count(" ") >= 4)
+        texts = texts or ["the few words of a page where a table of pages has none " * 5]
+        random = np.random.default_rng(seed)
+        net = learn([layout(random, texts) for _ in range(layouts)])
+        names = sorted(net.w)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names), pa.array([net.w[n].astype("<f4").tobytes() for n in names], pa.binary()),
+             pa.array([list(net.w[n].shape) for n in names], pa.list_(pa.int32()))], ["name", "data", "shape"])
+
+    rows = chosen.select("html").coalesce(1).mapInArrow(fit, "name string, data binary, shape array<int>").collect()
+    return Labeller({r["name"]: np.frombuffer(r["data"], "<f4").reshape(r["shape"]).copy() for r in rows})
 
 
 def main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
