@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, bagminhash, blocks, capfilters, decontaminate, packing, pseudonyms, quality, toxicity
+from seriesloom.llm import arrow_files, bagminhash, blocks, capfilters, decontaminate, lattice, packing, pseudonyms, quality, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -34,6 +34,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), parts=5, held=0)
 
 
+@query
+def op2_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored by the subword lattice; learnt outside fold 2 of 7."""
+    return lattice.held_out_scores(table(spark, folder, "documents"), parts=7, held=2)
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """All documents against all benchmark items, windows of 13 words."""
