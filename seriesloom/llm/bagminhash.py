@@ -12,20 +12,19 @@ probability equal to their weighted Jaccard. Points are drawn in order of time f
 batch at once, up to a horizon by which every component is expected to be filled; documents with an empty
 component go on with a wider one.
 
-Stages: (1) documents with equal word sequences form classes by a 128-bit hash, and only the smallest
+Stages: (1) documents with equal texts form classes by a 128-bit hash, and only the smallest
 doc_id of a class goes on; (2) signatures are cut into ``bands``; (3) each band bucket links its members to its smallest
 id, and those pairs are verified by exact overlap; (4) buckets that still hold several components are
 compared in full across components, block by block (an exact way for whatever the star left open), and
 verified; (5) components. Texts are shuffled once, for candidates only. No group is collected into one task.
 
-Null, empty and wordless texts have no shingles and are classes of their own, linked with nothing. Repeated
+Null, empty and wordless texts have no shingles and are linked with nothing (equal wordless texts are copies, though). Repeated
 doc_ids count as one document each time (their rows get the same ids when the texts agree; the class is decided
 by the text). NULL doc_ids are left out. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import components, mix, shingle_hashes, uniform, word_hashes, words
+from seriesloom.llm.common import byte_words, components, mix, shingle_hashes, uniform, word_hashes
 from seriesloom.session import store
 
 SHINGLE = 5
-SLOTS = 128
-BANDS = 32
+# 24 bands of 4 components: a pair at 0.8 is missed with a probability of (1 - 0.8^4)^24 = 3e-6.
+SLOTS = 96
+BANDS = 24
 THRESHOLD = 0.8
 
 
-def shingles(found: list[str], size: int = SHINGLE) -> np.ndarray:
+def shingles(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit shingle hashes with repetitions."""
     if not found:
         return np.empty(0, np.uint64)
@@ -84,41 +84,46 @@ def _processes(bags: list[np.ndarray]) -> tuple[np.ndarray, ...]:
 def signatures(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """64-bit signatures (documents x slots) of non-empty bags."""
     total = np.array([len(b) for b in bags], float)
-    best = np.full((len(bags), slots), np.inf)
     chosen = np.zeros((len(bags), slots), np.uint64)
-    doc, seed, start, length, count = _processes(bags)
-    now, turn = np.zeros(len(doc)), 0
-    horizon = slots * (np.log(slots) + 4.0) / total
-    pending = np.ones(len(bags), bool)
+    processes = _processes(bags)
+    horizon = slots * (np.log(slots) + 3.0) / total
+    done = np.zeros(len(bags), bool)
     while True:
-        active = np.flatnonzero(pending[doc] & (now <= horizon[doc]))
-        while len(active):
-            turn_seed = seed[active]
+        best = np.full(len(bags) * slots, np.inf)
+        marks = np.zeros(len(bags) * slots, np.uint64)
+        doc, seed, start, length, count = processes
+        now, limit, wide, turn = np.zeros(len(doc)), horizon[doc], length > 1, 0
+        any_wide = bool(wide.any())
+        while len(doc):
             # Each process has its own clock: the k-th gap comes from its seed and k.
             with np.errstate(over="ignore"):
-                h = mix(turn_seed + np.uint64(turn) * np.uint64(0xD1342543DE82EF95))
-            gap = -np.log(uniform(h)) / length[active]
-            now[active] += gap
-            inside = now[active] <= horizon[doc[active]]
-            hit, h = active[inside], h[inside]
-            place = start[hit] + np.floor(uniform(mix(h ^ np.uint64(0xA5A5A5A5))) * length[hit])
-            counted = place < count[hit]
-            hit, h = hit[counted], h[counted]
+                h = mix(seed + np.uint64(turn) * np.uint64(0xD1342543DE82EF95))
+            gap = np.log(uniform(h))
+            now = now - (gap / length if any_wide else gap)
+            inside = np.flatnonzero(now <= limit)
+            doc, seed, now, limit, h = doc[inside], seed[inside], now[inside], limit[inside], h[inside]
             mark = mix(h ^ np.uint64(0x5A5A5A5A5A))
-            cell = doc[hit] * slots + (mark % np.uint64(slots)).astype(np.int64)
-            time = now[hit]
-            np.minimum.at(best.ravel(), cell, time)
-            first = time == best.ravel()[cell]
-            chosen.ravel()[cell[first]] = mark[first]
-            active = active[inside]
+            cell = doc * slots + (((mark >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)).astype(np.int64)
+            time, counted = now, mark
+            if any_wide:
+                start, length, count, wide = start[inside], length[inside], count[inside], wide[inside]
+                # On a wider interval a point has a place, which must lie below the document's count.
+                place = start + np.floor(uniform(mix(mark)) * length)
+                below = np.flatnonzero(~wide | (place < count))
+                cell, time, counted = cell[below], now[below], mark[below]
+            np.minimum.at(best, cell, time)
+            first = np.flatnonzero(time == best[cell])
+            marks[cell[first]] = counted[first]
             turn += 1
-        pending = np.isinf(best).any(axis=1)
-        if not pending.any():
+        full = ~np.isinf(best.reshape(len(bags), slots)).any(axis=1)
+        chosen[full] = marks.reshape(len(bags), slots)[full]
+        done |= full
+        if done.all():
             return chosen
-        horizon = np.where(pending, horizon * 2, horizon)
-        # Start the unfinished documents' processes anew with the wider horizon.
-        again = pending[doc]
-        best[pending], now[again], turn = np.inf, 0.0, 0
+        # Documents with an empty component start anew with a wider horizon; the others are done.
+        horizon = horizon * 2
+        keep = ~done[processes[0]]
+        processes = tuple(x[keep] for x in processes)
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -132,20 +137,9 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
         return mix(keys ^ np.arange(bands, dtype=np.uint64))
 
 
-def text_key(found: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(found).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id: the smallest doc_id with the same words; wordless texts are classes of their own."""
-
-    def keys(batches):
-        for batch in batches:
-            found = [words(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([text_key(w) if w else None for w in found], pa.binary())], ["doc_id", "key"])
-
-    keyed = store(docs.mapInArrow(keys, "doc_id long, key binary"), "keys")
+    """doc_id, class_id: the smallest doc_id with the same text; null texts are classes of their own."""
+    keyed = store(docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")), "keys")
     # Partial aggregation meets a key of many copies before the shuffle; the join back is a plain equi-join.
     shared = keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
     return keyed.join(shared.select("key", "class_id"), "key", "left").select(
@@ -163,7 +157,7 @@ def _banded(texts: DataFrame, slots: int, bands: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                bags = [shingles(words(t.as_py())) for t in part.column("text")]
+                bags = [shingles(byte_words(t.as_py())) for t in part.column("text")]
                 full = [k for k, b in enumerate(bags) if len(b)]
                 if not full:
                     continue
@@ -207,7 +201,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int =
 
     def measure(batches):
         for batch in batches:
-            bags = [shingles(words(t.as_py())).view(np.int64) for t in batch.column("text")]
+            bags = [shingles(byte_words(t.as_py())).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags, pa.list_(pa.int64()))], ["doc_id", "bag"])
 
     bags = store(single.join(ids, "doc_id").mapInArrow(measure, "doc_id long, bag array<long>"), "bags")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +9,11 @@ from pyspark.sql import functions as F
 
 from seriesloom.session import store
 
-# Words of the contract for contamination, also used for shingles: runs of a-z, 0-9 and everything
-# outside ASCII, after lower-casing A-Z only.
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+# Words of the contract for contamination, also used for shingles: runs of a-z, 0-9 and everything outside ASCII, after
+# lower-casing A-Z only. In UTF-8 that is a table of bytes: letters folded, separators turned into spaces.
+WORD_BYTES = bytes(
+    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
+)
 WORD_CACHE = 400_000
 
 
@@ -28,28 +26,29 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
-def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
+def byte_words(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(ascii_lower(text)) if text else []
+    return [w.decode("utf-8", "surrogatepass") for w in byte_words(text)]
 
 
 class Hashes(dict):
     """Cache of 64-bit word hashes. It starts anew when full, which changes no value."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
 _HASHES = Hashes()
 
 
-def word_hashes(found: list[str]) -> np.ndarray:
+def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
 
 
@@ -80,11 +79,6 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * (2.0**-53)
 
 
-def plain(text: str) -> str:
-    """Lower case, compatibility forms folded."""
-    return unicodedata.normalize("NFKC", text).lower()
-
-
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """Smallest id reachable over undirected links (columns a, b): one row (id, component) per linked id.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import shingle_hashes, word_hashes, words
+from seriesloom.llm.common import byte_words, shingle_hashes, word_hashes, words
 from seriesloom.session import store
 
 WINDOW = 13
@@ -61,7 +61,7 @@ def _bitmap(distinct: DataFrame) -> tuple[np.ndarray, list[int]]:
             marks: dict[tuple[int, int], int] = {}
             for found in batch.column("words").to_pylist():
                 size = min(SHINGLE, len(found))
-                for h in (shingle_hashes(word_hashes(found), size) >> np.uint64(64 - BITS)).tolist():
+                for h in (shingle_hashes(word_hashes([w.encode() for w in found]), size) >> np.uint64(64 - BITS)).tolist():
                     marks[size, h >> 5] = marks.get((size, h >> 5), 0) | 1 << (h & 31)
             sizes, places = ([k[i] for k in marks] for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
@@ -85,7 +85,7 @@ def runs(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
         for batch in batches:
             counts, starts, found = [], [], []
             for text in batch.column("text"):
-                own = words(text.as_py())
+                own = byte_words(text.as_py())
                 counts.append(len(own))
                 here, kept = [], []
                 if own and used:
@@ -98,7 +98,7 @@ def runs(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover[:-1]) > 0, [0]])))
                     for a, b in edges.reshape(-1, 2).tolist():
                         here.append(a)
-                        kept.append(own[a:b])
+                        kept.append([w.decode() for w in own[a:b]])
                 starts.append(here)
                 found.append(kept)
             yield pa.RecordBatch.from_arrays([
@@ -130,7 +130,8 @@ def occurrences(scanned: DataFrame, distinct: DataFrame) -> DataFrame:
         "row", F.col("z.starts").alias("base"), F.col("z.runs").alias("found"))
     lengths = [r[0] for r in listed.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
     if not lengths:
-        return pieces.select("row", F.col("base").alias("start"), F.col("base").alias("length"), F.lit(0).cast("long").alias("window")).where(F.lit(False))
+        return pieces.select("row", F.col("base").alias("start"), F.col("base").alias("length"), F.lit(0).cast("long").alias("window"),
+                             F.col("found").alias("words")).where(F.lit(False))
     by_length = [
         pieces.where(F.size("found") >= n).select("row", "base", "found", F.explode(_shingles(F.col("found"), F.lit(0), n)).alias("s"))
         for n in lengths
