@@ -222,7 +222,7 @@ HINT = re.compile(r"\d|@|(?i:token|passw|secret|api[_-]?key)|A[KS]IA")
 FOUND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, (pattern, _) in KINDS.items()))
 # Stretches that may hold a value: nothing is tried elsewhere. They begin at a word's start, so long words cost no more
 # than their length.
-WORD = re.compile(r"(?<!\S)\S*(?:[\d@]|(?i:token|passw|secret|api[_-]?key)|A[KS]IA)\S*(?: +\S*[\d=:]\S*| +[\"']\S+)*")
+WORD = re.compile(r"(?<!\S)\S*(?:[\d@]|(?i:token|passw|secret|api[_-]?key)|A[KS]IA)\S*(?: +\S*[\d=:]\S*| +[\"']\S+| [A-Z0-9]{1,4}(?!\S))*")
 
 
 class Pseudonyms:
