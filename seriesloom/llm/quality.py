@@ -22,12 +22,16 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.classify import clean_labels, sigmoid
 from seriesloom.llm.common import fold
+from seriesloom.session import store
+
+THRESHOLD = 0.7
 
 STATISTICS = (
     "log_words", "log_word_length", "letters", "capitals", "marks", "digits", "bars", "odd_marks", "ends_marked",
@@ -113,15 +117,31 @@ def from_moments(n: np.ndarray, sums: np.ndarray, products: np.ndarray, to_diago
     return QualityModel(means, np.array(factors), np.array(dets), log_prior, True)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Sum the moments of all labelled documents given (the caller leaves out held-out rows)."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and statistics of every document: small rows, so that labels are joined to them and not to the texts."""
+
+    def measure(batches):
+        for batch in batches:
+            x = np.array([statistics(t.as_py()) for t in batch.column("text")], float).reshape(batch.num_rows, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))],
+                ["doc_id", "x"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, "doc_id long, x array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), len(STATISTICS))
+
+
+def train(rows: DataFrame, labels: DataFrame) -> QualityModel:
+    """Sum the moments of all labelled documents given (the caller leaves out held-out rows); ``rows`` as ``measured`` gives them."""
     size = len(STATISTICS)
     width = 1 + size + size * size
 
     def moments(batches):
         for batch in batches:
-            y = batch.column("y").to_numpy()
-            x = np.array([statistics(t.as_py()) for t in batch.column("text")], float).reshape(len(y), size)
+            y, x = batch.column("y").to_numpy(), _matrix(batch.column("x"))
             for label in (0, 1):
                 own = x[y == label]
                 values = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
@@ -130,8 +150,7 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
                     ["y", "at", "value"])
 
     known = clean_labels(labels, "quality")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(known, "doc_id")
-    sums = texts.select("y", "text").mapInArrow(moments, "y int, at int, value double").groupBy("y", "at").agg(
+    sums = rows.join(known, "doc_id").select("y", "x").mapInArrow(moments, "y int, at int, value double").groupBy("y", "at").agg(
         F.sum("value").alias("value"))
     totals = np.zeros((2, width))
     for y, at, value in sums.collect():  # at most 2 * width rows
@@ -139,29 +158,32 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return from_moments(totals[:, 0], totals[:, 1 : 1 + size], totals[:, 1 + size :].reshape(2, size, size))
 
 
-def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
-    """The given documents with their columns and score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """Learn from the labelled rows outside the held-out fold, score all documents. Each text is read once."""
+    rows = store(measured(docs), "statistics")
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels.where(fold(F.col("doc_id"), parts) != held)))
 
-    @F.pandas_udf("double")
-    def rate(texts):
-        x = np.array([statistics(t) for t in texts], float).reshape(len(texts), len(STATISTICS))
-        return texts.__class__(shared.value.scores(x), index=texts.index, dtype=float)
+    def rate(batches):
+        for batch in batches:
+            scores = shared.value.scores(_matrix(batch.column("x")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))],
+                ["doc_id", "score", "predicted"])
 
-    return docs.withColumn("score", rate(F.col("text").cast("string"))).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int"))
+    scored = rows.mapInArrow(rate, "doc_id long, score double, predicted int")
+    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", "predicted")
 
 
-def quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
-    """Learn from the labelled rows outside the held-out fold, score all documents."""
-    model = train(docs, labels.where(fold(F.col("doc_id"), parts) != held))
-    scored = score(docs.select(F.col("doc_id").cast("long"), "text"), model)
-    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", "predicted")
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are not rejected, with their columns. All labelled rows are learnt from.
+
+    The texts are read twice, once for the moments and once for the decision, and never shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(measured(docs), labels))
 
+    @F.pandas_udf("boolean")
+    def accept(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], float).reshape(len(texts), len(STATISTICS))
+        return pd.Series(shared.value.scores(x) >= threshold, index=texts.index)
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their columns. All labelled rows are learnt from."""
-    columns = docs.columns
-    model = train(docs, labels)
-    rated = score(docs.select(F.struct(*columns).alias("row"), "text"), model)
-    return rated.where("predicted = 1").select("row.*")
+    return docs.where(accept(F.col("text").cast("string")))

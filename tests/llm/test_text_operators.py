@@ -181,11 +181,11 @@ def test_quality_moments_and_scores(session, docs, clashing):
         good.append(fine)
     labels = session.createDataFrame([(d, int(g), 0) for (d, _), g in zip(documents, good, strict=True)], "doc_id long, quality int, toxic int")
     table = clashing(docs([*documents, (900, None), (901, ""), (902, "long " * 30_000), (903, "x"), (903, "x")]))
-    got = quality.quality(table.drop("score", "predicted"), labels).collect()
+    got = quality.quality(table, labels).collect()
     truth = {d: g for (d, _), g in zip(documents, good, strict=True)}
     assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.doc_id in truth and r.held_out]) > 0.97
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 305
-    model = quality.train(docs(documents), labels)
+    model = quality.train(quality.measured(docs(documents)), labels)
     x = np.array([quality.statistics(t) for _, t in documents])
     y = np.array(good)
     assert np.allclose(model.means, [x[~y].mean(axis=0), x[y].mean(axis=0)])
