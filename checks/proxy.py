@@ -19,8 +19,6 @@ BASELINE = BaselineParams(first_year=1995, last_year=1998)
 BACKTEST = BacktestParams(train_start_year=1995, test_years=(1999, 2000, 2001))
 PLANNING = PlanningParams(history_start="1995-01-02")
 TODAY = datetime.date(2001, 11, 10)
-FIRST_DAY = datetime.date(1995, 1, 1)
-LAST_DAY = datetime.date(2001, 12, 31)
 SCORED_AT = "2001-11-10 06:00:00"
 
 
@@ -90,8 +88,11 @@ def dim_location(spark: SparkSession, folder: str) -> DataFrame:
     return conform(dims.dim_location(locations(spark, folder)), DIM_LOCATION)
 
 
-def dim_date(spark: SparkSession) -> DataFrame:
-    return dims.dim_date(dims.date_spine(spark, FIRST_DAY, LAST_DAY))
+def dim_date(spark: SparkSession, folder: str) -> DataFrame:
+    """The calendar of all whole years that the shipments touch."""
+    ends = _shipments(spark, folder).agg(F.min("weather_date").alias("first"), F.max("weather_date").alias("last")).first()
+    first, last = (ends[k] or TODAY for k in ("first", "last"))
+    return dims.dim_date(dims.date_spine(spark, datetime.date(first.year, 1, 1), datetime.date(last.year, 12, 31)))
 
 
 def fact(spark: SparkSession, folder: str) -> DataFrame:

@@ -143,6 +143,31 @@ def bronze_silver(spark, folder):
     return rounded(silver.weather_table(spark, f"{base}/weather").read().drop(silver.SOURCE))
 
 
+@check(
+    "ST7",
+    """select metric, cast(amount as bigint) as amount from (
+        select count(*) as row_count, sum(case when weather_date is null then 1 else 0 end) as dropped_valid_key,
+               sum(case when temperature_mean_c is null then 1 else 0 end) as dropped_complete_day,
+               sum(case when temperature_max_c > 60 or temperature_max_c < -90 then 1 else 0 end) as plausible_temperature,
+               sum(case when temperature_min_c > temperature_max_c then 1 else 0 end) as min_not_above_max,
+               sum(case when precipitation_mm < 0 then 1 else 0 end) as non_negative_precipitation,
+               count(distinct (location_id, extracted_at, year(weather_date))) as replies,
+               0 as replies_without_rows from versions)
+       unpivot (amount for metric in (row_count, dropped_valid_key, dropped_complete_day, plausible_temperature,
+                                      min_not_above_max, non_negative_precipitation, replies, replies_without_rows))""",
+)
+def expectation_counts(spark, folder):
+    """What the daily flow counts: rows dropped, rows warned about, replies without rows."""
+    base = work_dir(spark, "counted")
+    source = _land_versions(spark, folder)
+    bronze.load_raw(spark, source, f"{base}/raw", f"{base}/raw_checkpoint").awaitTermination()
+    keep = silver.metrics_sink(spark, f"{base}/expectations", "weather_daily")
+    silver.refresh_weather(
+        spark, f"{base}/raw", f"{base}/weather", f"{base}/weather_checkpoint", on_metrics=keep, max_files_per_trigger=50,
+    ).awaitTermination()
+    return silver.read_metrics(spark, f"{base}/expectations").groupBy("metric").agg(F.sum("amount").alias("amount"))
+
+
 @check(
     "S3 P1 ST4 ST6 M2",
     "select location_id, city, country_code, country, region, latitude, longitude, elevation_m, timezone, population"
@@ -320,7 +345,7 @@ def dim_date(spark, folder):
     shipped = proxy.table(spark, folder, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date_day")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    joined = proxy.dim_date(spark).join(shipped, "date_day", "left")
+    joined = proxy.dim_date(spark, folder).join(shipped, "date_day", "left")
     return joined.select(*schemas.DIM_DATE.fieldNames(), F.coalesce("n", F.lit(0)).alias("shipments"))
 
 
@@ -345,8 +370,8 @@ _FACT_COLUMNS = ("location_id", "date_key", "weather_date", "temperature_mean_c"
 
 
 def _fact_table(spark: SparkSession) -> tables.VersionedTable:
-    month = F.date_format("weather_date", "yyyyMM")
-    return tables.VersionedTable(spark, work_dir(spark, "fact"), schemas.FACT_DAILY, month)
+    return tables.VersionedTable(
+        spark, work_dir(spark, "fact"), schemas.FACT_DAILY, tables.place_year(4), ("extracted_at",))
 
 
 @check("S12 F2 S10 U1", _FACT_OF_VERSIONS + "newest_versions")
@@ -356,26 +381,18 @@ def incremental_fact(spark, folder):
     target = _fact_table(spark)
     first_run = source.where("extracted_at < '20020102'")
     for rows in (first_run, source):
-        new = tables.newer_than_target(rows, target.read(), "extracted_at")
+        new = tables.newer_than_target(rows, target, "extracted_at")
         target.upsert_latest(new, KEY, ("extracted_at",))
     return rounded(target.read().select(*_FACT_COLUMNS))
 
 
-_UPSERTED = """(
-    select * from versions where extracted_at = '20020103T053000Z'
-    union all
-    select * from versions v where extracted_at = '20020101T053000Z' and not exists (
-        select 1 from versions n where n.extracted_at = '20020103T053000Z' and n.location_id = v.location_id
-            and n.weather_date = v.weather_date))"""
-
-
-@check("S11 U1", _FACT_OF_VERSIONS + _UPSERTED)
+@check("S11 U1", _FACT_OF_VERSIONS + "newest_versions")
 def upsert(spark, folder):
-    """The last run merged into the first: equal keys are replaced, others added."""
+    """All runs merged one after the other: equal keys are replaced, others added."""
     source = store(climate.fact_daily(proxy.weather_versions(spark, folder)), "versions")
     target = _fact_table(spark)
-    target.overwrite(source.where("extracted_at = '20020101T053000Z'"))
-    target.upsert(source.where("extracted_at = '20020103T053000Z'"), KEY)
+    for run in ("20020101T053000Z", "20020102T053000Z", "20020103T053000Z"):
+        target.upsert(source.where(F.col("extracted_at") == run), KEY)
     return rounded(target.read().select(*_FACT_COLUMNS))
 
 
@@ -389,10 +406,18 @@ def overwrite_table(spark, folder):
     return target.read()
 
 
-@check("S10", "select location_id, weather_date, temperature_mean_c from weather where 1 = 0")
+@check(
+    "S10",
+    f"""select location_id, weather_date, {o.six('temperature_mean_c')}, cast(0 as bigint) as rows_before from weather""",
+)
 def empty_target(spark, folder):
-    """An empty table with a source's columns."""
-    return tables.empty_like(proxy.weather(spark, folder).select(*KEY, "temperature_mean_c"))
+    """A target created empty with a source's columns, counted, then loaded."""
+    source = proxy.weather(spark, folder).select(*KEY, "temperature_mean_c")
+    target = tables.VersionedTable(spark, work_dir(spark, "empty"), source.schema, tables.place_year(4))
+    target.overwrite(tables.empty_like(source))
+    before = target.read().count()
+    target.upsert(source, KEY)
+    return rounded(target.read()).withColumn("rows_before", F.lit(before).cast("bigint"))
 
 
 # -- climate
@@ -455,7 +480,7 @@ def hot_runs(spark, folder):
 )
 def season_means(spark, folder):
     """Facts with the calendar dimension; the calendar is bounded, so it may be broadcast."""
-    joined = proxy.fact(spark, folder).join(F.broadcast(proxy.dim_date(spark)), "date_key")
+    joined = proxy.fact(spark, folder).join(F.broadcast(proxy.dim_date(spark, folder)), "date_key")
     return rounded(joined.groupBy("season_code").agg(
         F.avg("temperature_mean_c").alias("mean_c"), F.count(F.lit(1)).alias("days")
     ))
@@ -530,13 +555,17 @@ def newest_row(spark, folder):
 def time_split(spark, folder):
     """Sizes of the training and test sets of each test year, without a leak."""
     long = store(features.long_targets(Gold(spark, folder).features).select("weather_date", "target_date"), "long")
-    late = features.since_year(long, 1996)
-    parts = []
-    for year in proxy.BACKTEST.test_years:
-        for name, rows in (("train_rows", backtest.train_rows(late, year)), ("test_rows", backtest.test_rows(long, year))):
-            parts.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(year).alias("test_year"), F.lit(name).alias("kind"), "n"))
-    sizes = reduce(DataFrame.unionByName, parts).groupBy("test_year")
-    return sizes.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("train_rows", "test_rows")])
+    # Training rows begin in 1996, so both conditions go into one aggregate over all rows.
+    known = F.year("weather_date") >= 1996
+    sizes = long.agg(*[
+        F.count_if(c).alias(f"{kind}_{y}") for y in proxy.BACKTEST.test_years
+        for kind, c in (("train_rows", known & backtest.is_train(y)), ("test_rows", backtest.is_test(y)))
+    ])
+    years = F.array(*[
+        F.struct(F.lit(y).alias("test_year"), F.col(f"train_rows_{y}").alias("train_rows"), F.col(f"test_rows_{y}").alias("test_rows"))
+        for y in proxy.BACKTEST.test_years
+    ])
+    return sizes.select(F.inline(years))
 
 
 # -- backtest and skill
@@ -778,7 +807,7 @@ def load_progress(spark, folder):
     "P17 P18",
     f"""select location_id, year, anomaly_c, greatest(-1.0, least(1.0, anomaly_c / 2.5)) as scale,
                {o.words_year('anomaly_c')} as in_words
-        from city_yearly""",
+        from city_yearly where is_complete_year""",
 )
 def year_scale(spark, folder):
     return reads.year_scale(_yearly(spark, folder))
@@ -788,7 +817,7 @@ def year_scale(spark, folder):
     "W12",
     f"""select location_id, year, anomaly_c, {o.six_of('''case when row_number() over (partition by location_id
             order by year) >= 3 then avg(anomaly_c) over (partition by location_id order by year
-            rows between 2 preceding and current row) end''')} as moving_mean from city_yearly""",
+            rows between 2 preceding and current row) end''')} as moving_mean from city_yearly where is_complete_year""",
 )
 def moving_average(spark, folder):
     """The trailing mean over years, here of three because the tables cover seven."""
@@ -799,7 +828,8 @@ def moving_average(spark, folder):
     "T5",
     """select location_id, year, anomaly_c, warm_rank from (
         select location_id, year, anomaly_c, cast(row_number() over (
-            partition by location_id order by anomaly_c desc, year) as integer) as warm_rank from city_yearly)
+            partition by location_id order by anomaly_c desc, year) as integer) as warm_rank from city_yearly
+            where is_complete_year)
        where warm_rank <= 3""",
 )
 def warmest_years(spark, folder):
@@ -979,7 +1009,7 @@ _QUALITY = """
 def quality_report(spark, folder):
     """Table tests as one table; two of them are meant to fail, to show that they can."""
     fact = store(proxy.fact(spark, folder), "fact")
-    places, calendar_days = proxy.dim_location(spark, folder), proxy.dim_date(spark)
+    places, calendar_days = proxy.dim_location(spark, folder), proxy.dim_date(spark, folder)
     name = "fact_weather_daily"
     return quality.report([
         quality.not_null(name, fact, ("location_id", "date_key")),

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 
 def round_half_up(value: Column, digits: int) -> Column:
-    """Round to ``digits`` places through DECIMAL, so that ties do not depend on binary noise.
+    """Round to ``digits`` places, ties away from zero.
 
-    Values too large for the decimal type are rounded as doubles; NaN and infinity stay as they are.
+    One rule for every size of value: a tie that binary noise has moved by less than 1e-9 of the last place
+    counts as one. NULL, NaN and infinity stay as they are.
     """
-    exact = F.round(value.try_cast("decimal(18,6)"), digits).cast("double")
-    return F.coalesce(exact, F.round(value, digits))
+    scale = F.lit(float(10**digits))
+    return F.round(value * scale + F.signum(value) * 1e-9) / scale
 
 
 def nan_to_null(value: Column) -> Column:

@@ -19,20 +19,29 @@ def _first_day(year: int) -> Column:
     return F.make_date(F.lit(year), F.lit(1), F.lit(1))
 
 
+def is_train(test_year: int) -> Column:
+    """The target was already known when the test year began."""
+    return F.col("target_date") < _first_day(test_year)
+
+
+def is_test(first_year: int, last_year: int | None = None) -> Column:
+    """Observed in a test year, with a target in the same year."""
+    last_year = first_year if last_year is None else last_year
+    within = (F.col(DAY) >= _first_day(first_year)) & (F.col("target_date") < _first_day(last_year + 1))
+    return within & (F.year(DAY) == F.year("target_date"))
+
+
 def train_rows(long: DataFrame, test_year: int) -> DataFrame:
-    """Rows whose target was already known when the test year began."""
-    return long.where(F.col("target_date") < _first_day(test_year))
+    return long.where(is_train(test_year))
 
 
 def test_rows(long: DataFrame, first_year: int, last_year: int | None = None) -> DataFrame:
-    """Rows observed in a test year whose target lies in the same year, with that year.
+    """Rows of the test years, with the year.
 
     A forecast that crosses the end of the year belongs to no test year. Test years do not overlap,
     so one filter gives the rows of all of them.
     """
-    last_year = first_year if last_year is None else last_year
-    rows = long.where((F.col(DAY) >= _first_day(first_year)) & (F.col("target_date") < _first_day(last_year + 1)))
-    return rows.where(F.year(DAY) == F.year("target_date")).withColumn("test_year", F.year(DAY))
+    return long.where(is_test(first_year, last_year)).withColumn("test_year", F.year(DAY))
 
 
 def damped_persistence(rows: DataFrame, damping: float = 0.6, half_width: float = 5.0) -> DataFrame:

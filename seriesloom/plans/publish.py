@@ -6,13 +6,14 @@ import datetime
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.plans.climate import ENTITY
 from seriesloom.schemas import columns
-from seriesloom.sources.tables import _child_names, path_exists
+from seriesloom.sources.tables import child_names, path_exists
 
 MANIFEST = columns(
     "exported_at TIMESTAMP, table_name STRING, row_count BIGINT, byte_count BIGINT, data_through DATE"
@@ -112,23 +113,34 @@ def publish(spark: SparkSession, staging: str, live: str, expected: Iterable[str
         nothing = wanted.limit(0).withColumn("row_count", F.lit(0))
         observed = _staged_sizes(spark, staging, staged) if staged else nothing
         problems = manifest_differences(manifest, wanted, observed).collect()
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
+        if not _is_unreadable(error):
+            raise
         raise PublishRefused(f"a staged table cannot be read: {error}") from error
-    except Exception as error:  # failures of running tasks arrive as Py4J errors
-        if "SparkException" in type(error).__name__ or "Py4J" in type(error).__name__:
-            raise PublishRefused(f"a staged table cannot be read: {error}") from error
-        raise
     if problems:
         raise PublishRefused("; ".join(sorted(f"{p.table_name}: {p.problem}" for p in problems)))
-    version = max(_live_versions(spark, live), default=-1) + 1
+    # One past every pointer ever begun: one left behind by a crash must not block the next.
+    version = max(_pointers(spark, live), default=-1) + 1
     pointer = spark.createDataFrame([(staging,)], "folder STRING").coalesce(1)
     pointer.write.mode("errorifexists").json(f"{live}/v={version}")
     return staging
 
 
+# Error classes of files that are missing, damaged or not Parquet.
+UNREADABLE = ("FAILED_READ_FILE", "CANNOT_READ_FILE", "PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_MERGE_SCHEMA")
+
+
+def _is_unreadable(error: Exception) -> bool:
+    """Whether the data is at fault; a lost cluster or a programming error is not a refused export."""
+    return any(name in str(error) for name in UNREADABLE)
+
+
+def _pointers(spark: SparkSession, live: str) -> list[int]:
+    return [int(n[2:]) for n in child_names(spark, live) if n.startswith("v=")]
+
+
 def _live_versions(spark: SparkSession, live: str) -> list[int]:
-    names = [n for n in _child_names(spark, live) if n.startswith("v=")]
-    return [int(n[2:]) for n in names if path_exists(spark, f"{live}/{n}/_SUCCESS")]
+    return [v for v in _pointers(spark, live) if path_exists(spark, f"{live}/v={v}/_SUCCESS")]
 
 
 def live_folder(spark: SparkSession, live: str) -> str:

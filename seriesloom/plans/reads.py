@@ -99,9 +99,9 @@ def complete_years(yearly: DataFrame) -> DataFrame:
 
 
 def year_scale(yearly: DataFrame) -> DataFrame:
-    """Each year's deviation on the tighter yearly scale, and in words."""
+    """Each complete year's deviation on the tighter yearly scale, and in words."""
     value = F.col("anomaly_c")
-    return yearly.select(
+    return complete_years(yearly).select(
         ENTITY, "year", "anomaly_c",
         clamp_scale(value, YEAR_LIMIT).alias("scale"),
         describe_vs_average(value).alias("in_words"),
@@ -109,15 +109,15 @@ def year_scale(yearly: DataFrame) -> DataFrame:
 
 
 def moving_average(yearly: DataFrame, rows: int = RECENT_YEARS) -> DataFrame:
-    """Mean over ten rows, from the tenth row on."""
+    """Mean over ten complete years, from the tenth on."""
     by_year = Window.partitionBy(ENTITY).orderBy("year")
-    return yearly.select(ENTITY, "year", "anomaly_c", full_moving_mean("anomaly_c", by_year, rows).alias("moving_mean"))
+    return complete_years(yearly).select(ENTITY, "year", "anomaly_c", full_moving_mean("anomaly_c", by_year, rows).alias("moving_mean"))
 
 
 def warmest_years(yearly: DataFrame, count: int = WARMEST) -> DataFrame:
-    """The warmest years of each entity; the earlier year comes first on a tie."""
+    """The warmest complete years of each entity; the earlier year comes first on a tie."""
     warm_first = Window.partitionBy(ENTITY).orderBy(F.col("anomaly_c").desc(), "year")
-    ranked = yearly.select(ENTITY, "year", "anomaly_c", F.row_number().over(warm_first).alias("warm_rank"))
+    ranked = complete_years(yearly).select(ENTITY, "year", "anomaly_c", F.row_number().over(warm_first).alias("warm_rank"))
     return ranked.where(F.col("warm_rank") <= count)
 
 

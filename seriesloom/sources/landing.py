@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from seriesloom import schemas
 from seriesloom.functions.calendar import stamp
+from seriesloom.sources.tables import child_names
 
 SNAPSHOT = "snapshot"
 
@@ -68,16 +69,12 @@ def land_snapshot(records: DataFrame, folder: str, run_stamp: str) -> None:
 
 
 def newest_snapshot(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """The records of the snapshot whose name sorts last.
-
-    The name is a partition column, so older snapshots are not read for the records.
-    """
-    with_name = T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.StringType())])
-    everything = spark.read.schema(with_name).json(folder)
-    newest = everything.agg(F.max(SNAPSHOT)).first()[0]
-    if newest is None:
+    """The records of the snapshot whose name sorts last. Only folder names are looked at to find it."""
+    prefix = f"{SNAPSHOT}="
+    names = [n for n in child_names(spark, folder) if n.startswith(prefix)]
+    if not names:
         raise FileNotFoundError(f"no snapshot below {folder}")
-    return everything.where(F.col(SNAPSHOT) == newest).drop(SNAPSHOT)
+    return spark.read.schema(schema).json(f"{folder}/{max(names)}")
 
 
 def run_stamp() -> Column:

@@ -12,10 +12,19 @@ from seriesloom.operators.latest import keep_latest, replace_matching
 from seriesloom.schemas import columns
 
 PART = "part_key"
-COMMIT_SCHEMA = columns("part STRING, version BIGINT")
+# Rows of a commit: (part, version) of each part; (query, batch) merged last; (mark, high) of each tracked column.
+COMMIT_SCHEMA = columns("part STRING, version BIGINT, query STRING, batch BIGINT, mark STRING, high STRING")
 
 
-def _child_names(spark: SparkSession, folder: str) -> list[str]:
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed, or is about to, since this one read the table."""
+
+
+class DuplicateKeys(ValueError):
+    """A batch to be merged holds two rows for one key."""
+
+
+def child_names(spark: SparkSession, folder: str) -> list[str]:
     """Names of the entries of a folder; empty when it does not exist."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -57,42 +66,95 @@ def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int,
     return df.sparkSession.table(name)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def part_name(part: Column) -> Column:
+    """A folder name for any value of a part: hex digits, so nothing needs escaping, and NULL has a name of its own."""
+    return F.coalesce(F.concat(F.lit("x"), F.hex(part.cast("string"))), F.lit("null"))
+
+
+def place_year(buckets: int, place: str = "location_id", day: str = "weather_date") -> Column:
+    """Parts of a daily table: a bucket of places and a year. A year of new days touches one year's parts, all of a
+    place's history one bucket's parts."""
+    return F.concat_ws("-", F.pmod(F.xxhash64(place), F.lit(buckets)), F.year(day))
+
+
+def register_bucketed(spark: SparkSession, name: str, path: str, key: str, buckets: int, order: Sequence[str] = ()) -> None:
+    """Make a layer written by ``write_bucketed`` known to this session, with its buckets, without reading its rows."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    sort = f" SORTED BY ({', '.join(order)})" if order else ""
+    spark.sql(f"CREATE TABLE `{name}` ({fields}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({key}){sort} INTO {buckets} BUCKETS")
+
+
+class Commit:
+    """What one commit says: the version of each part, the last batch of each stream, the tracked maxima."""
+
+    def __init__(self, version: int = -1):
+        self.version = version
+        self.parts: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.marks: dict[str, str] = {}
+
+
 class VersionedTable:
     """A Parquet table whose commits replace whole parts and appear at once.
 
     The rows live in ``data/v=<version>/part_key=<part>``; a commit is one small folder below
     ``commits`` that says which version holds each part, and counts only once Spark has marked it
-    complete. Parts that a commit does not touch keep their files. Committing the same version
-    again writes the same result from the same parent, so a replayed micro-batch changes nothing.
-
-    ``part`` must have few values, bounded by the calendar (such as the month) or by a fixed number
-    of buckets: the list of parts is read by the driver.
+    complete. Parts that a commit does not touch keep their files. A version is never used twice: a writer
+    claims the next free number with a file only one writer can create, and checks before it commits that nobody
+    else has. A stream's batch is recorded in the commit under the stream's id, so a replayed batch is
+    skipped, and a stream that starts anew from a fresh checkpoint merges its rows once more without
+    touching what is there.
+
+    ``part`` must have few values, bounded by the calendar and a fixed number of buckets: their
+    names are read by the driver. ``tracked`` columns have their highest value kept in the commit.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, part: Column | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, part: Column | None = None,
+                 tracked: Sequence[str] = ()):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
-        self.part = (part if part is not None else F.lit("all")).cast("string")
+        self.part = part_name(part if part is not None else F.lit("all"))
+        self.tracked = tuple(tracked)
+        others = [c for c in self.tracked if schema[c].dataType != T.StringType()]
+        if others:
+            raise ValueError(f"only text columns, such as time stamps in order of text, can be tracked: {others}")
 
     # -- reading
 
+    def _numbers(self, folder: str) -> list[int]:
+        return [int(n[2:]) for n in child_names(self.spark, f"{self.path}/{folder}") if n.startswith("v=")]
+
     def versions(self) -> list[int]:
-        found = []
-        for name in _child_names(self.spark, f"{self.path}/commits"):
-            if name.startswith("v=") and path_exists(self.spark, f"{self.path}/commits/{name}/_SUCCESS"):
-                found.append(int(name[2:]))
-        return sorted(found)
-
-    def _parts(self, before: int | None = None) -> dict[str, int]:
-        usable = [v for v in self.versions() if before is None or v < before]
-        if not usable:
-            return {}
-        commit = self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.path}/commits/v={usable[-1]}")
-        return {r["part"]: r["version"] for r in commit.collect()}
+        """All complete versions that are still kept."""
+        found = sorted(self._numbers("commits"))
+        return [v for v in found if path_exists(self.spark, f"{self.path}/commits/v={v}/_SUCCESS")]
+
+    def newest(self) -> Commit:
+        """The newest complete commit; looks at as few folders as it can."""
+        for version in sorted(self._numbers("commits"), reverse=True):
+            if path_exists(self.spark, f"{self.path}/commits/v={version}/_SUCCESS"):
+                return self._commit_of(version)
+        return Commit()
+
+    def _commit_of(self, version: int) -> Commit:
+        commit = Commit(version)
+        for r in self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.path}/commits/v={version}").collect():
+            if r["part"] is not None:
+                commit.parts[r["part"]] = r["version"]
+            elif r["query"] is not None:
+                commit.batches[r["query"]] = r["batch"]
+            elif r["mark"] is not None:
+                commit.marks[r["mark"]] = r["high"]
+        return commit
 
     def exists(self) -> bool:
-        return bool(self.versions())
+        return self.newest().version >= 0
 
     def _read_parts(self, parts: dict[str, int]) -> DataFrame:
         if not parts:
@@ -103,10 +165,24 @@ class VersionedTable:
 
     def read(self) -> DataFrame:
         """The rows of the newest complete version."""
-        return self._read_parts(self._parts())
+        return self._read_parts(self.newest().parts)
+
+    def high_water(self, column: str) -> str | None:
+        """The highest value of a tracked column, as text, from the commit alone."""
+        if column not in self.tracked:
+            raise ValueError(f"{column} is not tracked")
+        return self.newest().marks.get(column)
 
     # -- writing
 
+    def _claim(self) -> int:
+        """A version no writer has used or will use: one past all that left any trace."""
+        version = max([-1, *self._numbers("commits"), *self._numbers("data"), *self._numbers("claims")]) + 1
+        fs, path = _file_system(self.spark, f"{self.path}/claims/v={version}")
+        if not fs.createNewFile(path):
+            raise ConcurrentWrite(f"version {version} of {self.path} is being written by another writer")
+        return version
+
     def _write(self, df: DataFrame, version: int) -> set[str]:
         """Write the rows of some parts and return which parts were written.
 
@@ -115,52 +191,101 @@ class VersionedTable:
         """
         folder = f"{self.path}/data/v={version}"
         rows = df.select(*self.schema.fieldNames()).withColumn(PART, self.part)
-        rows.hint("rebalance", PART).write.mode("overwrite").partitionBy(PART).parquet(folder)
+        rows.hint("rebalance", PART).write.mode("errorifexists").partitionBy(PART).parquet(folder)
         prefix = f"{PART}="
-        return {n[len(prefix):] for n in _child_names(self.spark, folder) if n.startswith(prefix)}
-
-    def _commit(self, parts: dict[str, int], version: int) -> None:
-        rows = self.spark.createDataFrame(sorted(parts.items()), COMMIT_SCHEMA)
-        rows.coalesce(1).write.mode("overwrite").json(f"{self.path}/commits/v={version}")
-
-    def next_version(self) -> int:
-        return max(self.versions(), default=-1) + 1
+        return {n[len(prefix):] for n in child_names(self.spark, folder) if n.startswith(prefix)}
+
+    def _commit(self, commit: Commit, version: int) -> None:
+        """Publish ``commit``, which was made from version ``commit.version``, as ``version``."""
+        if self.newest().version != commit.version:
+            raise ConcurrentWrite(f"{self.path} has a newer version than {commit.version}")
+        none = (None,) * 6
+        rows = [(p, v, *none[:4]) for p, v in sorted(commit.parts.items())]
+        rows += [(None, None, q, b, None, None) for q, b in sorted(commit.batches.items())]
+        rows += [(None, None, None, None, m, h) for m, h in sorted(commit.marks.items())]
+        frame = self.spark.createDataFrame(rows, COMMIT_SCHEMA)
+        frame.coalesce(1).write.mode("errorifexists").json(f"{self.path}/commits/v={version}")
+
+    def _marks(self, rows: DataFrame) -> dict[str, str]:
+        if not self.tracked:
+            return {}
+        highest = rows.agg(*[F.max(c).cast("string").alias(c) for c in self.tracked]).first()
+        return {c: highest[c] for c in self.tracked if highest[c] is not None}
 
-    def overwrite(self, df: DataFrame, version: int | None = None) -> None:
+    def overwrite(self, df: DataFrame) -> None:
         """Replace the whole table; its columns may be others than before."""
-        version = self.next_version() if version is None else version
+        commit, version = self.newest(), self._claim()
         self.schema = df.schema
-        written = self._write(df, version)
-        self._commit({part: version for part in written}, version)
-
-    def _touched(self, batch: DataFrame) -> set[str]:
-        rows = batch.select(self.part.alias("part")).distinct().collect()
-        return {r["part"] for r in rows}
+        commit.parts = {part: version for part in self._write(df, version)}
+        commit.marks = self._marks(self._read_parts(commit.parts))
+        self._commit(commit, version)
 
     def upsert_latest(
-        self, batch: DataFrame, keys: Sequence[str], sequence: Sequence[str], version: int | None = None
+        self, batch: DataFrame, keys: Sequence[str], sequence: Sequence[str], source: tuple[str, int] | None = None
     ) -> None:
-        """Merge a batch so that each key keeps its row with the highest sequence, old or new."""
-        self._merge(batch, version, lambda old, new: keep_latest(old.unionByName(new), keys, sequence))
+        """Merge a batch so that each key keeps its row with the highest sequence, old or new.
 
-    def upsert(self, batch: DataFrame, keys: Sequence[str], version: int | None = None) -> None:
-        """Merge a batch whose rows replace those with the same key; others are added."""
-        self._merge(batch, version, lambda old, new: replace_matching(old, new, keys))
-
-    def _merge(self, batch: DataFrame, version: int | None, combine) -> None:
-        version = self.next_version() if version is None else version
-        parts = self._parts(before=version)
+        ``source`` is a stream's id and batch number; a batch the table has already is skipped.
+        """
+        self._merge(batch, source, lambda old, new: keep_latest(old.unionByName(new), keys, sequence))
+
+    def upsert(self, batch: DataFrame, keys: Sequence[str], source: tuple[str, int] | None = None) -> None:
+        """Merge a batch whose rows replace those with the same key; others are added. Two rows of a key are an error."""
+        twice = batch.groupBy(*keys).count().where("count > 1").limit(3).collect()
+        if twice:
+            raise DuplicateKeys(f"more than one row for a key, such as {[tuple(r)[:-1] for r in twice]}")
+        self._merge(batch, source, lambda old, new: replace_matching(old, new, keys))
+
+    def _merge(self, batch: DataFrame, source: tuple[str, int] | None, combine) -> None:
+        commit = self.newest()
+        if source is not None:
+            query, number = source
+            if commit.batches.get(query, -1) >= number:
+                return
+            commit.batches[query] = number
         new = batch.select(*self.schema.fieldNames())
-        touched = self._touched(new)
-        old = self._read_parts({p: v for p, v in parts.items() if p in touched})
-        written = self._write(combine(old, new), version) if touched else set()
-        self._commit({**parts, **{part: version for part in written}}, version)
-
-
-def newer_than_target(source: DataFrame, target: DataFrame, sequence: str) -> DataFrame:
+        touched = {r["part"] for r in new.select(self.part.alias("part")).distinct().collect()}
+        version = self._claim()
+        if touched:
+            old = self._read_parts({p: v for p, v in commit.parts.items() if p in touched})
+            written = self._write(combine(old, new), version)
+            fresh = {part: version for part in written}
+            commit.parts.update(fresh)
+            marks = self._marks(self._read_parts(fresh))
+            commit.marks.update({c: max(h, commit.marks.get(c, h)) for c, h in marks.items()})
+        self._commit(commit, version)
+
+    def expire(self, keep: int) -> list[int]:
+        """Remove all but the newest ``keep`` versions and the data folders none of those names.
+
+        Readers of an older version must be done. Unfinished folders go too, so no writer may be at work.
+        """
+        if keep < 1:
+            raise ValueError("at least the newest version stays")
+        complete = self.versions()
+        kept = complete[-keep:]
+        if not kept:
+            return []
+        used = set(kept) | {v for k in kept for v in self._commit_of(k).parts.values()}
+        gone = []
+        for folder, needed in (("commits", set(kept)), ("data", used)):
+            for number in self._numbers(folder):
+                if number not in needed:
+                    fs, path = _file_system(self.spark, f"{self.path}/{folder}/v={number}")
+                    fs.delete(path, True)
+                    gone.append(number)
+        return sorted(set(gone))
+
+
+def newer_than_target(source: DataFrame, target: VersionedTable | DataFrame, sequence: str) -> DataFrame:
     """Source rows past the target's high-water mark; everything when the target is empty.
 
-    The mark is read first and passed as a literal, so the filter reaches the source's files.
+    The mark is read first and passed as a literal, so the filter reaches the source's files. A versioned
+    table that tracks the column gives it without reading any row.
     """
+    if isinstance(target, VersionedTable):
+        mark = target.high_water(sequence)
+        kind = source.schema[sequence].dataType
+        return source if mark is None else source.where(F.col(sequence) > F.lit(mark).cast(kind))
     mark = target.agg(F.max(sequence)).first()[0]
     return source if mark is None else source.where(F.col(sequence) > F.lit(mark))

@@ -13,7 +13,7 @@ from seriesloom import schemas
 from seriesloom.operators.latest import keep_latest
 from seriesloom.operators.nested import explode_parallel, missing_arrays, variant_fields
 from seriesloom.operators.quality import drop_violations, violation_counts
-from seriesloom.sources.tables import VersionedTable
+from seriesloom.sources.tables import VersionedTable, place_year
 
 # Where each field sits in a daily reply.
 REPLY_FIELDS = {
@@ -41,20 +41,37 @@ LOCATION_FIELDS = {
     "population": ("$.population", "bigint"),
 }
 
-# Rows failing these are dropped.
+def present(*names: str) -> str:
+    return " and ".join(f"{n} is not null" for n in names)
+
+
+def within(name: str, low: float, high: float) -> str:
+    return f"({name} >= {low} and {name} <= {high})"
+
+
+def unless_missing(rule: str, *names: str) -> str:
+    """A rule that a missing value does not break."""
+    return " or ".join([*(f"{n} is null" for n in names), rule])
+
+
+# The limits of the expectations.
+LATITUDE, LONGITUDE, PLAUSIBLE_MAX_C, LEAST_RAIN = (-90, 90), (-180, 180), (-90, 60), 0
+
+# Rows failing these are dropped.
 WEATHER_REQUIRED = {
-    "valid_key": "location_id is not null and weather_date is not null",
-    "complete_day": "temperature_mean_c is not null",
+    "valid_key": present("location_id", "weather_date"),
+    "complete_day": present("temperature_mean_c"),
 }
 LOCATION_REQUIRED = {
-    "valid_location": "location_id is not null and latitude between -90 and 90 and longitude between -180 and 180",
+    "valid_location": " and ".join(
+        [present("location_id"), within("latitude", *LATITUDE), within("longitude", *LONGITUDE)]),
 }
-# Rows failing these are kept and counted.
+# Rows failing these are kept and counted.
 WEATHER_EXPECTED = {
-    "plausible_temperature": "temperature_max_c is null or temperature_max_c between -90 and 60",
-    "min_not_above_max": "temperature_min_c is null or temperature_max_c is null"
-                         " or temperature_min_c <= temperature_max_c",
-    "non_negative_precipitation": "precipitation_mm is null or precipitation_mm >= 0",
+    "plausible_temperature": unless_missing(within("temperature_max_c", *PLAUSIBLE_MAX_C), "temperature_max_c"),
+    "min_not_above_max": unless_missing(
+        "temperature_max_c >= temperature_min_c", "temperature_min_c", "temperature_max_c"),
+    "non_negative_precipitation": unless_missing(f"precipitation_mm >= {LEAST_RAIN}", "precipitation_mm"),
 }
 
 SOURCE = "_source_file"
@@ -99,11 +116,10 @@ def with_source(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(SOURCE, T.StringType())])
 
 
-def weather_table(spark: SparkSession, path: str) -> VersionedTable:
-    """The daily table, in parts of one month: a refresh of recent days rewrites only those months."""
-    return VersionedTable(
-        spark, path, with_source(schemas.WEATHER_DAILY), F.date_format("weather_date", "yyyyMM")
-    )
+def weather_table(spark: SparkSession, path: str, buckets: int = 16) -> VersionedTable:
+    """The daily table, in parts of a bucket of places and a year: new days rewrite one year's parts, a place's
+    whole history one bucket's. It tracks the newest extraction, which later loads start from."""
+    return VersionedTable(spark, path, with_source(schemas.WEATHER_DAILY), place_year(buckets), ("extracted_at",))
 
 
 def location_table(spark: SparkSession, path: str, buckets: int = 16) -> VersionedTable:
@@ -112,37 +128,68 @@ def location_table(spark: SparkSession, path: str, buckets: int = 16) -> Version
     )
 
 
+METRICS = schemas.columns("table_name STRING, query STRING, batch BIGINT, metric STRING, amount BIGINT")
+OnMetrics = Callable[[str, int, dict[str, int]], None]
+
+
+def metrics_sink(spark: SparkSession, path: str, table: str) -> OnMetrics:
+    """Keeps the counts of every batch below ``path``; a batch that is run again replaces its own."""
+    def keep(query: str, batch: int, counts: dict[str, int]) -> None:
+        rows = [(table, query, batch, name, int(amount)) for name, amount in sorted(counts.items())]
+        frame = spark.createDataFrame(rows, METRICS).coalesce(1)
+        frame.write.mode("overwrite").parquet(f"{path}/{table}-{query}-{batch}")
+
+    return keep
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """All counts kept below ``path``: table_name, query, batch, metric, amount."""
+    return spark.read.schema(METRICS).option("recursiveFileLookup", "true").parquet(path)
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps as long as its checkpoint."""
+    return spark.read.schema("id STRING").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def upsert_stream(
-    rows: DataFrame,
+    raw: DataFrame,
+    prepare: Callable[[DataFrame], DataFrame],
     target: VersionedTable,
     keys: Sequence[str],
     sequence: Sequence[str],
     required: dict[str, str],
     expected: dict[str, str],
     checkpoint: str,
-    on_metrics: Callable[[int, dict[str, int]], None] | None = None,
+    on_metrics: OnMetrics | None = None,
+    measure: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Merge a stream into a keyed table: drop bad rows first, then the highest sequence wins.
+    """Merge a stream of raw rows into a keyed table: drop bad rows first, then the highest sequence wins.
 
-    Because dropping comes first, a newer but incomplete row never replaces an older complete one.
-    The batch number is the table version, so a batch that is run again repeats the same commit.
+    Because dropping comes first, a newer but incomplete row never replaces an older complete one. The table
+    records the stream's id and batch number, so a batch that is run again is skipped.
     """
+    spark = raw.sparkSession
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        good = drop_violations(batch, required)
+        query = query_id(spark, checkpoint)
+        rows = prepare(batch)
         # One row per key is all the merge needs, and it is read several times.
-        newest = keep_latest(good, keys, sequence).persist()
+        newest = keep_latest(drop_violations(rows, required), keys, sequence).persist()
         try:
-            target.upsert_latest(newest, keys, sequence, version=batch_id)
+            target.upsert_latest(newest, keys, sequence, source=(query, batch_id))
             if on_metrics:
                 dropped = [c.alias(f"dropped_{n}") for n, c in zip(required, violation_counts(required), strict=True)]
                 warned = violation_counts(expected)
-                counts = batch.agg(F.count(F.lit(1)).alias("row_count"), *dropped, *warned).first()
-                on_metrics(batch_id, counts.asDict())
+                counts = rows.agg(F.count(F.lit(1)).alias("row_count"), *dropped, *warned).first().asDict()
+                if measure:
+                    counts |= measure(batch).first().asDict()
+                on_metrics(query, batch_id, counts)
         finally:
             newest.unpersist()
 
     return (
-        rows.writeStream.foreachBatch(merge)
+        raw.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -162,13 +209,14 @@ def refresh_weather(
     raw_path: str,
     path: str,
     checkpoint: str,
-    on_metrics: Callable[[int, dict[str, int]], None] | None = None,
+    buckets: int = 16,
+    on_metrics: OnMetrics | None = None,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    rows = weather_rows(raw_stream(spark, raw_path, max_files_per_trigger))
     return upsert_stream(
-        rows, weather_table(spark, path), ("location_id", "weather_date"), ("extracted_at", SOURCE),
-        WEATHER_REQUIRED, WEATHER_EXPECTED, checkpoint, on_metrics,
+        raw_stream(spark, raw_path, max_files_per_trigger), weather_rows, weather_table(spark, path, buckets),
+        ("location_id", "weather_date"), ("extracted_at", SOURCE), WEATHER_REQUIRED, WEATHER_EXPECTED, checkpoint,
+        on_metrics, reply_metrics,
     )
 
 
@@ -177,12 +225,11 @@ def refresh_locations(
     raw_path: str,
     path: str,
     checkpoint: str,
-    on_metrics: Callable[[int, dict[str, int]], None] | None = None,
+    buckets: int = 16,
+    on_metrics: OnMetrics | None = None,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    rows = location_rows(raw_stream(spark, raw_path, max_files_per_trigger))
     return upsert_stream(
-        rows, location_table(spark, path), ("location_id",), ("_file_modified_at", SOURCE),
-        LOCATION_REQUIRED, {}, checkpoint, on_metrics,
+        raw_stream(spark, raw_path, max_files_per_trigger), location_rows, location_table(spark, path, buckets),
+        ("location_id",), ("_file_modified_at", SOURCE), LOCATION_REQUIRED, {}, checkpoint, on_metrics,
     )
-

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import glob
+import os
 import shutil
 
 import pytest
@@ -70,3 +71,10 @@ def test_bad_exports_are_refused_and_nothing_changes(spark, folder):
     refused(spark, f"{folder}/bad", live, EXPECTED, "city_summary: not staged")
     refused(spark, f"{folder}/nothing", live, EXPECTED, "no complete manifest")
     assert publish.live_folder(spark, live) == f"{folder}/good"
+
+    # A pointer left behind by a crash is not current, and does not block the next publication.
+    os.makedirs(f"{live}/v=1")
+    assert publish.live_folder(spark, live) == f"{folder}/good"
+    export(spark, f"{folder}/better")
+    publish.publish(spark, f"{folder}/better", live, EXPECTED)
+    assert publish.live_folder(spark, live) == f"{folder}/better"

@@ -74,6 +74,10 @@ def test_moving_average_and_warmest(spark):
     table = yearly(spark, range(2000, 2012))
     assert [r.moving_mean is None for r in reads.moving_average(table).orderBy("year").collect()] == [True] * 9 + [False] * 3
     assert reads.warmest_years(table).count() == 10
+    # A year that is not complete takes no part, however warm it is.
+    with_part = table.unionByName(yearly(spark, range(2012, 2013), 1, lambda y: False).withColumn("anomaly_c", F.lit(99.0)))
+    assert reads.warmest_years(with_part).exceptAll(reads.warmest_years(table)).isEmpty()
+    assert reads.moving_average(with_part).count() == 12 and reads.year_scale(with_part).count() == 12
 
 
 FORECAST = ("location_id bigint, target_date date, horizon_days int, temperature_low_c double, temperature_mid_c double,"

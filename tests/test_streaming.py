@@ -42,7 +42,7 @@ def refresh(spark, base, metrics=None):
     keep = metrics.append if metrics is not None else None
     silver.refresh_weather(
         spark, f"{base}/raw", f"{base}/silver", f"{base}/silver_cp",
-        on_metrics=(lambda _, counts: keep(counts)) if keep else None,
+        on_metrics=(lambda query, batch, counts: keep(counts)) if keep else None,
     ).awaitTermination()
 
 
@@ -71,7 +71,7 @@ def test_files_are_taken_once_and_metrics_are_counted(spark, folder):
     assert len(metrics) == 1
     assert metrics[0] == {
         "row_count": 6, "dropped_valid_key": 0, "dropped_complete_day": 1, "plausible_temperature": 1,
-        "min_not_above_max": 1, "non_negative_precipitation": 1,
+        "min_not_above_max": 1, "non_negative_precipitation": 1, "replies": 3, "replies_without_rows": 0,
     }
     assert result(spark, folder) == EXPECTED
 

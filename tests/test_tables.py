@@ -64,26 +64,100 @@ def test_only_touched_parts_are_rewritten(spark, folder):
     target = table(spark, folder)
     target.upsert(rows(spark, (1, 0, 1, "a"), (2, 1, 1, "b")), ["k"])
     target.upsert(rows(spark, (2, 1, 1, "c")), ["k"])
-    assert sorted(os.listdir(f"{folder}/t/data/v=1"))[-1] == "part_key=1"
-    assert not glob.glob(f"{folder}/t/data/v=1/part_key=0")
+    assert [n for n in os.listdir(f"{folder}/t/data/v=1") if n.startswith("part")] == ["part_key=x31"]
     assert [r[3] for r in tuples(target.read(), "k")] == ["a", "c"]
 
 
-def test_a_replayed_version_changes_nothing(spark, folder):
+def test_null_and_escaped_parts_are_merged(spark, folder):
+    target = VersionedTable(spark, f"{folder}/t", SCHEMA, F.col("v"))
+    target.upsert(rows(spark, (1, 0, 1, None), (2, 0, 1, "a:b"), (3, 0, 1, "a/b=%3A"), (4, 0, 1, "null"), (5, 0, 1, "")), ["k"])
+    target.upsert(rows(spark, (6, 0, 1, None), (7, 0, 1, "a:b"), (8, 0, 1, "a/b=%3A"), (9, 0, 1, "null"), (10, 0, 1, "")), ["k"])
+    assert [r[0] for r in tuples(target.read(), "k")] == list(range(1, 11))
+
+
+def test_a_replayed_batch_is_skipped(spark, folder):
     target = table(spark, folder)
-    target.upsert_latest(rows(spark, (1, 0, 1, "a")), ["k"], ["seq"], version=0)
+    target.upsert_latest(rows(spark, (1, 0, 1, "a")), ["k"], ["seq"], source=("q", 0))
     for _ in range(2):
-        target.upsert_latest(rows(spark, (1, 0, 2, "b"), (2, 0, 1, "c")), ["k"], ["seq"], version=1)
+        target.upsert_latest(rows(spark, (1, 0, 2, "b"), (2, 0, 1, "c")), ["k"], ["seq"], source=("q", 1))
     assert target.versions() == [0, 1]
     assert tuples(target.read(), "k") == [(1, 0, 2, "b"), (2, 0, 1, "c")]
 
 
+def test_a_new_checkpoint_keeps_the_rows(spark, folder):
+    target = table(spark, folder)
+    target.upsert_latest(rows(spark, (1, 0, 1, "a")), ["k"], ["seq"], source=("first", 0))
+    target.upsert_latest(rows(spark, (3, 0, 1, "c")), ["k"], ["seq"], source=("second", 0))
+    assert [r[0] for r in tuples(target.read(), "k")] == [1, 3]
+
+
+def test_two_rows_of_a_key_are_refused(spark, folder):
+    target = table(spark, folder)
+    with pytest.raises(tables.DuplicateKeys):
+        target.upsert(rows(spark, (1, 0, 1, "a"), (1, 0, 2, "b")), ["k"])
+    assert not target.exists()
+
+
+def test_a_second_writer_is_refused(spark, folder, monkeypatch):
+    target, other = table(spark, folder), table(spark, folder)
+    target.upsert(rows(spark, (1, 0, 1, "a")), ["k"])
+    write = target._write
+
+    def slow(df, version):
+        other.upsert(rows(spark, (2, 0, 1, "b")), ["k"])
+        return write(df, version)
+
+    monkeypatch.setattr(target, "_write", slow)
+    with pytest.raises(tables.ConcurrentWrite):
+        target.upsert(rows(spark, (3, 0, 1, "c")), ["k"])
+    assert [r[0] for r in tuples(other.read(), "k")] == [1, 2]
+    monkeypatch.undo()
+    target.upsert(rows(spark, (3, 0, 1, "c")), ["k"])
+    assert [r[0] for r in tuples(other.read(), "k")] == [1, 2, 3]
+
+
 def test_an_unfinished_commit_is_not_seen(spark, folder):
     target = table(spark, folder)
     target.upsert(rows(spark, (1, 0, 1, "a")), ["k"])
     target._write(rows(spark, (1, 0, 1, "broken")), 1)
     os.makedirs(f"{folder}/t/commits/v=1")
     assert tuples(target.read()) == [(1, 0, 1, "a")]
+    target.upsert(rows(spark, (2, 0, 1, "b")), ["k"])
+    assert target.versions() == [0, 2]
+
+
+def test_high_water_mark_comes_from_the_commit(spark, folder):
+    target = VersionedTable(spark, f"{folder}/t", SCHEMA, F.col("part_of"), tracked=["v"])
+    assert tables.newer_than_target(rows(spark, (1, 0, 1, "a")), target, "v").count() == 1
+    target.upsert(rows(spark, (1, 0, 1, "c"), (2, 1, 1, "b")), ["k"])
+    target.upsert(rows(spark, (3, 1, 1, "a")), ["k"])
+    assert target.high_water("v") == "c"
+    assert [r[3] for r in tuples(tables.newer_than_target(rows(spark, (1, 0, 1, "b"), (2, 0, 1, "d")), target, "v"))] == ["d"]
+    with pytest.raises(ValueError):
+        target.high_water("seq")
+
+
+def test_expired_versions_are_removed(spark, folder):
+    target = table(spark, folder)
+    for k in range(4):
+        target.upsert(rows(spark, (k % 2, k % 2, k, f"v{k}")), ["k"])
+    assert target.expire(keep=1) == [0, 1, 2]
+    assert [r[3] for r in tuples(target.read(), "k")] == ["v2", "v3"] and target.versions() == [3]
+    target.upsert(rows(spark, (5, 0, 1, "w")), ["k"])
+    assert target.versions() == [3, 4]
+
+
+def test_a_backfill_rewrites_its_own_parts_only(spark, folder):
+    schema = schemas.columns("location_id BIGINT, weather_date DATE, x INT")
+    target = VersionedTable(spark, f"{folder}/t", schema, tables.place_year(8))
+    days = spark.sql("select explode(sequence(date'2000-01-01', date'2004-12-31', interval 10 days)) as weather_date")
+    places = spark.range(40).withColumnRenamed("id", "location_id")
+    target.upsert(places.crossJoin(days).withColumn("x", F.lit(1)), ["location_id", "weather_date"])
+    assert len(target.newest().parts) == 8 * 5
+    target.upsert(places.where("location_id = 3").crossJoin(days).withColumn("x", F.lit(2)), ["location_id", "weather_date"])
+    assert sum(v == 1 for v in target.newest().parts.values()) == 5
+    target.upsert(places.crossJoin(days.where("year(weather_date) = 2004")).withColumn("x", F.lit(3)), ["location_id", "weather_date"])
+    assert sum(v == 2 for v in target.newest().parts.values()) == 8
 
 
 def test_an_empty_batch_changes_nothing(spark, folder):
