@@ -14,9 +14,10 @@ component go on with a wider one.
 
 Stages: (1) documents with equal texts form classes by a 128-bit hash, and only the smallest
 doc_id of a class goes on; (2) signatures are cut into ``bands``; (3) each band bucket links its members to its smallest
-id, and those pairs are verified by exact overlap; (4) buckets that still hold several components are
-compared in full across components, block by block (an exact way for whatever the star left open), and
-verified; (5) components. Texts are shuffled once, for candidates only. No group is collected into one task.
+id, and those pairs are verified by exact overlap; (4) the documents of buckets that still hold
+several components are joined exactly: their shingles are ordered by how many of them have them, and two
+documents can only reach the threshold if they share one of their rarest (1 - threshold) part, so only such
+pairs are verified, and a passage that thousands share makes none; (5) components. Texts are shuffled once, for candidates only. No group is collected into one task.
 
 Null, empty and wordless texts have no shingles and are linked with nothing (equal wordless texts are copies, though). Repeated
 doc_ids count as one document each time (their rows get the same ids when the texts agree; the class is decided
@@ -186,6 +187,53 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(check, "a long, b long")
 
 
+def _prefix_pairs(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes: all that can reach the threshold.
+
+    ``members`` holds doc_id and component. Shingles that only one document has come first in the order and need no row;
+    a document whose prefix has no others can be linked with none.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.unique(np.asarray(b.values), return_counts=True) for b in part.column("bag")]
+                lengths = [len(v) for v, _ in found]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(part.column("doc_id").to_numpy(), lengths)), pa.array(np.concatenate([v for v, _ in found])),
+                    pa.array(np.concatenate([c for _, c in found]).astype(np.int32))], ["doc_id", "shingle", "n"])
+
+    def choose(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, docs, groups, totals, chosen = batch.slice(at, 256), [], [], [], []
+                for doc_id, group, total, shared in zip(*(part.column(c) for c in ("doc_id", "component", "total", "shared")), strict=True):
+                    df, shingle, n = (shared.values.field(k).to_numpy() for k in range(3))
+                    order = np.lexsort((shingle, df))
+                    total = total.as_py()
+                    alone = total - int(n.sum())
+                    before = alone + np.cumsum(n[order]) - n[order]
+                    keep = shingle[order][before < total - int(np.ceil(threshold * total - 1e-9)) + 1]
+                    docs.append(np.full(len(keep), doc_id.as_py(), np.int64))
+                    groups.append(np.full(len(keep), group.as_py(), np.int64))
+                    totals.append(np.full(len(keep), total, np.int64))
+                    chosen.append(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, groups, totals, chosen)],
+                                                 ["doc_id", "component", "total", "shingle"])
+
+    own = members.join(bags, "doc_id")
+    counted = store(own.select("doc_id", "bag").mapInArrow(count, "doc_id long, shingle long, n int"), "shingles")
+    common = counted.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = counted.join(common, "shingle").groupBy("doc_id").agg(F.collect_list(F.struct("df", "shingle", "n")).alias("shared"))
+    sized = own.select("doc_id", "component", F.size("bag").alias("total"))
+    prefix = store(shared.join(sized, "doc_id").select("doc_id", "component", "total", "shared").mapInArrow(
+        choose, "doc_id long, component long, total long, shingle long"), "prefixes")
+    one, two = (prefix.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"in_{x}"), F.col("total").alias(f"n_{x}")) for x in ("a", "b"))
+    near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
+    return one.join(two, "shingle").where(F.expr("a < b and in_a <> in_b") & near).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """Per document: doc_id, class_id, component_id (smallest id reachable over links), kept."""
     plain = _plain(docs)
@@ -211,9 +259,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int =
     placed = members.select("doc_id", "band", "key").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
     open_buckets = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = placed.join(open_buckets.select("band", "key"), ["band", "key"])
-    one, two = (rest.select("band", "key", F.col("doc_id").alias(x), F.col("component").alias(f"in_{x}")) for x in ("a", "b"))
-    across = one.join(two, ["band", "key"]).where("a < b and in_a <> in_b").select("a", "b").distinct()
+    rest = store(placed.join(open_buckets.select("band", "key"), ["band", "key"]).select("doc_id", "component").distinct(), "open")
+    across = _prefix_pairs(rest, bags, threshold)
     # Those that the star has compared already are not compared again.
     across = across.join(star, ["a", "b"], "left_anti")
     links = store(links.union(_verified(across, bags, threshold)), "links")
