@@ -11,8 +11,10 @@ from seriesloom.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", **{
+        "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
+        "spark.sql.warehouse.dir": f"file://{tmp_path_factory.mktemp('warehouse')}",
         "spark.sql.shuffle.partitions": "4",
         "spark.driver.memory": "6g",
         "spark.sql.maxMetadataStringLength": "1000",
