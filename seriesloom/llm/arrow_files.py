@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seriesloom.llm.common import only
 from seriesloom.llm.tokens import encoder
 from seriesloom.session import store, work_dir
 
@@ -155,6 +156,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leng
     filesystem.create_dir(root, recursive=True)
 
     def write(batches):
+        only("tokens")
         encode, out, task, docs_seen = encoder(tokenizer).encode_bytes, None, TaskContext.get(), 0
         end = np.array([end_id], np.uint32).tobytes()
         target, base = pafs.FileSystem.from_uri(folder)

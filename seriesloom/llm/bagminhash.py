@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import byte_words, components, mix, shingle_hashes, uniform, word_hashes
+from seriesloom.llm.common import byte_words, components, mix, only, shingle_hashes, uniform, word_hashes
 from seriesloom.session import store
 
 SHINGLE = 5
@@ -155,6 +155,7 @@ def _banded(texts: DataFrame, slots: int, bands: int) -> DataFrame:
     """doc_id and its band keys (array)."""
 
     def sign(batches) -> Iterator[pa.RecordBatch]:
+        only("words")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -176,6 +177,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     right = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
 
     def check(batches):
+        only()
         for batch in batches:
             a, b = batch.column("bag_a"), batch.column("bag_b")
             keep = [
@@ -248,6 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int =
     ids = members.select("doc_id").distinct()
 
     def measure(batches):
+        only("words")
         for batch in batches:
             bags = [shingles(byte_words(t.as_py())).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags, pa.list_(pa.int64()))], ["doc_id", "bag"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from seriesloom.session import store
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-WORD_CACHE = 400_000
+WORD_CACHE = 300_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +50,22 @@ class Hashes(dict):
 
 _HASHES = Hashes()
 
+# Caches of this worker process by name. Workers live on from stage to stage, so an operator lets go of the others'.
+_HELD: dict[str, Callable[[], None]] = {"words": _HASHES.clear}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """Make a cache known, with what empties it."""
+    _HELD[name] = release
+
+
+def only(name: str = "") -> None:
+    """At the start of a task: empty all caches but ``name`` and give unused Arrow memory back."""
+    for other, release in _HELD.items():
+        if other != name:
+            release()
+    pa.default_memory_pool().release_unused()
+
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))

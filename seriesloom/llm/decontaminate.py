@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import byte_words, shingle_hashes, word_hashes, words
+from seriesloom.llm.common import byte_words, only, shingle_hashes, word_hashes, words
 from seriesloom.session import store
 
 WINDOW = 13
@@ -81,6 +81,7 @@ def runs(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((bitmap, sizes))
 
     def scan(batches):
+        only("words")
         bits, used = shared.value
         for batch in batches:
             counts, starts, found = [], [], []

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm.common import only
 from seriesloom.llm.tokens import encoder
 from seriesloom.session import store
 
@@ -184,6 +185,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     """
 
     def cut(batches):
+        only("tokens")
         encode, end = encoder(tokenizer).encode_bytes, np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             rows = []

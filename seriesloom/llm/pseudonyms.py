@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm.common import only
+
 ROUNDS = 10
 CACHE = 50_000
 
@@ -255,6 +257,7 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series) -> pd.Series:
+        only()
         change = _pseudonyms(key).text
         return texts.map(lambda t: change(t) if isinstance(t, str) else None).astype(object)
 

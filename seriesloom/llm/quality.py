@@ -22,13 +22,12 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.classify import clean_labels, sigmoid
-from seriesloom.llm.common import fold
+from seriesloom.llm.common import fold, only
 from seriesloom.session import store
 
 THRESHOLD = 0.7
@@ -121,6 +120,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id and statistics of every document: small rows, so that labels are joined to them and not to the texts."""
 
     def measure(batches):
+        only()
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column("text")], float).reshape(batch.num_rows, len(STATISTICS))
             yield pa.RecordBatch.from_arrays(
@@ -181,9 +181,11 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(measured(docs), labels))
 
-    @F.pandas_udf("boolean")
-    def accept(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts], float).reshape(len(texts), len(STATISTICS))
-        return pd.Series(shared.value.scores(x) >= threshold, index=texts.index)
+    def accept(batches):
+        only()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            x = np.array([statistics(t.as_py()) for t in texts], float).reshape(batch.num_rows, len(STATISTICS))
+            yield batch.filter(pa.array(shared.value.scores(x) >= threshold, pa.bool_()))
 
-    return docs.where(accept(F.col("text").cast("string")))
+    return docs.mapInArrow(accept, docs.schema)

@@ -15,7 +15,9 @@ from array import array
 
 import numpy as np
 
-CACHE = 400_000
+from seriesloom.llm.common import hold
+
+CACHE = 300_000
 # A word of Latin letters, none of which composes with another, with ASCII marks behind it: the library
 # cuts such a piece into just these two.
 LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -140,4 +142,5 @@ class Encoder:
 @functools.lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
     """One encoder per worker process and file; a bare name means an installed public file."""
+    hold("tokens", encoder.cache_clear)
     return Encoder(name if os.path.sep in name else public_path(name))
