@@ -12,12 +12,19 @@ from pyspark.sql import SparkSession
 
 from seriesloom.session import work_dir
 
+BATCH, DEFAULT_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 ROOT = Path(__file__).resolve().parent.parent
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add the package to the session's Python files once, unless PYTHONPATH already names it."""
+    """Add the package to the session's Python files once, unless PYTHONPATH already names it.
+
+    Rows are whole documents, so batches of Spark's default number of rows would take tens of megabytes in the JVM and
+    again in the worker; where that default is in force, smaller ones are set.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, ROWS)
     named = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if os.path.realpath(ROOT.parent) in named or getattr(context, "_seriesloom_shipped", False):
         return spark

@@ -17,7 +17,7 @@ import numpy as np
 
 from seriesloom.llm.common import hold
 
-CACHE = 300_000
+CACHE = 200_000
 # A word of Latin letters, none of which composes with another, with ASCII marks behind it: the library
 # cuts such a piece into just these two.
 LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
