@@ -235,6 +235,25 @@ def test_pseudonyms_stay_valid():
     assert len(values) == 100
 
 
+@pytest.mark.parametrize("text", ["password: correcthorse", "api_key = abcdefghijkl", "password:\tcorrecthorse", "secret =\nabcdefghijkl", "Token:  'abcdefghijkl'"])
+def test_values_after_a_key_word(text):
+    value = text.split()[-1].split(":")[-1].strip("'")
+    new = pseudonyms.Pseudonyms("key").text(f"my {text} then")
+    assert value not in new and len(new) == len(text) + 8 and new.endswith(" then")
+
+
+PIECES = [*CHANGED, *KEPT[:-1], "password:", "api_key =", "secret", "token", "correcthorse", "abcdefghijkl", "deadbeef" * 5, "ABCDEF" * 6 + "ABCD", "word", "12/27", "BIC", "+1", "(212)", "@", "'", ":", "="]
+
+
+@given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from([" ", "", "\t", "\n", "  ", ", "])), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_skipping_loses_nothing(parts):
+    text = "".join(a + b for a, b in parts)
+    plain = pseudonyms.re.compile("|".join(f"(?P<{k}>{v})" for k, (v, _) in pseudonyms.KINDS.items()))
+    assert [m.span() for m in pseudonyms.FOUND.finditer(text)] == [m.span() for m in plain.finditer(text)]
+    assert pseudonyms.HINT.search(text) or not plain.search(text)
+
+
 def test_pseudonymise_table(session, docs, clashing):
     rows = [(1, "call +1 (974) 555-3436"), (2, None), (3, ""), (4, "clean text"), (4, "clean text"), (None, "+1 (974) 555-3436"), (5, "ab " * 40_000 + "1.2.3.4")]
     table = clashing(docs(rows))
