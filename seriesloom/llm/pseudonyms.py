@@ -8,8 +8,9 @@ permutation. Nothing but the key is shared between tasks, so any task gives the
 
 What is found, and what stays valid:
 
-- payment card numbers of 13 to 19 digits with a right Luhn sum, plain or in groups: digits permuted, sum right again;
-- IBANs with right check digits: account part permuted, check digits right again;
+- payment card numbers of 13 to 19 digits with a right Luhn sum, plain or in groups, also next to other numbers: digits
+  permuted, sum right again;
+- IBANs with right check digits, also before other words: account part permuted, check digits right again;
 - telephone numbers in international or North American form: digits after the country code;
 - social security numbers (3-2-4 digits, valid areas); IPv4 addresses with octets up to 255: the 32-bit address;
 - calendar dates (1900 to 2099; ISO, slashes, points): another day of those years in the same layout;
@@ -22,11 +23,12 @@ other columns are handed on. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -107,18 +109,67 @@ FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
 
 
+# Groups that cards are printed in (a card in one group counts as well), and IBAN lengths by country.
+PRINTED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+LENGTHS = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+
+
+def card_windows(run: str, printed: bool = False) -> list[tuple[int, int]]:
+    """Places of cards in a run of digit groups: 13 to 19 digits of whole groups with a right Luhn sum.
+
+    Of windows that overlap, those in a usual layout (one kind of gap, first digit of 2 to 6) come first, then longer ones,
+    then earlier ones. ``printed`` leaves out the others.
+    """
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", run)]
+    found = []
+    for k in range(len(groups)):
+        size = 0
+        for j in range(k, len(groups)):
+            size += groups[j][1] - groups[j][0]
+            if size > 19:
+                break
+            usual = run[groups[k][0]] in "23456" and (j == k or tuple(b - a for a, b in groups[k : j + 1]) in PRINTED and len(
+                {run[b] for _, b in groups[k:j]}) == 1)
+            plain = re.sub(r"[ -]", "", run[groups[k][0] : groups[j][1]]) if size >= 13 and (usual or not printed) else ""
+            if plain and luhn_digit(plain[:-1]) == plain[-1]:
+                found.append((not usual, -size, groups[k][0], groups[j][1]))
+    taken: list[tuple[int, int]] = []
+    for _, _, a, b in sorted(found):
+        at = bisect.bisect(taken, (a, b))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b))
+    return taken
+
+
+def iban_end(text: str) -> int:
+    """Length of the valid IBAN that ``text`` begins with and that ends with one of its groups; 0 where there is none."""
+    known = LENGTHS.get(text[:2])
+    for inner in re.finditer(" (?=[A-Z]{2}[0-9]{2})", text) if not known else ():
+        # A code that is no country's may stand before an IBAN.
+        if text[inner.end() : inner.end() + 2] in LENGTHS and iban_end(text[inner.end() :]):
+            text = text[: inner.start()]
+            break
+    ends = {}
+    for end in [m.start() for m in re.finditer(" ", text)] + [len(text)]:
+        ends[end - text.count(" ", 0, end)] = end
+    for size in sorted(ends, key=lambda n: (n != known, -n)):
+        plain = text[: ends[size]].replace(" ", "")
+        if 15 <= size <= 34 and iban_digits(plain[:2], plain[4:]) == plain[2:4]:
+            return ends[size]
+    return 0
+
+
 def _card(f: Feistel, text: str) -> str:
     plain = re.sub(r"[ -]", "", text)
-    if not 13 <= len(plain) <= 19 or luhn_digit(plain[:-1]) != plain[-1]:
-        return text
     body = f.digits(plain[:-1], "card")
     return _refill(text, body + luhn_digit(body))
 
 
 def _iban(f: Feistel, text: str) -> str:
     plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or iban_digits(plain[:2], plain[4:]) != plain[2:4]:
-        return text
     account = f.characters(plain[4:], "iban" + plain[:2])
     at = iter(plain[:2] + iban_digits(plain[:2], account) + account)
     return "".join(c if c == " " else next(at) for c in text)
@@ -217,7 +268,7 @@ KINDS: dict[str, tuple[str, Callable[[Feistel, str], str]]] = {
     "date": (r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\d/-]|\.\d)", _date),
     "social": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _social),
     "address": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _address),
-    "card": (r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", _card),
+    "card": (r"(?<![\d.-])\d(?:[ -]?\d){12,}(?![\d-]|\.\d)", _card),
 }
 # One scan decides whether any kind can occur at all.
 HINT = re.compile(r"\d|@|(?i:token|passw|secret|api[_-]?key)|A[KS]IA|[A-Fa-f]{40}")
@@ -230,6 +281,8 @@ def _any(kinds: list[str]) -> re.Pattern:
 
 
 FOUND = _any(list(KINDS))
+CARD = re.compile(KINDS["card"][0])
+OTHERS = _any([k for k in KINDS if k != "card"])
 
 
 class Pseudonyms:
@@ -239,14 +292,47 @@ class Pseudonyms:
         self.feistel = Feistel(key)
         self.value = functools.lru_cache(CACHE)(lambda kind, text: KINDS[kind][1](self.feistel, text))
 
-    def _replace(self, match: re.Match) -> str:
-        return self.value(match.lastgroup, match[0])
+    def _values(self, text: str, pattern: re.Pattern, at: int, end: int) -> Iterator[tuple[int, int, str]]:
+        """Start, end and kind of the values in text[at:end], in order. What fails its check does not hide what follows in it."""
+        doubtful = 0
+        while found := pattern.search(text, at, end):
+            kind, start, at = found.lastgroup, found.start(), found.end()
+            if kind == "card":
+                # Other kinds may lie between the cards of a run of digits.
+                for a, b in card_windows(found[0], printed=start < doubtful):
+                    yield from self._values(text, OTHERS, start, found.start() + a)
+                    start = found.start() + b
+                    yield found.start() + a, start, kind
+                yield from self._values(text, OTHERS, start, at)
+            elif kind == "iban":
+                size = iban_end(found[0])
+                if size:
+                    yield start, start + size, kind
+                else:
+                    doubtful = at
+                at = start + (size or 4)
+            else:
+                if kind == "phone":
+                    at = self._before_card(text, start, at, end)
+                yield start, at, kind
+
+    def _before_card(self, text: str, start: int, at: int, end: int) -> int:
+        """Where a telephone number ends: at the latest before a card."""
+        for gap in re.finditer(r" (?=\d)", text[start:at]):
+            card = CARD.match(text, start + gap.end(), end)
+            if card and any(a == 0 for a, _ in card_windows(card[0], printed=True)):
+                return start + gap.start()
+        return at
 
     def text(self, text: str) -> str:
         """Texts with digits, @ signs or key words are searched whole for all kinds, the others are left alone."""
         if not HINT.search(text):
             return text
-        return FOUND.sub(self._replace, text)
+        parts, done = [], 0
+        for start, end, kind in self._values(text, FOUND, 0, len(text)):
+            parts += [text[done:start], self.value(kind, text[start:end])]
+            done = end
+        return "".join([*parts, text[done:]])
 
 
 @functools.lru_cache(4)

@@ -242,6 +242,22 @@ def test_values_after_a_key_word(text):
     assert value not in new and len(new) == len(text) + 8 and new.endswith(" then")
 
 
+@pytest.mark.parametrize("value", ["4111 1111 1111 1111", "3782 822463 10005", "5500-0000-0000-0004", "4041894974608795", "BE68 5390 0754 7034",
+                                   "AT61 1904 3002 3457 3201", "BE68539007547034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("around", ["{} 12/27", "{} 123", "12 {}", "ref 123 456 {} 12/27", "{} BIC", "{} CODE 12", "{} 1234 5678", "AB12 {}", "01/29 {} 987", "{0} {0}",
+                                    "+1 212 555 1234 {}", "{} 123-45-6789"])
+def test_cards_and_ibans_with_neighbours(value, around):
+    p = pseudonyms.Pseudonyms("key")
+    own, whole = p.text(value), around.format(value)
+    assert own != value and value not in p.text(whole) and own in p.text(whole)
+    assert "123-45-6789" not in p.text(whole) and "212 555 1234" not in p.text(whole)
+
+
+def test_long_runs_of_numbers():
+    p = pseudonyms.Pseudonyms("key")
+    assert len(p.text("1 22 333 " * 20_000)) == 180_000
+
+
 PIECES = [*CHANGED, *KEPT[:-1], "password:", "api_key =", "secret", "token", "correcthorse", "abcdefghijkl", "deadbeef" * 5, "ABCDEF" * 6 + "ABCD", "word", "12/27", "BIC", "+1", "(212)", "@", "'", ":", "="]
 
 
