@@ -14,7 +14,8 @@ What is found, and what stays valid:
 - telephone numbers in international or North American form: digits after the country code;
 - social security numbers (3-2-4 digits, valid areas); IPv4 addresses with octets up to 255: the 32-bit address;
 - calendar dates (1900 to 2099; ISO, slashes, points): another day of those years in the same layout;
-- e-mail addresses: letters and digits of the local part; keys, tokens and passwords: letters, digits and hex digits.
+- e-mail addresses: letters and digits of the local part; keys, tokens and passwords: letters, digits and hex digits, up to
+  white space or the closing quote, of any length.
 
 Numbers that fail their check (a wrong Luhn sum, an octet of 300, the 31st of February) stay as they are. Letters keep
 their case. The text's length never changes. Null texts stay null; empty ones empty. Repeated rows are treated alike;
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import only
 
 ROUNDS = 10
+# Longer letters and digits are permuted in blocks of this length, each under the values of those before it.
+BLOCK = 128
 CACHE = 50_000
 
 
@@ -68,6 +71,8 @@ class Feistel:
 
     def characters(self, text: str, tweak: str) -> str:
         """Permutes letters among letters of their case and digits among digits; other characters stay."""
+        if len(text) > BLOCK:
+            return self._blocks(self.characters, text, tweak)
         value, size, classes = 0, 1, []
         for c in text:
             base, count = ("0", 10) if "0" <= c <= "9" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else (c, 1)
@@ -81,7 +86,20 @@ class Feistel:
             out.append(chr(ord(base) + at))
         return "".join(reversed(out))
 
+    def _blocks(self, change: Callable[[str, str], str], text: str, tweak: str) -> str:
+        """Block by block, each under a hash of the blocks before it: different values stay different at any length."""
+        out, before = [], hashlib.blake2b(tweak.encode(), key=self.key)
+        for at in range(0, len(text), BLOCK):
+            part = text[at : at + BLOCK]
+            out.append(change(part, f"{tweak}+{before.hexdigest()}" if at else tweak))
+            before.update(part.encode("utf-8", "surrogatepass"))
+        return "".join(out)
+
     def hexadecimal(self, text: str, tweak: str) -> str:
+        if len(text) > BLOCK:
+            # Blocks of digits alone have no case of their own.
+            changed = self._blocks(self.hexadecimal, text.lower(), tweak)
+            return changed.upper() if text.upper() == text else changed.lower()
         changed = f"{self.permute(int(text, 16), 16 ** len(text), tweak):0{len(text)}x}"
         return changed.upper() if text.upper() == text else changed
 
@@ -246,7 +264,9 @@ def _date(f: Feistel, text: str) -> str:
 
 def _mail(f: Feistel, text: str) -> str:
     local, domain = text.rsplit("@", 1)
-    return f"{f.characters(local, 'mail' + domain.lower())}@{domain}"
+    # Signs before the first letter or digit are no part of the value.
+    head = re.match(r"[._%+-]*", local)[0]
+    return f"{head}{f.characters(local[len(head) :], 'mail' + domain.lower())}@{domain}"
 
 
 def _secret(f: Feistel, text: str) -> str:
@@ -258,9 +278,14 @@ def _secret(f: Feistel, text: str) -> str:
     return head + f.characters(body, "secret")
 
 
+# A mail address begins where its characters begin, so a long word is read once. A secret runs to white space or its closing
+# quote, without the marks of the sentence.
+MAIL = r"[._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*+(?<!\.)@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
+
 KINDS: dict[str, tuple[str, Callable[[Feistel, str], str]]] = {
-    "mail": (r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}", _mail),
-    "secret": (r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?i:token|password|passwd|secret|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_+/-]{8,200}"
+    "mail": (rf"(?<![A-Za-z0-9._%+-]){MAIL}", _mail),
+    "secret": (r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?i:token|password|passwd|secret|api[_-]?key)\s*[=:]\s*"
+               r"(?:\"[^\s\"]{8,}(?=\")|'[^\s']{8,}(?=')|[\"']?[^\s\"']{7,}[^\s\"'.,;:!?)\]}>])"
                r"|\b(?:[0-9a-f]{40}|[0-9A-F]{40})\b", _secret),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     "phone": (r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
@@ -282,6 +307,7 @@ def _any(kinds: list[str]) -> re.Pattern:
 
 FOUND = _any(list(KINDS))
 CARD = re.compile(KINDS["card"][0])
+MAIL_HERE = re.compile(f"(?P<mail>{MAIL})")
 OTHERS = _any([k for k in KINDS if k != "card"])
 
 
@@ -294,8 +320,9 @@ class Pseudonyms:
 
     def _values(self, text: str, pattern: re.Pattern, at: int, end: int) -> Iterator[tuple[int, int, str]]:
         """Start, end and kind of the values in text[at:end], in order. What fails its check does not hide what follows in it."""
-        doubtful = 0
-        while found := pattern.search(text, at, end):
+        doubtful, begin = 0, at
+        # A mail address may also begin right behind another value.
+        while found := (at > begin and MAIL_HERE.match(text, at, end)) or pattern.search(text, at, end):
             kind, start, at = found.lastgroup, found.start(), found.end()
             if kind == "card":
                 # Other kinds may lie between the cards of a run of digits.

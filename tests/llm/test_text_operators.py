@@ -253,6 +253,32 @@ def test_cards_and_ibans_with_neighbours(value, around):
     assert "123-45-6789" not in p.text(whole) and "212 555 1234" not in p.text(whole)
 
 
+@pytest.mark.parametrize("size", [7, 150, 205, 3000])
+def test_secrets_and_mails_to_their_end(size):
+    chance = random.Random(size)
+    p = pseudonyms.Pseudonyms("key")
+    a, b, c = ("".join(chance.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=size)) for _ in range(3))
+    digest = "".join(chance.choices("0123456789abcdef", k=size + 9))
+    for value in (f"{a}.{b}.{c}", f"{a}{b}==", f"{a}&{b}", digest, digest.upper(), f"{a}-{b}~{c}"):
+        new = p.text(f"token = {value}, then")
+        body = new[8:-6]
+        assert len(new) == len(value) + 14 and new.endswith(", then")
+        assert all(body[k : k + 6] != value[k : k + 6] for k in range(0, len(value) - 6, 6)) and [x.isalnum() for x in body] == [x.isalnum() for x in value]
+        assert p.text(f"token='{value}'") == f"token='{body}'" and p.text(f'password: "{value}".') == f'password: "{body}".'
+        assert p.text(f"token = {value[:-5]}xx000") != new and (value != digest or set(body) <= set("0123456789abcdef"))
+    local = f"{a}.{b}{c}"
+    new = p.text(f"-{local}@x.org")
+    assert new == f"-{p.text(local + '@x.org')}" and new.endswith("@x.org") and all(new[k : k + 6] != f"-{local}"[k : k + 6] for k in range(1, len(local) - 6, 6))
+    assert local not in p.text(f"(212) 555-1234{local}@x.org") and p.text(f"(212) 555-1234{local}@x.org").endswith(p.text(local + "@x.org"))
+
+
+def test_block_permutation_is_one_to_one():
+    f = pseudonyms.Feistel("key")
+    head = "a" * 127
+    assert len({f.characters(head + x + y, "t") for x in "abcdefgh" for y in "0123456789"}) == 80
+    assert len({f.hexadecimal(head + x + y, "t") for x in "abcdef" for y in "0123456789"}) == 60
+
+
 def test_long_runs_of_numbers():
     p = pseudonyms.Pseudonyms("key")
     assert len(p.text("1 22 333 " * 20_000)) == 180_000
