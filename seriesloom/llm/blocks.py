@@ -11,7 +11,8 @@ sidebars, notices, adverts, forms and reader comments, whose labels are known. T
 that sample only; every page is then labelled whole.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
-two line ends; nothing else is dropped or capped. Scripts, styles, templates, comments and the head hold no text.
+two line ends; nothing else is dropped or capped. Scripts, styles, templates, comments and titles hold no text. Only scripts,
+styles, titles and text areas run to the page's end where their end tag is missing.
 Null and empty pages give an empty text. Repeated pages are labelled one by one. Unclosed and stray tags are
 read as browsers read them where that matters to blocks (an open paragraph ends at the next block). Extra
 columns are ignored; an empty table gives no rows.
@@ -37,11 +38,21 @@ LAYOUTS = 700
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select"
-
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>", re.S | re.I)
+# Raw text runs to its end tag or the page's end. The other elements hold no text up to their own end tag; one without an
+# end tag holds nothing. The head is no element here: what may stand in it has no text, and all else is the body.
+RAW = "script|style|title|textarea"
+HOLDERS = "noscript|template|svg|math|iframe|object|canvas|select"
+# What ends drawings and formulas (the HTML standard's list), and the parts of them that may hold pages.
+BREAKS = ("b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|"
+          "strong|strike|sub|sup|table|tt|u|ul|var")
+INSETS = "foreignobject|desc|annotation-xml|mi|mo|mn|ms|mtext"
+
+ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*"
+UNREAD = rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+TOKEN = re.compile(rf"{UNREAD}|<(/?)([a-zA-Z][^\s/<>]*)({ATTRIBUTES})>", re.S | re.I)
+HELD = re.compile(rf"{UNREAD}|<(/?)({HOLDERS})(?=[\s/>])({ATTRIBUTES})>", re.S | re.I)
+FOREIGN = re.compile(rf"{UNREAD}|<(/?)({INSETS}|{BREAKS})(?=[\s/>])({ATTRIBUTES})>", re.S | re.I)
+HOLDS, INSET = frozenset(HOLDERS.split("|")), frozenset(INSETS.split("|"))
 NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -64,6 +75,31 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "option": {"option"}}
 
 
+def _held(page: str, start: int) -> dict[int, int]:
+    """Where the elements that hold no text begin and end, from ``start`` on; those without an end tag are left out."""
+    open_at: dict[str, list[int]] = {}
+    ends = {}
+    for tag in HELD.finditer(page, start):
+        if tag[3] and tag[2]:
+            if open_at.get(tag[3].lower()):
+                ends[open_at[tag[3].lower()].pop()] = tag.end()
+        elif tag[3] and not tag[4].endswith("/"):
+            open_at.setdefault(tag[3].lower(), []).append(tag.start())
+    return ends
+
+
+def _outside(page: str, start: int, end: int) -> int:
+    """Where a drawing or formula ends: at its end tag, or at the first tag that cannot be in it."""
+    depth = 0
+    for tag in FOREIGN.finditer(page, start, end):
+        name = (tag[3] or "").lower()
+        if name in INSET:
+            depth = max(0, depth - 1) if tag[2] else depth + (not tag[4].endswith("/"))
+        elif name and not tag[2] and not depth:
+            return tag.start()
+    return end
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order."""
     found: list[Block] = []
@@ -72,6 +108,7 @@ def blocks(page: str | None) -> list[Block]:
     path: list[tuple[str, str]] = []
     parts: list[str] = []
     linked, links, at = 0, 0, 0
+    ends: dict[int, int] | None = None
 
     def end() -> None:
         nonlocal linked
@@ -100,6 +137,13 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue  # a comment, a declaration or an element without text
         tag = tag.lower()
+        if tag in HOLDS:
+            if not closing and not attributes.endswith("/"):
+                ends = _held(page, token.start()) if ends is None else ends
+                at = max(at, ends.get(token.start(), 0))
+                if tag in ("svg", "math"):
+                    at = _outside(page, token.end(), at)
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -118,7 +162,7 @@ def blocks(page: str | None) -> list[Block]:
             path.pop()
         if path and path[-1][0] in CLOSES.get(tag, ()):
             path.pop()
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and tag != "head" and not attributes.endswith("/"):
             path.append((tag, _name(tag, attributes)))
     text(page[at:])
     end()

@@ -323,6 +323,35 @@ def test_blocks_of_a_page():
     assert blocks.blocks("<" * 30_000)
 
 
+MAIN = "<article><h1>Top</h1><p>one two</p><p>three</p></article>"
+
+
+@pytest.mark.parametrize("html_text, before", [
+    ("<html><head><meta charset=x><title>t</title><link rel=y><body>" + MAIN, []), ("<head><title>t</title><script>1</script>" + MAIN, []),
+    ("<head><style>p{}</style></head>" + MAIN, []), ("<HEAD><noscript><img></noscript><meta>words" + MAIN, ["words"]),
+    *[(f"<body><{t}{MAIN}", []) for t in ("svg width='1'/>", "math/>", "canvas />", "svg>", "canvas id=a>", "iframe src=x>", "object>", "noscript>", "template>", "select>")],
+    *[(f"<body><{t}/>{MAIN}<{t}>gone</{t}>", []) for t in ("svg", "math", "canvas", "iframe", "object")],
+    *[(f"<body><{t}>{MAIN}<{t}>gone</{t}>", []) for t in ("canvas", "template", "object", "noscript")],
+    *[(f"<body><{t}>gone<{t}>gone</{t}> gone</{t}>{MAIN}", []) for t in ("svg", "object", "template")],
+    ("<svg><path d='M0'><p>out</p></svg>" + MAIN, ["out"]), ("<svg><title>t</title><foreignObject><p>gone</p></foreignObject><g/></svg>" + MAIN, []),
+    ("<svg><!-- <p> --><text>gone</text></svg>" + MAIN, []), ("a <svg><path/></svg> b" + MAIN, ["a b"]), ("<script>var a = '<canvas>';</script>" + MAIN, []),
+    ("<canvas><script>'</canvas>'</script>gone</canvas>" + MAIN, []), ("a</canvas>b" + MAIN, ["ab"]),
+])
+def test_pages_without_end_tags(html_text, before):
+    assert [b.text for b in blocks.blocks(html_text)] == [*before, "Top", "one two", "three"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "title", "textarea"])
+def test_raw_text_runs_to_the_end(tag):
+    assert [b.text for b in blocks.blocks(f"<p>a</p><{tag}>{MAIN}")] == ["a"]
+    assert [b.text for b in blocks.blocks(f"<p>a</p><{tag}>x</{tag}>b")] == ["a", "b"]
+
+
+def test_many_open_elements():
+    assert blocks.blocks("<svg>" * 30_000 + "<p>a") and blocks.blocks("<canvas>" * 30_000 + "<p>a") and blocks.blocks("<head>" * 30_000 + "<p>a")
+    assert blocks.blocks("<svg>" * 30_000 + "<p>a" + "</svg>" * 30_000)[0].text == "a"
+
+
 def test_gradients_and_labels():
     chance = np.random.default_rng(0)
     texts = [" ".join(f"w{chance.integers(0, 500)}" for _ in range(60)) + "." for _ in range(40)]
