@@ -21,7 +21,7 @@ pairs are verified, and a passage that thousands share makes none; (5) component
 
 Null, empty and wordless texts have no shingles and are linked with nothing (equal wordless texts are copies, though). Repeated
 doc_ids count as one document each time (their rows get the same ids when the texts agree; the class is decided
-by the text). NULL doc_ids are left out. Extra columns are ignored. An empty table gives no rows.
+by the text; an id with different texts is one document for each). NULL doc_ids are left out. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import byte_words, components, mix, only, shingle_hashes, uniform, word_hashes
@@ -138,13 +138,27 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
         return mix(keys ^ np.arange(bands, dtype=np.uint64))
 
 
+def _key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id: the smallest doc_id with the same text; null texts are classes of their own."""
-    keyed = store(docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")), "keys")
+    """doc_id, key of the text, class_id: the smallest doc_id with the same text; null texts are classes of their own."""
+    keyed = store(docs.select("doc_id", _key().alias("key")), "keys")
     # Partial aggregation meets a key of many copies before the shuffle; the join back is a plain equi-join.
     shared = keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
     return keyed.join(shared.select("key", "class_id"), "key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        "doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _nodes(rows: DataFrame, several: DataFrame | None) -> DataFrame:
+    """Add the class's number: its class_id, or a hash for all but one of the classes with the same class_id."""
+    if several is None:
+        return rows.withColumn("node", F.when(F.col("key").isNotNull(), F.col("class_id")))
+    first = several.select(F.col("doc_id").alias("class_id"), "low")
+    own = F.col("low").isNull() | (F.col("low") == F.xxhash64("key"))
+    return rows.join(first, "class_id", "left").withColumn("node", F.when(F.col("key").isNotNull(), F.when(
+        own, F.col("class_id")).otherwise(F.xxhash64("key", "class_id")))).drop("low")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -237,11 +251,21 @@ def _prefix_pairs(members: DataFrame, bags: DataFrame, threshold: float) -> Data
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """Per document: doc_id, class_id, component_id (smallest id reachable over links), kept."""
+    """Per row: doc_id, class_id, component_id (smallest id reachable over links), kept."""
+    return _judged(docs, threshold, slots, bands).drop("key")
+
+
+def _judged(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
+    """``near_duplicates`` with the key of each row's text."""
     plain = _plain(docs)
     grouped = store(classes(plain), "classes")
-    copies = grouped.where("doc_id <> class_id").select("doc_id").distinct()
-    single = plain.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    # Ids with several texts; mostly there are none, and a class goes by its class_id.
+    several = store(grouped.where("key is not null").groupBy("doc_id").agg(
+        F.min(F.xxhash64("key")).alias("low"), F.max(F.xxhash64("key")).alias("high")).where("low < high").select("doc_id", "low"), "several")
+    several = None if several.isEmpty() else several
+    copies = grouped.where("doc_id <> class_id").select("doc_id", "key").distinct()
+    single = plain.withColumn("key", _key()).join(copies, ["doc_id", "key"], "left_anti").dropDuplicates(["doc_id", "key"])
+    single = _nodes(single.withColumnRenamed("doc_id", "class_id"), several).where("node is not null").select(F.col("node").alias("doc_id"), "text")
     signed = store(_banded(single, slots, bands), "bands")
     buckets = signed.select("doc_id", F.posexplode("keys").alias("band", "key"))
     # Buckets of one member need nothing more; two counts and a minimum per key are added up before the shuffle.
@@ -268,16 +292,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int =
     across = across.join(star, ["a", "b"], "left_anti")
     links = store(links.union(_verified(across, bags, threshold)), "links")
     final = components(links, "near-links")
-    reached = final.select(F.col("id").alias("class_id"), "component")
-    return grouped.join(reached, "class_id", "left").select(
-        "doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id")).withColumn(
-        "kept", F.col("doc_id") == F.col("component_id"))
+    reached = final.select(F.col("id").alias("node"), "component")
+    placed = _nodes(grouped, several).join(reached, "node", "left").withColumn("component_id", F.coalesce("component", "node", "class_id"))
+    kept = F.col("doc_id") == F.col("component_id")
+    if several is not None:
+        # A component is named by its smallest id, of whose texts it keeps one.
+        least = placed.where("node is not null").groupBy("component_id").agg(F.min(F.struct("class_id", "key")).alias("least"))
+        placed = placed.join(least, "component_id", "left").withColumn(
+            "component_id", F.when(F.col("key").isNotNull(), F.col("least.class_id")).otherwise(F.col("class_id")))
+        kept = kept & (F.col("key").isNull() | (F.col("key") == F.col("least.key")))
+    return placed.withColumn("kept", kept).select("doc_id", "class_id", "component_id", "kept", "key")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with its columns. Rows without an id cannot be judged and stay."""
-    judged = near_duplicates(docs)
-    dropped = judged.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    named = docs.where("doc_id is not null")
-    kept = named.join(dropped, named["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    dropped = _judged(docs).where("not kept").select(F.col("doc_id").alias("_dropped_id"), F.col("key").alias("_dropped_key")).distinct()
+    named = docs.where("doc_id is not null").withColumn("_key", _key())
+    same = (F.col("doc_id").cast("long") == F.col("_dropped_id")) & (F.col("_key") == F.col("_dropped_key"))
+    kept = named.join(dropped, same, "left_anti")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.where("doc_id is null"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -109,6 +110,20 @@ def test_deduplicated_keeps_one_of_each(session, docs):
     assert bagminhash.near_duplicates(docs([])).collect() == []
 
 
+def test_ids_with_different_texts(session, docs):
+    x, y, z = ("".join(f"{c}{k} " for k in range(40)) for c in "xyz")
+    rows = [(1, x), (5, x), (5, y), (6, y), (7, y + "more"), (8, z), (8, z + "more"), (8, None), (9, z + "more"), (10, "u"), (10, "v"), (10, "v")]
+    found = {(r.doc_id, r.key and bytes(r.key)): (r.class_id, r.component_id, r.kept) for r in bagminhash._judged(docs(rows)).collect()}
+    of = {(i, t): found[i, hashlib.md5(t.encode()).digest() if t else None] for i, t in rows}
+    assert of[1, x] == (1, 1, True) and of[5, x] == (1, 1, False) and of[5, y] == (5, 5, True) and of[6, y] == (5, 5, False)
+    assert of[7, y + "more"] == (7, 5, False) and of[8, None] == (8, 8, True) and of[9, z + "more"] == (8, 8, False)
+    assert of[8, z][:2] == of[8, z + "more"][:2] == (8, 8) and of[8, z][2] != of[8, z + "more"][2]
+    assert of[10, "u"] == of[10, "v"] == (10, 10, True)
+    kept = Counter((r.doc_id, r.text) for r in bagminhash.deduplicated(docs(rows)).collect())
+    assert kept == Counter(k for k, v in of.items() if v[2])
+    assert bagminhash.near_duplicates(docs(rows)).columns == ["doc_id", "class_id", "component_id", "kept"]
+
+
 def test_all_products_above_the_bound_are_decoded():
     random_numbers = np.random.default_rng(2)
     for _ in range(50):
