@@ -245,9 +245,19 @@ def _prefix_pairs(members: DataFrame, bags: DataFrame, threshold: float) -> Data
     sized = own.select("doc_id", "component", F.size("bag").alias("total"))
     prefix = store(shared.join(sized, "doc_id").select("doc_id", "component", "total", "shared").mapInArrow(
         choose, "doc_id long, component long, total long, shingle long"), "prefixes")
-    one, two = (prefix.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"in_{x}"), F.col("total").alias(f"n_{x}")) for x in ("a", "b"))
+    one, two = (prefix.select("shingle", F.col("doc_id").alias(f"id_{x}"), F.col("component").alias(f"in_{x}"), F.col("total").alias(f"n_{x}")) for x in ("a", "b"))
     near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    return one.join(two, "shingle").where(F.expr("a < b and in_a <> in_b") & near).select("a", "b").distinct()
+    return _meetings(prefix).join(one, ["shingle", "in_a"]).join(two, ["shingle", "in_b"]).where(near).select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _meetings(prefix: DataFrame) -> DataFrame:
+    """Pairs of different components (in_a < in_b) per shingle of their prefixes; none is made inside a component."""
+    held = prefix.groupBy("shingle", "component").agg(F.lit(1).alias("one"))
+    across = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    held = held.join(across.select("shingle"), "shingle").select("shingle", "component")
+    one, two = (held.select("shingle", F.col("component").alias(f"in_{x}")) for x in ("a", "b"))
+    return one.join(two, "shingle").where("in_a < in_b")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:

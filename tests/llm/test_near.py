@@ -110,6 +110,12 @@ def test_deduplicated_keeps_one_of_each(session, docs):
     assert bagminhash.near_duplicates(docs([])).collect() == []
 
 
+def test_prefixes_meet_across_components_only(session):
+    rows = [(k, 1, 100, s) for k in range(300) for s in (7, 8, 9)] + [(900, 2, 100, 7), (901, 3, 100, 7), (901, 3, 100, 8), (902, 4, 100, 6)]
+    prefix = session.createDataFrame(rows, "doc_id long, component long, total long, shingle long")
+    assert sorted(map(tuple, bagminhash._meetings(prefix).collect())) == [(7, 1, 2), (7, 1, 3), (7, 2, 3), (8, 1, 3)]
+
+
 def test_ids_with_different_texts(session, docs):
     x, y, z = ("".join(f"{c}{k} " for k in range(40)) for c in "xyz")
     rows = [(1, x), (5, x), (5, y), (6, y), (7, y + "more"), (8, z), (8, z + "more"), (8, None), (9, z + "more"), (10, "u"), (10, "v"), (10, "v")]
