@@ -22,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -141,10 +142,10 @@ def g_squared(ones, zeros, n_one, n_zero):
 
 
 def fit(samples: list[tuple[list[str], list[tuple[str, str]], int]], vocabulary: list[str], prior: float,
-        penalty: float = 20.0, ridge: float = 1.0, rounds: int = 25) -> ToxicityModel:
+        penalty: float = 20.0, ridge: float = 1.0, rounds: int = 25, counted: dict[tuple[str, str], int] | None = None) -> ToxicityModel:
     """Newton iterations on (features, swap pairs, label) rows.
 
-    Each swap pair adds penalty * (score difference)^2 to the loss. ``prior`` is the share of class 1 in all labelled
+    ``counted`` holds swap pairs that are counted already. Each swap pair adds penalty * (score difference)^2 to the loss. ``prior`` is the share of class 1 in all labelled
     rows; the balanced sample is weighted back to it.
     """
     labels = np.array([y for _, _, y in samples], float)
@@ -154,7 +155,7 @@ def fit(samples: list[tuple[list[str], list[tuple[str, str]], int]], vocabulary:
     at = {f: k + 1 for k, f in enumerate(vocabulary)}  # column 0 is the intercept
     x = np.zeros((len(samples), len(at) + 1), np.float32)
     x[:, 0] = 1.0
-    pairs: dict[tuple[str, str], int] = {}
+    pairs = dict(counted or {})
     for k, (own, swapped, _) in enumerate(samples):
         x[k, [at[f] for f in own if f in at]] = 1.0
         for pair in swapped:
@@ -237,14 +238,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, kept: int =
         selected = shared.value
         for batch in batches:
             found = [sorted(features(text_words(t.as_py())) & selected) for t in batch.column("text")]
-            pairs = [[list(p) for p in swap_pairs(t.as_py() or "")] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("y"), pa.array(found, pa.list_(pa.string())),
-                pa.array(pairs, pa.list_(pa.list_(pa.string())))], ["y", "found", "pairs"])
-
-    rows = texts.mapInArrow(select, "y int, found array<string>, pairs array<array<string>>").collect()
-    samples = sorted((list(r["found"]), [tuple(p) for p in r["pairs"]], r["y"]) for r in rows)
-    return fit(samples, vocabulary, prior, penalty)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.string()))], ["y", "found"])
+
+    rows = texts.mapInArrow(select, "y int, found array<string>").collect()
+    samples = sorted((list(r["found"]), [], r["y"]) for r in rows)
+    counted = {(r["term"], r["other"]): r["n"] for r in sorted(swap_counts(texts).collect())}
+    return fit(samples, vocabulary, prior, penalty, counted=counted)
+
+
+def swap_counts(texts: DataFrame) -> DataFrame:
+    """term, other, n over all texts: at most one row per swap pair of the families, however often it occurs."""
+
+    def count(batches):
+        for batch in batches:
+            sums = Counter(p for t in batch.column("text") for p in swap_pairs(t.as_py() or ""))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in sums], pa.string()), pa.array([p[1] for p in sums], pa.string()), pa.array(list(sums.values()), pa.int64())],
+                ["term", "other", "n"])
+
+    return texts.mapInArrow(count, "term string, other string, n long").groupBy("term", "other").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:

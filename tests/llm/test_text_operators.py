@@ -139,6 +139,13 @@ def test_swaps_keep_neutral_mentions_low(session, docs):
     assert abs(held(mention) - held("men w1 w2")) < 0.02 and held("awful w1 w2") > 0.8
 
 
+def test_swap_counts_are_one_row_a_pair(session, docs):
+    documents = ["Women here. " * 3000 + "Men there.", "women and men", None, "", "none"]
+    got = toxicity.swap_counts(docs(list(enumerate(documents))))
+    expected = Counter(p for d in documents for p in toxicity.swap_pairs(d or ""))
+    assert {(r.term, r.other): r.n for r in got.collect()} == expected and max(expected.values()) >= 3000 and got.count() == len(expected)
+
+
 def made_labels(session, documents, toxic):
     rows = [(d, 1, int(t)) for (d, _), t in zip(documents, toxic, strict=True) if d is not None]
     return session.createDataFrame(rows, "doc_id long, quality int, toxic int")
