@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, bagminhash, blocks, capfilters, decontaminate, lattice, packing, pseudonyms, quality, toxicity
+from seriesloom.llm import arrow_files, bagminhash, blocks, capfilters, decontaminate, lattice, packing, pseudonyms, quality, toxicity, warc
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -89,7 +89,24 @@ def op10_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.main_text(pages, blocks.train(pages))
 
 
+@query
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.round_trip(spark, table(spark, folder, "pages"))
+
+
 SQL: dict[str, str] = {
+    "op12_warc": """
+with payloads as (
+    select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages
+), firsts as (
+    select digest, min(page_id) as first from payloads where n >= 100 group by digest
+)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+       case when first < page_id or page_id is null and first is not null then 'revisit' else 'response' end as record_type,
+       case when first < page_id or page_id is null then first end as refers_to
+from (select p.*, case when n >= 100 then first end as first from payloads p left join firsts using (digest))
+""",
     "op4_cap_filters": """
 with recursive vectors as (
     select vec_id, label, cast(embedding as double[]) as e,
