@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import arrow_files, bagminhash, blocks, capfilters, decontaminate, lattice, packing, pseudonyms, quality, toxicity, warc
+from seriesloom.llm import alignment, arrow_files, bagminhash, blocks, capfilters, decontaminate, lattice, packing, pseudonyms, quality, toxicity, warc
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -89,6 +89,12 @@ def op10_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.main_text(pages, blocks.train(pages))
 
 
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents aligned between two vocabularies, with corpus-wide counts of linked ids."""
+    return alignment.alignment(table(spark, folder, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
 @query
 def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
