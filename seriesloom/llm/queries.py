@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import alignment, arrow_files, bagminhash, blocks, capfilters, decontaminate, lattice, packing, pseudonyms, quality, toxicity, warc
+from seriesloom.llm import alignment, arrow_files, bagminhash, blocks, capfilters, decontaminate, lattice, packing, phrases, pseudonyms, quality, toxicity, warc
 from seriesloom.llm.common import table
 from seriesloom.llm.shipping import ship
 
@@ -101,7 +101,48 @@ def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, folder, "pages"))
 
 
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of two to four words per language, over all documents."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 SQL: dict[str, str] = {
+    "op13_collocations": r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), lists as (
+    select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+), grams as (
+    select lang, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') as phrase
+    from (select lang, w, unnest(range(1, len(w) + 1)) as pos from lists), (values (1), (2), (3), (4)) sizes(size)
+    where pos + size - 1 <= len(w)
+), counts as (
+    select lang, size, phrase, count(*) as f from grams group by lang, size, phrase
+), totals as (
+    select lang, cast(sum(f) as bigint) as n from counts where size = 1 group by lang
+), candidates as (
+    select lang, size, phrase, f as a from counts where size > 1 and f >= 30
+), superfluous as (
+    select distinct c.lang, c.phrase from candidates c join candidates d
+    on c.lang = d.lang and d.size > c.size and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ') and 100 * d.a >= 80 * c.a
+), cuts as (
+    select lang, phrase, size, a, string_split(phrase, ' ') as w, unnest(range(1, size)) as k
+    from candidates anti join superfluous using (lang, phrase)
+), valued as (
+    select c.lang, c.phrase, a, k, x.f as l, y.f as r, cast(2000000::hugeint * a // (x.f + y.f) as bigint) as score
+    from cuts c
+    join counts x on x.lang = c.lang and x.size = k and x.phrase = array_to_string(list_slice(w, 1, k), ' ')
+    join counts y on y.lang = c.lang and y.size = c.size - k and y.phrase = array_to_string(list_slice(w, k + 1, c.size), ' ')
+), lowest as (
+    select * from valued qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+""",
     "op12_warc": """
 with payloads as (
     select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages
