@@ -6,8 +6,8 @@ side as well points to itself. Replacing every pointer by its pointer's pointer,
 new words of a batch at once, doubles the distance in each round and ends at the last token of each
 connected component. These terminals number the groups: the stretches between offsets where both sides end.
 
-Both vocabularies cut a text at single spaces and before line ends, and every such cut is an end on both sides. So a
-word's groups do not depend on its neighbours, and the aligned words are kept in a bounded cache. Texts with other
+Both vocabularies cut a text at single spaces, before line ends, and between a Latin letter and a mark, and every such cut is an
+end on both sides. So a chunk's groups do not depend on its neighbours, and the aligned chunks are kept in a bounded cache. Texts with other
 white space are aligned whole. The tests compare with the libraries on whole texts.
 
 The links of an id pair are counted per document: (1) one pass aligns every document and stores its distinct pairs with
@@ -24,6 +24,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import hold, only
-from seriesloom.llm.tokens import ODD, ODD_WIDE, Encoder, public_path
+from seriesloom.llm.tokens import LATIN, ODD, ODD_WIDE, SPACE, Encoder, public_path
 from seriesloom.session import store
 
 # Pairs whose counts every task may hold: 17 bytes each, so 68 MB.
 LOOKUP = 4_000_000
-CACHE = 150_000
-LONGEST = 256
+# Chunks that are kept, and bytes of their groups.
+CACHE, HELD = 300_000, 1 << 26
 # Chunks that are joined into documents at once.
 TURN = 100_000
+# Marks the text of a chunk that has no space before it.
+ALONE = "\x01"
+LETTERS = re.compile(f"[{LATIN}]+")
+MARK = re.compile(rf"(?<=[{LATIN}])([!-&(-/:-@\[-`{{-~])")
 
 
 def labels(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +90,21 @@ def pairs(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np
     return ga[left], a[left] << bits | b[right], na[left] * nb[right]
 
 
+class Aligned(NamedTuple):
+    """Aligned chunks one after another: groups as text, (tokens a, tokens b, groups), whether a side changes the bytes, and
+    the pairs and links from ``first[k]`` to ``first[k + 1]``."""
+
+    text: list[bytes]
+    sizes: np.ndarray
+    bad: np.ndarray
+    first: np.ndarray
+    pair: np.ndarray
+    links: np.ndarray
+
+
 class Sides:
-    """Both tokenizers on chunks: a word stands for the word after a space, ``\\n`` and a word for themselves."""
+    """Both tokenizers on chunks: a word stands for the word after a space, ``\\n`` and a word for themselves, ``\\x01`` and
+    some text for that text alone."""
 
     def __init__(self, name_a: str, name_b: str):
         import sentencepiece
@@ -95,60 +115,96 @@ class Sides:
         vocabulary = sorted((i, t) for t, i in self.a.library.get_vocab().items())
         self.bytes_a = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for _, t in vocabulary]
         size = self.b.get_piece_size()
-        self.bytes_b = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in ((i, self.b.id_to_piece(i)) for i in range(size))]
+        pieces = [self.b.id_to_piece(i) for i in range(size)]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # Marks can be cut off a word where no piece holds a letter and a mark behind it.
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.cuts_marks = not any(MARK.search(p) for p in plain)
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.names_a = [str(i).encode() for i in range(len(self.bytes_a))]
-        self.names_b = [str(i).encode() for i in range(size)]
+        # An id in decimal and what follows it: another one of its side, the other side, or the next group.
+        self.names = [b"%d%s" % (i, mark) for n, marks in ((len(self.bytes_a), (b",", b"|")), (size, (b",", b";"))) for mark in marks for i in range(n)]
+        self.name_length = np.array([len(x) for x in self.names], np.int64)
         self.bits = max(1, (size - 1).bit_length())
 
-    def ids_a(self, chunk: str) -> np.ndarray:
-        if chunk[:1] == "\n":
-            found = self.a.line_end + self.a._chunk(chunk[1:])
+    def _ids_a(self, chunk: str) -> bytes:
+        if chunk[0] == "\n":
+            return self.a.line_end + self.a._chunk(chunk[1:])
+        if chunk[0] == ALONE:
+            return self.a._library(chunk[1:])
+        return self.a._letters(chunk, SPACE) if LETTERS.fullmatch(chunk) else self.a._library(" " + chunk)
+
+    def align(self, chunks: list[str], whole: bool = False) -> Aligned:
+        """Align chunks, or with ``whole`` one text."""
+        if whole:
+            found_a, sent, told = [self.a._library(" " + t) for t in chunks], chunks, [f" {t}" for t in chunks]
+            cut = np.zeros(len(chunks), np.int64)
         else:
-            found = self.a._after_space(chunk)
-        return np.frombuffer(found, np.uint32).astype(np.int64)
-
-    def whole_a(self, text: str) -> np.ndarray:
-        """Ids of a space and a text, special strings as plain text."""
-        return np.frombuffer(self.a._library(" " + text), np.uint32).astype(np.int64)
-
-    def align(self, chunks: list[str], whole: bool = False) -> list[tuple]:
-        """Per chunk: (groups as text, tokens a, tokens b, groups, pairs, links), or None where a side changes its bytes."""
-        found_a = [self.whole_a(c) if whole else self.ids_a(c) for c in chunks]
-        found_b = [np.array(i, np.int64) for i in self.b.encode(chunks, num_threads=1)]
-        good = []
-        for k, chunk in enumerate(chunks):
-            line = chunk[:1] == "\n" and not whole
-            found_b[k] = found_b[k][1:] if line else found_b[k]
-            told = (chunk if line else " " + chunk).encode("utf-8", "surrogatepass")
-            if b"".join([self.bytes_a[i] for i in found_a[k]]) == told == b"".join([self.bytes_b[i] for i in found_b[k]]):
-                good.append(k)
-        result: list[tuple | None] = [None] * len(chunks)
-        if not good:
-            return result
-        a, b = np.concatenate([found_a[k] for k in good]), np.concatenate([found_b[k] for k in good])
+            found_a = list(map(self._ids_a, chunks))
+            sent = ["\n" + c[1:] if c[0] == ALONE else c for c in chunks]
+            told = [c[1:] if c[0] == ALONE else c if c[0] == "\n" else " " + c for c in chunks]
+            # A line end keeps the space that the library puts in front apart from what follows.
+            cut = np.array([2 if c[0] == ALONE else 1 if c[0] == "\n" else 0 for c in chunks], np.int64)
+        told = [t.encode("utf-8", "surrogatepass") for t in told]
+        size_a = np.array([len(x) // 4 for x in found_a], np.int64)
+        a = np.frombuffer(b"".join(found_a), np.uint32).astype(np.int64)
+        found_b = self.b.encode(sent, num_threads=1)
+        size_b = np.array([len(x) for x in found_b], np.int64)
+        b = np.fromiter(itertools.chain.from_iterable(found_b), np.int64, int(size_b.sum()))
+        if cut.any():
+            keep = np.ones(len(b), bool)
+            starts = np.cumsum(size_b) - size_b
+            keep[starts[cut > 0]] = False
+            keep[starts[cut > 1] + 1] = False
+            b, size_b = b[keep], size_b - cut
+        bad = self._bad(a, size_a, b, size_b, told)
+        if bad.any():
+            return self._scattered(chunks, bad, whole)
         group_a, group_b = labels(np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]))
-        total = int(group_a[-1]) + 1
-        size_a, size_b = np.array([len(found_a[k]) for k in good]), np.array([len(found_b[k]) for k in good])
         # A chunk's end is a common end, so its groups are those up to its last token's.
         last = group_a[np.cumsum(size_a) - 1] + 1
         group, pair, links = pairs(group_a, a, group_b, b, self.bits)
-        cuts = np.searchsorted(group, last)
-        ends_a = np.searchsorted(group_a, np.arange(total), "right").tolist()
-        ends_b = np.searchsorted(group_b, np.arange(total), "right").tolist()
-        names_a, names_b = [self.names_a[i] for i in a.tolist()], [self.names_b[i] for i in b.tolist()]
-        at = at_a = at_b = cut = 0
-        for k, end, stop, na, nb in zip(good, last.tolist(), cuts.tolist(), size_a.tolist(), size_b.tolist(), strict=True):
-            text = []
-            for g in range(at, end):
-                text.append(b",".join(names_a[at_a : ends_a[g]]) + b"|" + b",".join(names_b[at_b : ends_b[g]]))
-                at_a, at_b = ends_a[g], ends_b[g]
-            result[k] = (b";".join(text), na, nb, end - at, pair[cut:stop], links[cut:stop])
-            at, cut = end, stop
-        return result
+        return Aligned(
+            self._texts(a, group_a, b, group_b, last), np.stack([size_a, size_b, np.diff(last, prepend=0)], axis=1), bad,
+            np.concatenate([[0], np.searchsorted(group, last)]), pair, links)
+
+    def _bad(self, a, size_a, b, size_b, told: list[bytes]) -> np.ndarray:
+        """Which chunks a side does not give back byte for byte."""
+        length = np.array([len(t) for t in told], np.int64)
+        whole, bad = b"".join(told), np.zeros(len(told), bool)
+        for ids, size, lengths, names in ((a, size_a, self.length_a, self.bytes_a), (b, size_b, self.length_b, self.bytes_b)):
+            given = b"".join(map(names.__getitem__, ids.tolist()))
+            if given != whole:
+                ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.cumsum(size)].tolist()
+                bad |= [given[s:e] != t for s, e, t in zip([0, *ends], ends, told, strict=False)]
+        return bad
+
+    def _scattered(self, chunks: list[str], bad: np.ndarray, whole: bool) -> Aligned:
+        good = np.flatnonzero(~bad)
+        if not len(good):
+            none = np.empty(0, np.int64)
+            return Aligned([b""] * len(chunks), np.zeros((len(chunks), 3), np.int64), bad, np.zeros(len(chunks) + 1, np.int64), none, none)
+        part = self.align([chunks[k] for k in good.tolist()], whole)
+        text, sizes, width = [b""] * len(chunks), np.zeros((len(chunks), 3), np.int64), np.zeros(len(chunks), np.int64)
+        sizes[good], width[good] = part.sizes, np.diff(part.first)
+        for k, t in zip(good.tolist(), part.text, strict=True):
+            text[k] = t
+        return Aligned(text, sizes, bad, np.concatenate([[0], np.cumsum(width)]), part.pair, part.links)
+
+    def _texts(self, a, group_a, b, group_b, last: np.ndarray) -> list[bytes]:
+        """Per chunk its groups, each with a mark behind it. A token's place follows from the tokens of the groups before."""
+        total = int(last[-1]) if len(last) else 0
+        end_a, end_b = (np.searchsorted(g, np.arange(total), "right") for g in (group_a, group_b))
+        place_a = np.arange(len(a)) + np.concatenate([[0], end_b])[group_a]
+        place_b = np.arange(len(b)) + end_a[group_b]
+        final_a, final_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        final_a[end_a - 1] = final_b[end_b - 1] = 1
+        name = np.empty(len(a) + len(b), np.int64)
+        name[place_a] = a + final_a * len(self.bytes_a)
+        name[place_b] = b + final_b * len(self.bytes_b) + 2 * len(self.bytes_a)
+        blob = b"".join(map(self.names.__getitem__, name.tolist()))
+        ends = np.cumsum(self.name_length[name])[(end_a + end_b)[last - 1] - 1].tolist()
+        return [blob[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -159,7 +215,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Aligner:
-    """Documents from their chunks; aligned words are kept, up to ``CACHE`` of them, in flat arrays."""
+    """Documents from their chunks; aligned chunks are kept, up to ``CACHE`` of them, in flat arrays."""
 
     def __init__(self, sides: Sides):
         self.sides = sides
@@ -168,21 +224,31 @@ class Aligner:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.text: list[bytes] = []
+        self.held = 0
         self.sizes = np.zeros((CACHE, 3), np.int64)
         self.bad = np.zeros(CACHE, bool)
         self.first = np.zeros(CACHE + 1, np.int64)
         self.pair, self.links = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int64)
 
-    def _keep(self, chunks: list[str], found: list[tuple | None]) -> None:
-        for chunk, aligned in zip(chunks, found, strict=True):
-            k = self.number[chunk] = len(self.text)
-            text, na, nb, groups, pair, links = aligned or (b"", 0, 0, 0, self.pair[:0], self.links[:0])
-            self.text.append(text)
-            self.sizes[k], self.bad[k] = (na, nb, groups), aligned is None
-            at, end = self.first[k], self.first[k] + len(pair)
-            while end > len(self.pair):
-                self.pair, self.links = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pair, self.links))
-            self.pair[at:end], self.links[at:end], self.first[k + 1] = pair, links, end
+    def _keep(self, chunks: list[str]) -> None:
+        new, at = self.sides.align(chunks), len(self.text)
+        to = at + len(chunks)
+        self.number.update(zip(chunks, range(at, to), strict=True))
+        self.text += new.text
+        self.held += sum(map(len, new.text))
+        self.sizes[at:to], self.bad[at:to] = new.sizes, new.bad
+        begin, end = self.first[at], self.first[at] + len(new.pair)
+        while end > len(self.pair):
+            self.pair, self.links = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pair, self.links))
+        self.pair[begin:end], self.links[begin:end], self.first[at + 1 : to + 1] = new.pair, new.links, begin + new.first[1:]
+
+    def chunks(self, text: str) -> list[str] | None:
+        """The text cut where both sides do, or None where its white space may be more than a cut."""
+        if ALONE in text or (ODD if text.isascii() else ODD_WIDE).search(text):
+            return None
+        if self.sides.cuts_marks:
+            text = MARK.sub(f" {ALONE}\1", text)
+        return text.replace("\n", " \n").split(" ")
 
     def documents(self, texts: list[str | None]):
         """Per text: (digest of the groups, tokens a, tokens b, groups, pairs, links)."""
@@ -192,24 +258,20 @@ class Aligner:
             while at < len(texts) and (not taken or held < TURN):
                 text = texts[at]
                 at += 1
-                chunks = None
-                if text and not (ODD if text.isascii() else ODD_WIDE).search(text):
-                    chunks = text.replace("\n", " \n").split(" ")
-                    if max(map(len, chunks)) > LONGEST:
-                        chunks = None
-                    else:
-                        held += len(chunks)
-                        new.update(chunks)
+                chunks = self.chunks(text) if text else None
+                if chunks:
+                    held += len(chunks)
+                    new.update(chunks)
                 taken.append((text, chunks))
             listed = [c for c in new if c not in self.number]
-            if len(self.text) + len(listed) > CACHE:
+            if len(self.text) + len(listed) > CACHE or self.held > HELD:
                 self.clear()
                 listed = list(new)
             if len(listed) > CACHE:
                 # One text with more different words than are kept: it is aligned as one chunk.
                 taken, listed = [(t, None) for t, _ in taken], []
-            for k in range(0, len(listed), 4096):
-                self._keep(listed[k : k + 4096], self.sides.align(listed[k : k + 4096]))
+            for k in range(0, len(listed), 8192):
+                self._keep(listed[k : k + 8192])
             yield from self._join(taken)
 
     def _join(self, taken):
@@ -224,12 +286,13 @@ class Aligner:
                 yield NOTHING
 
     def _whole(self, text: str) -> tuple:
-        aligned = self.sides.align([text], whole=True)[0]
-        if aligned is None:
+        found = self.sides.align([text], whole=True)
+        if found.bad[0]:
             return NOTHING
-        groups, na, nb, count, pair, links = aligned
-        distinct, place = np.unique(pair, return_inverse=True)
-        return hashlib.sha256(groups).hexdigest(), na, nb, count, distinct, np.bincount(place, links).astype(np.int64)
+        distinct, place = np.unique(found.pair, return_inverse=True)
+        links = np.zeros(len(distinct), np.int64)
+        np.add.at(links, place, found.links)
+        return hashlib.sha256(found.text[0][:-1]).hexdigest(), *found.sizes[0].tolist(), distinct, links
 
     def _linked(self, known: list[np.ndarray]):
         if not known:
@@ -254,7 +317,7 @@ class Aligner:
             if bad[k]:
                 yield NOTHING
                 continue
-            digest = hashlib.sha256(b";".join([self.text[i] for i in own.tolist()])).hexdigest()
+            digest = hashlib.sha256(b"".join(map(self.text.__getitem__, own.tolist()))[:-1]).hexdigest()
             yield digest, *sizes[k], pair[cuts[k] : cuts[k + 1]], links[cuts[k] : cuts[k + 1]]
 
 
@@ -402,9 +465,9 @@ def spans(docs: DataFrame, name_a: str, name_b: str) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                found = sides.align([text], whole=True)[0] if text else None
+                found = sides.align([text], whole=True) if text else None
                 groups, at = [], 0
-                for group in found[0].split(b";") if found else []:
+                for group in found.text[0][:-1].split(b";") if found and not found.bad[0] else []:
                     ids_a, ids_b = ([int(i) for i in side.split(b",")] for side in group.split(b"|"))
                     end = at + int(sides.length_a[ids_a].sum())
                     groups.append({"start": at, "end": end, "ids_a": ids_a, "ids_b": ids_b})
