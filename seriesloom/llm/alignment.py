@@ -247,7 +247,7 @@ class Aligner:
         if ALONE in text or (ODD if text.isascii() else ODD_WIDE).search(text):
             return None
         if self.sides.cuts_marks:
-            text = MARK.sub(f" {ALONE}\1", text)
+            text = MARK.sub(rf" {ALONE}\1", text)
         return text.replace("\n", " \n").split(" ")
 
     def documents(self, texts: list[str | None]):
