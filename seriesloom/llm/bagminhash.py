@@ -16,8 +16,10 @@ Stages: (1) documents with equal texts form classes by a 128-bit hash, and only
 doc_id of a class goes on; (2) signatures are cut into ``bands``; (3) each band bucket links its members to its smallest
 id, and those pairs are verified by exact overlap; (4) the documents of buckets that still hold
 several components are joined exactly: their shingles are ordered by how many of them have them, and two
-documents can only reach the threshold if they share one of their rarest (1 - threshold) part, so only such
-pairs are verified, and a passage that thousands share makes none; (5) components. Texts are shuffled once, for candidates only. No group is collected into one task.
+documents can only reach the threshold if they share one of their rarest (1 - threshold) part, at a place that leaves enough
+behind it. Rounds come first, in which every document is compared with one such document of another component, so that large
+groups grow together in as many comparisons as documents; what is still apart is joined with all
+bounds in the join, so that pairs that cannot reach the threshold are never made; (5) components. Texts are shuffled once, for candidates only. No group is collected into one task.
 
 Null, empty and wordless texts have no shingles and are linked with nothing (equal wordless texts are copies, though). Repeated
 doc_ids count as one document each time (their rows get the same ids when the texts agree; the class is decided
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import byte_words, components, mix, only, shingle_hashes, uniform, word_hashes
+from seriesloom.llm.common import byte_words, components, mix, only, shingle_hashes, uniform, unused, word_hashes
 from seriesloom.session import store
 
 SHINGLE = 5
@@ -41,6 +43,9 @@ SHINGLE = 5
 SLOTS = 96
 BANDS = 24
 THRESHOLD = 0.8
+# Rounds of linking open documents one by one before the exact join, which goes on from any state; they end when three in
+# a row linked no more than this share of what they tried.
+ROUNDS, WORTH = 9, 0.05
 
 
 def shingles(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -203,11 +208,13 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(check, "a long, b long")
 
 
-def _prefix_pairs(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes: all that can reach the threshold.
+def _prefixes(ids: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Per document and shingle of its prefix: doc_id, shingle, total, before, reach, size.
 
-    ``members`` holds doc_id and component. Shingles that only one document has come first in the order and need no row;
-    a document whose prefix has no others can be linked with none.
+    Shingles are ordered by how many of the documents have them. Two documents that reach the threshold share a shingle
+    of their prefixes, and of the first one they share both have enough left: with ``before`` of ``total`` shingles
+    ahead of it, the other document has at most ``reach`` in all. ``size`` groups totals for equi-joins. Shingles that only one
+    document has come first in the order and need no row; a document whose prefix has no others can be linked with none.
     """
 
     def count(batches):
@@ -223,41 +230,82 @@ def _prefix_pairs(members: DataFrame, bags: DataFrame, threshold: float) -> Data
     def choose(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, docs, groups, totals, chosen = batch.slice(at, 256), [], [], [], []
-                for doc_id, group, total, shared in zip(*(part.column(c) for c in ("doc_id", "component", "total", "shared")), strict=True):
+                part, docs, totals, chosen, places = batch.slice(at, 256), [], [], [], []
+                for doc_id, total, shared in zip(*(part.column(c) for c in ("doc_id", "total", "shared")), strict=True):
                     df, shingle, n = (shared.values.field(k).to_numpy() for k in range(3))
                     order = np.lexsort((shingle, df))
                     total = total.as_py()
                     alone = total - int(n.sum())
                     before = alone + np.cumsum(n[order]) - n[order]
-                    keep = shingle[order][before < total - int(np.ceil(threshold * total - 1e-9)) + 1]
+                    keep = np.flatnonzero(before < total - int(np.ceil(threshold * total - 1e-9)) + 1)
                     docs.append(np.full(len(keep), doc_id.as_py(), np.int64))
-                    groups.append(np.full(len(keep), group.as_py(), np.int64))
                     totals.append(np.full(len(keep), total, np.int64))
-                    chosen.append(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, groups, totals, chosen)],
-                                                 ["doc_id", "component", "total", "shingle"])
+                    chosen.append(shingle[order][keep])
+                    places.append(before[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, totals, chosen, places)],
+                                                 ["doc_id", "total", "shingle", "before"])
 
-    own = members.join(bags, "doc_id")
+    own = bags.join(ids, "doc_id")
     counted = store(own.select("doc_id", "bag").mapInArrow(count, "doc_id long, shingle long, n int"), "shingles")
     common = counted.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     shared = counted.join(common, "shingle").groupBy("doc_id").agg(F.collect_list(F.struct("df", "shingle", "n")).alias("shared"))
-    sized = own.select("doc_id", "component", F.size("bag").alias("total"))
-    prefix = store(shared.join(sized, "doc_id").select("doc_id", "component", "total", "shared").mapInArrow(
-        choose, "doc_id long, component long, total long, shingle long"), "prefixes")
-    one, two = (prefix.select("shingle", F.col("doc_id").alias(f"id_{x}"), F.col("component").alias(f"in_{x}"), F.col("total").alias(f"n_{x}")) for x in ("a", "b"))
-    near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    return _meetings(prefix).join(one, ["shingle", "in_a"]).join(two, ["shingle", "in_b"]).where(near).select(
-        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    sized = own.select("doc_id", F.size("bag").alias("total"))
+    rows = shared.join(sized, "doc_id").select("doc_id", "total", "shared").mapInArrow(
+        choose, "doc_id long, total long, shingle long, before long")
+    # What is left must be threshold / (1 + threshold) of both totals.
+    reach = F.least((F.col("total") - F.col("before")) * ((1 + threshold) / threshold) - F.col("total"), F.col("total") / threshold)
+    return store(rows.withColumn("reach", reach + 1e-6).withColumn("size", _size(F.col("total"))), "prefixes")
 
 
-def _meetings(prefix: DataFrame) -> DataFrame:
-    """Pairs of different components (in_a < in_b) per shingle of their prefixes; none is made inside a component."""
-    held = prefix.groupBy("shingle", "component").agg(F.lit(1).alias("one"))
-    across = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    held = held.join(across.select("shingle"), "shingle").select("shingle", "component")
-    one, two = (held.select("shingle", F.col("component").alias(f"in_{x}")) for x in ("a", "b"))
-    return one.join(two, "shingle").where("in_a < in_b")
+def _size(total: Column) -> Column:
+    return F.floor(F.log(total) * 20).cast("int")
+
+
+def _with_components(prefix: DataFrame, joined: DataFrame) -> DataFrame:
+    return prefix.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        "component", F.coalesce("component", "doc_id"))
+
+
+def _attempts(placed: DataFrame, number: int) -> DataFrame:
+    """At most one pair (a, b) per document, with a document of another component that the bounds allow.
+
+    Each shingle and range of totals has a hub; a document tries one of its hubs. In turn, ranges are narrow with a hub
+    drawn by lot, wide with the shortest document as hub (texts that others add something to), and wide with a hub
+    drawn by lot; wide ones do not end at the same totals.
+    """
+    cell = F.floor(F.log("total") * (4 if number % 3 else 20) + F.lit(number * 0.37))
+    first = F.col("total") if number % 3 == 1 else F.lit(0)
+    rows = placed.select("shingle", cell.alias("cell"), "doc_id", "component", "total", "reach")
+    hub = F.struct(first.alias("first"), F.xxhash64("doc_id", F.lit(number)).alias("lot"), F.col("doc_id").alias("hub"), F.col("component").alias("at"),
+                   F.col("total").alias("hub_total"), F.col("reach").alias("hub_reach"))
+    # Of two documents that can be linked over a shingle, one can be linked with others of its own length.
+    cells = rows.groupBy("shingle", "cell").agg(
+        F.min(F.when(F.col("reach") >= F.col("total"), hub)).alias("least"), F.min("component").alias("low"),
+        F.max("component").alias("high")).where("low < high and least is not null").select("shingle", "cell", "least.hub", "least.at", "least.hub_total", "least.hub_reach")
+    tried = rows.join(cells, ["shingle", "cell"]).where("component <> at and total <= hub_reach and hub_total <= reach")
+    tried = tried.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("hub", "doc_id", F.lit(number)), "hub")).alias("one"))
+    return tried.select(F.least("doc_id", "one.hub").alias("a"), F.greatest("doc_id", "one.hub").alias("b")).distinct()
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that share a shingle of their prefixes with enough left on both sides.
+
+    In every shingle one component has the most documents; a pair holds at least one document of another one, so only
+    those are joined with the rest, by shingle and size, and the bounds are part of the join.
+    """
+    held = placed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    most = held.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where(
+        "kinds > 1").select("shingle", F.col("most.component").alias("main"))
+    rows = placed.join(most, "shingle")
+    # Totals from threshold times its own (which the other one's reach bounds) up to its reach.
+    sizes = F.sequence(_size(F.col("total") * 0.5), _size(F.greatest("reach", F.col("total") * 0.5)))
+    one = rows.where("component <> main").select("shingle", F.col("doc_id").alias("x"), F.col("component").alias("in_x"), F.col("total").alias("n_x"),
+                                                 F.col("reach").alias("reach_x"), F.explode(sizes).alias("size"))
+    two = rows.select("shingle", "size", F.col("doc_id").alias("y"), F.col("component").alias("in_y"), F.col("total").alias("n_y"),
+                      F.col("reach").alias("reach_y"), (F.col("component") == F.col("main")).alias("is_main"))
+    bounds = [one["shingle"] == two["shingle"], one["size"] == two["size"], F.col("in_x") != F.col("in_y"),
+              F.col("is_main") | (F.col("x") < F.col("y")), F.col("n_y") <= F.col("reach_x"), F.col("n_x") <= F.col("reach_y")]
+    return one.join(two, bounds).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
@@ -296,9 +344,21 @@ def _judged(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, b
     placed = members.select("doc_id", "band", "key").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
     open_buckets = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = store(placed.join(open_buckets.select("band", "key"), ["band", "key"]).select("doc_id", "component").distinct(), "open")
-    across = _prefix_pairs(rest, bags, threshold)
-    # Those that the star has compared already are not compared again.
+    rest = store(placed.join(open_buckets.select("band", "key"), ["band", "key"]).select("doc_id").distinct(), "open")
+    prefix = _prefixes(rest, bags, threshold)
+    idle = 0
+    for number in range(ROUNDS):
+        attempts = store(_attempts(_with_components(prefix, joined), number), "attempts")
+        fresh = store(_verified(attempts, bags, threshold), "fresh")
+        linked = fresh.count()
+        if linked:
+            links = links.union(fresh)
+            joined = store(components(links, "round-links"), "round-components")
+        idle = idle + 1 if linked <= WORTH * attempts.count() else 0
+        if idle == 3:
+            break
+    across = _apart(store(_with_components(prefix, joined), "placed"))
+    # Those that the stars have compared already are not compared again.
     across = across.join(star, ["a", "b"], "left_anti")
     links = store(links.union(_verified(across, bags, threshold)), "links")
     final = components(links, "near-links")
@@ -316,8 +376,9 @@ def _judged(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, b
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with its columns. Rows without an id cannot be judged and stay."""
-    dropped = _judged(docs).where("not kept").select(F.col("doc_id").alias("_dropped_id"), F.col("key").alias("_dropped_key")).distinct()
-    named = docs.where("doc_id is not null").withColumn("_key", _key())
-    same = (F.col("doc_id").cast("long") == F.col("_dropped_id")) & (F.col("_key") == F.col("_dropped_key"))
+    key, dropped_id, dropped_key = (unused(docs, name) for name in ("_key", "_dropped_id", "_dropped_key"))
+    dropped = _judged(docs).where("not kept").select(F.col("doc_id").alias(dropped_id), F.col("key").alias(dropped_key)).distinct()
+    named = docs.where("doc_id is not null").withColumn(key, _key())
+    same = (F.col("doc_id").cast("long") == F.col(dropped_id)) & (F.col(key) == F.col(dropped_key))
     kept = named.join(dropped, same, "left_anti")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key").unionByName(docs.where("doc_id is null"))
+    return kept.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.where("doc_id is null"))

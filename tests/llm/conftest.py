@@ -29,7 +29,7 @@ def clashing():
     from pyspark.sql import functions as F
 
     def add(df):
-        for name in ("row", "score", "key", "size", "label_", "words", "keys", "predicted", "y", "part", "rank", "n", "component"):
+        for name in ("row", "score", "key", "size", "label_", "words", "keys", "predicted", "y", "part", "rank", "n", "component", "_key", "_KEY_", "_dropped_id", "_dropped_key", "doc", "total", "pair"):
             df = df.withColumn(name, F.lit("x"))
         return df
 

@@ -110,10 +110,55 @@ def test_deduplicated_keeps_one_of_each(session, docs):
     assert bagminhash.near_duplicates(docs([])).collect() == []
 
 
-def test_prefixes_meet_across_components_only(session):
-    rows = [(k, 1, 100, s) for k in range(300) for s in (7, 8, 9)] + [(900, 2, 100, 7), (901, 3, 100, 7), (901, 3, 100, 8), (902, 4, 100, 6)]
-    prefix = session.createDataFrame(rows, "doc_id long, component long, total long, shingle long")
-    assert sorted(map(tuple, bagminhash._meetings(prefix).collect())) == [(7, 1, 2), (7, 1, 3), (7, 2, 3), (8, 1, 3)]
+def family(seed, count, length=120):
+    """Texts made of one original by replaced and added words: about as many pairs below the threshold as above."""
+    draw = random.Random(seed)
+    original = [f"w{draw.randrange(80)}" for _ in range(length)]
+    texts = []
+    for k in range(count):
+        own = list(original)
+        for _ in range(draw.choice([0, 1, 2, 4, 6, 9])):
+            own[draw.randrange(length)] = f"u{k}x{draw.randrange(9)}"
+        texts.append(" ".join(own + [f"a{k}y{n}" for n in range(draw.choice([0, 0, 5, 15, 25, 40]))]))
+    return texts
+
+
+def true_links(texts):
+    bags = {i: bagminhash.shingles(t.encode().split()) for i, t in texts.items()}
+    ids = sorted(bags)
+    return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if bagminhash.overlap(bags[a], bags[b]) >= 0.8}, bags
+
+
+def test_pairs_that_are_apart_hold_all_that_can_reach_the_threshold(session):
+    texts = dict(enumerate(family(1, 150) + family(2, 60, 40)))
+    links, bags = true_links(texts)
+    stored = session.createDataFrame([(i, b.view(np.int64).tolist()) for i, b in bags.items()], "doc_id long, bag array<long>")
+    prefix = bagminhash._prefixes(stored.select("doc_id"), stored, 0.8)
+    for groups in (1000, 7):
+        joined = session.createDataFrame([(i, i % groups) for i in texts], "id long, component long")
+        found = {tuple(r) for r in bagminhash._apart(bagminhash._with_components(prefix, joined)).collect()}
+        assert {(a, b) for a, b in links if a % groups != b % groups} <= found
+        assert all(a % groups != b % groups and a < b for a, b in found) and len(found) < 0.6 * len(texts) ** 2 / 2
+    alone = bagminhash._with_components(prefix, session.createDataFrame([(i, 0) for i in texts], "id long, component long"))
+    assert bagminhash._apart(alone).collect() == [] and bagminhash._attempts(alone, 0).collect() == []
+
+
+def test_attempts_are_no_more_than_documents(session):
+    texts = dict(enumerate(family(3, 300)))
+    _, bags = true_links(dict(list(texts.items())[:2]))
+    bags = {i: bagminhash.shingles(t.encode().split()) for i, t in texts.items()}
+    stored = session.createDataFrame([(i, b.view(np.int64).tolist()) for i, b in bags.items()], "doc_id long, bag array<long>")
+    prefix = bagminhash._prefixes(stored.select("doc_id"), stored, 0.8)
+    placed = bagminhash._with_components(prefix, session.createDataFrame([], "id long, component long"))
+    for number in range(3):
+        assert 50 < bagminhash._attempts(placed, number).count() <= 300
+
+
+def test_a_large_group_of_members_around_the_threshold_equals_brute_force(session, docs):
+    texts = dict(enumerate(family(5, 450)))
+    links, _ = true_links(texts)
+    found = {r.doc_id: r.component_id for r in bagminhash.near_duplicates(docs(list(texts.items()))).collect()}
+    assert found == brute_components(list(texts), links) and 20 < len(set(found.values())) < 440
 
 
 def test_ids_with_different_texts(session, docs):
