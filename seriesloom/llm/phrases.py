@@ -9,7 +9,7 @@ phrases of a length are extended at once: two words from one to the left, three
 
 A phrase can only be frequent if its head and its tail are. So the corpus is read once to write the indexes, and then
 each length is one pass over them: a shard extends what may be frequent, the counts are added up by a
-64-bit hash, and the sums that reach ``least`` set bits in a bitmap of fixed size, the only thing that is sent to the next
+40-bit hash, as sorted tables that tasks merge, and the sums that reach ``least`` set bits in a bitmap of fixed size, the only thing that is sent to the next
 pass. Hashes and bitmap only prune; they never lose a phrase, as a collision can only raise a sum. A last pass adds up
 the words themselves, so the counts are exact. Every longer phrase is the right extension of its head and the left
 extension of its tail; the largest of those decides what is dropped.
@@ -46,10 +46,13 @@ SHARE = 80
 # Numbers of a shard, boundaries included, and bytes of a text that are split at once.
 SHARD = 1 << 21
 STEP = 1 << 22
-BITS = 25
-# Shards per task, whose counts are added up before they leave it.
-TOGETHER = 4
+# Bits of a phrase's hash, and those of them that are its place in a bitmap.
+KEY_BITS, BITS = 40, 25
+# Shards per task, whose counts are added up before they leave it, and sums that a task holds.
+TOGETHER = 16
 HELD = 1 << 22
+# Words per part of the sums.
+PART = 1 << 21
 
 # A-Z in lower case, separators of pieces to 0xFF (which UTF-8 never has), space and tab to space.
 BOUNDARY = b"\xff"
@@ -137,13 +140,13 @@ class Index:
 
 
 def phrase_keys(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """64-bit hashes of phrases, from their words' hashes (phrases x words of numbers)."""
+    """Hashes of phrases of ``KEY_BITS`` bits, from their words' hashes (phrases x words of numbers)."""
     total = np.zeros(len(numbers), np.uint64)
     with np.errstate(over="ignore"):
         for column in numbers.T:
             total = (total ^ hashes[column]) * np.uint64(0x9FB21C651E98DF25)
             total ^= total >> np.uint64(29)
-    return mix(total)
+    return mix(total) >> np.uint64(64 - KEY_BITS)
 
 
 def word_keys(lang: str, words: list[bytes]) -> np.ndarray:
@@ -152,7 +155,7 @@ def word_keys(lang: str, words: list[bytes]) -> np.ndarray:
 
 
 def held_by(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> np.uint64(64 - BITS)
+    place = keys >> np.uint64(KEY_BITS - BITS)
     return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -290,17 +293,42 @@ def load(path: str) -> tuple[Index, np.ndarray, bytes]:
     return Index(forward, backward, len(keys) + 1), np.concatenate([np.zeros(1, np.uint64), keys]), words
 
 
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, with the sums of their numbers."""
     key, n = (np.concatenate(x) for x in zip(*held, strict=True))
     order_ = np.argsort(key)
     key, n = key[order_], n[order_]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(np.add.reduceat(n, first))], ["key", "n"])
+    return key[first], np.add.reduceat(n, first)
 
 
-def _survivors(indexes: DataFrame, bitmaps: list[np.ndarray], size: int, least: int) -> DataFrame:
-    """key of the phrases of ``size`` words whose hashes reach ``least`` over all shards."""
+def packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys as differences and their numbers, byte by byte of all rows, so that the shuffle's compression finds the zeros."""
+    step = np.diff(key, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-KEY_BITS // 8)]
+    return step.T.tobytes() + n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = -(-KEY_BITS // 8)
+    planes = np.frombuffer(data, np.uint8).reshape(width + 8, -1)
+    step = np.zeros((planes.shape[1], 8), np.uint8)
+    step[:, :width] = planes[:width].T
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[width:].T).view("<i8").ravel()
+
+
+def _survivors(indexes: DataFrame, bitmaps: list[np.ndarray], size: int, least: int, parts: int) -> DataFrame:
+    """key of the phrases of ``size`` words whose hashes reach ``least`` over all shards.
+
+    The range of keys is cut into ``parts``; a task sends its sums of a part as one value.
+    """
     shared = indexes.sparkSession.sparkContext.broadcast(bitmaps)
+    bounds = (np.arange(1, parts, dtype=object) * (1 << KEY_BITS) // parts).astype(np.uint64)
+
+    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        cuts = [0, *np.searchsorted(key, bounds).tolist(), len(key)]
+        full = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
+        values = [packed(key[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]) for k in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(values, pa.binary())], ["part", "sums"])
 
     def run(batches):
         only()
@@ -313,19 +341,45 @@ def _survivors(indexes: DataFrame, bitmaps: list[np.ndarray], size: int, least:
                         held.append((keys, n * sign))
                         count += len(keys)
                 if count >= HELD:
-                    yield _summed(held)
-                    held, count = [], 0
+                    held = [_added(held)]
+                    count = len(held[0][0])
+                    # Sums that hardly shrink any more go on; the others wait for the next shard.
+                    if count >= HELD // 2:
+                        yield rows(*held[0])
+                        held, count = [], 0
+        if held:
+            yield rows(*_added(held))
+
+    def total(batches):
+        only()
+        held, count, part = [], 0, None
+
+        def finished():
+            key, n = _added(held)
+            return pa.RecordBatch.from_arrays([pa.array(key[n >= least].astype(np.int64))], ["key"])
+
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != part:
+                    if held:
+                        yield finished()
+                    held, count, part = [], 0, number
+                held.append(unpacked(data.as_py()))
+                count += len(held[-1][0])
+                if count >= HELD:
+                    held = [_added(held)]
+                    count = len(held[0][0])
         if held:
-            yield _summed(held)
+            yield finished()
 
-    return store(indexes.select("path", "sign").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(
-        F.col("n") >= least).select("key"), "frequent")
+    made = indexes.select("path", "sign").mapInArrow(run, "part int, sums binary")
+    return store(made.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total, "key long"), "frequent")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """Bits of the keys; at most 2^BITS / 64 rows reach the driver, however many keys there are."""
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63L as int))")
-    rows = keys.groupBy(F.shiftrightunsigned("key", 70 - BITS).alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {KEY_BITS - BITS}) & 63L as int))")
+    rows = keys.groupBy(F.shiftrightunsigned("key", KEY_BITS - BITS + 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bitmap = np.zeros(1 << (BITS - 6), np.uint64)
     bitmap[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return bitmap
@@ -358,10 +412,11 @@ def _named(indexes: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
 
 def phrase_counts(indexes: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, phrase, size, f of all phrases of up to ``longest`` words that occur ``least`` times or more."""
-    spread = indexes.repartition(max(1, -(-indexes.count() // TOGETHER)))
+    shards, words = indexes.agg(F.count("*"), F.sum(F.abs("words"))).first()
+    spread = indexes.repartition(max(1, -(-shards // TOGETHER)))
     bitmaps: list[np.ndarray] = []
     for size in range(1, longest + 1):
-        frequent = _survivors(spread, bitmaps, size, least)
+        frequent = _survivors(spread, bitmaps, size, least, -(-(words or 0) // PART) + 1)
         if frequent.isEmpty():
             break
         bitmaps.append(_bitmap(frequent))

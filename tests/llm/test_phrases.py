@@ -92,6 +92,15 @@ def test_chunks_lose_no_phrase(text, limit):
     assert +total == counted([w.encode() for w in piece] for piece in pieces(text)) and min(total.values(), default=0) >= 0
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.integers(0, 2**40 - 1), st.integers(-(2**40), 2**62), max_size=50))
+def test_packed_sums(sums):
+    key = np.array(sorted(sums), np.uint64)
+    n = np.array([sums[k] for k in sorted(sums)], np.int64)
+    keys, counts = phrases.unpacked(phrases.packed(key, n)) if sums else (key, n)
+    assert keys.tolist() == key.tolist() and counts.tolist() == n.tolist()
+
+
 def corpus(seed, count=400):
     draw = random.Random(seed)
     words = ["the", "of", "New", "York", "new", "straße", "Ä", "ä", "x-y", "...", "it's", "　", "\xa0q", "\U0001f642", "퟿", "zz"]
@@ -135,11 +144,13 @@ def test_exact_beyond_64_bits(session):
     assert row["score"] == 2_000_000 * (big // 3) // (2 * big - 1)
 
 
-def test_collisions_of_the_bitmap_change_nothing(session, place, monkeypatch):
+def test_collisions_of_hashes_and_bitmap_change_nothing(session, place, monkeypatch):
     rows = corpus(3, 100)
     indexes = phrases.build(session.createDataFrame(rows, "text string, lang string"), place())
     expected = brute(rows, 3, 2000)
     monkeypatch.setattr(phrases, "_bitmap", lambda keys: np.full(1 << (phrases.BITS - 6), 2**64 - 1, np.uint64))
+    monkeypatch.setattr(phrases, "PART", 50)
+    monkeypatch.setattr(phrases, "HELD", 20)
     assert got(phrases.best_phrases(indexes, 3)) == expected
 
 
