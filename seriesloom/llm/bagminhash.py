@@ -17,7 +17,7 @@ doc_id of a class goes on; (2) signatures are cut into ``bands``; (3) each band
 id, and those pairs are verified by exact overlap; (4) the documents of buckets that still hold
 several components are joined exactly: their shingles are ordered by how many of them have them, and two
 documents can only reach the threshold if they share one of their rarest (1 - threshold) part, at a place that leaves enough
-behind it. Rounds come first, in which every document is compared with one such document of another component, so that large
+behind it. First every document is compared with up to three such documents of other components, so that large
 groups grow together in as many comparisons as documents; what is still apart is joined with all
 bounds in the join, so that pairs that cannot reach the threshold are never made; (5) components. Texts are shuffled once, for candidates only. No group is collected into one task.
 
@@ -43,9 +43,6 @@ SHINGLE = 5
 SLOTS = 96
 BANDS = 24
 THRESHOLD = 0.8
-# Rounds of linking open documents one by one before the exact join, which goes on from any state; they end when three in
-# a row linked no more than this share of what they tried.
-ROUNDS, WORTH = 9, 0.05
 
 
 def shingles(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -266,24 +263,27 @@ def _with_components(prefix: DataFrame, joined: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "doc_id"))
 
 
-def _attempts(placed: DataFrame, number: int) -> DataFrame:
-    """At most one pair (a, b) per document, with a document of another component that the bounds allow.
+def _attempts(placed: DataFrame) -> DataFrame:
+    """Up to three pairs (a, b) per document, with documents of other components that the bounds allow.
 
-    Each shingle and range of totals has a hub; a document tries one of its hubs. In turn, ranges are narrow with a hub
-    drawn by lot, wide with the shortest document as hub (texts that others add something to), and wide with a hub
-    drawn by lot; wide ones do not end at the same totals.
+    Each shingle and range of totals has a hub, and a document tries one of its hubs. There are three kinds: narrow ranges
+    with a hub drawn by lot, wide ones with the shortest document as hub (texts that others add something to),
+    and wide ones, which end at other totals, with a hub drawn by lot.
     """
-    cell = F.floor(F.log("total") * (4 if number % 3 else 20) + F.lit(number * 0.37))
-    first = F.col("total") if number % 3 == 1 else F.lit(0)
-    rows = placed.select("shingle", cell.alias("cell"), "doc_id", "component", "total", "reach")
-    hub = F.struct(first.alias("first"), F.xxhash64("doc_id", F.lit(number)).alias("lot"), F.col("doc_id").alias("hub"), F.col("component").alias("at"),
+    kinds = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.floor(F.log("total") * fineness + shift).alias("cell"), first.alias("first"))
+        for kind, fineness, shift, first in ((0, 20, 0.0, F.lit(0)), (1, 4, 0.37, F.col("total").cast("int")), (2, 4, 0.81, F.lit(0)))])
+    rows = placed.select("shingle", "doc_id", "component", "total", "reach", F.explode(kinds).alias("k")).select(
+        "shingle", "k.kind", "k.cell", "k.first", "doc_id", "component", "total", "reach")
+    hub = F.struct("first", F.xxhash64("doc_id", "kind").alias("lot"), F.col("doc_id").alias("hub"), F.col("component").alias("at"),
                    F.col("total").alias("hub_total"), F.col("reach").alias("hub_reach"))
     # Of two documents that can be linked over a shingle, one can be linked with others of its own length.
-    cells = rows.groupBy("shingle", "cell").agg(
+    cells = rows.groupBy("shingle", "kind", "cell").agg(
         F.min(F.when(F.col("reach") >= F.col("total"), hub)).alias("least"), F.min("component").alias("low"),
-        F.max("component").alias("high")).where("low < high and least is not null").select("shingle", "cell", "least.hub", "least.at", "least.hub_total", "least.hub_reach")
-    tried = rows.join(cells, ["shingle", "cell"]).where("component <> at and total <= hub_reach and hub_total <= reach")
-    tried = tried.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("hub", "doc_id", F.lit(number)), "hub")).alias("one"))
+        F.max("component").alias("high")).where("low < high and least is not null").select(
+        "shingle", "kind", "cell", "least.hub", "least.at", "least.hub_total", "least.hub_reach")
+    tried = rows.join(cells, ["shingle", "kind", "cell"]).where("component <> at and total <= hub_reach and hub_total <= reach")
+    tried = tried.groupBy("doc_id", "kind").agg(F.min(F.struct(F.xxhash64("hub", "doc_id"), "hub")).alias("one"))
     return tried.select(F.least("doc_id", "one.hub").alias("a"), F.greatest("doc_id", "one.hub").alias("b")).distinct()
 
 
@@ -346,17 +346,10 @@ def _judged(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, b
     open_buckets = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rest = store(placed.join(open_buckets.select("band", "key"), ["band", "key"]).select("doc_id").distinct(), "open")
     prefix = _prefixes(rest, bags, threshold)
-    idle = 0
-    for number in range(ROUNDS):
-        attempts = store(_attempts(_with_components(prefix, joined), number), "attempts")
-        fresh = store(_verified(attempts, bags, threshold), "fresh")
-        linked = fresh.count()
-        if linked:
-            links = links.union(fresh)
-            joined = store(components(links, "round-links"), "round-components")
-        idle = idle + 1 if linked <= WORTH * attempts.count() else 0
-        if idle == 3:
-            break
+    fresh = store(_verified(_attempts(_with_components(prefix, joined)), bags, threshold), "fresh")
+    if not fresh.isEmpty():
+        links = links.union(fresh)
+        joined = store(components(links, "grown-links"), "grown-components")
     across = _apart(store(_with_components(prefix, joined), "placed"))
     # Those that the stars have compared already are not compared again.
     across = across.join(star, ["a", "b"], "left_anti")
