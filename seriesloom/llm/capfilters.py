@@ -10,10 +10,11 @@ The bound gives about ``HITS`` directions a vector; the number of code words fol
 that a direction holds about ``FILL`` vectors of a label however many vectors there are. Two vectors
 at the limit of 0.98 share most of their directions; the tests measure recall against brute force.
 
-Equal vectors of a label form a class; only its smallest vec_id is compared, so thousands of copies make no
+Equal vectors of a label form a class; only one of its rows is compared, so thousands of copies make no
 pairs, yet each counts as linked with all others. Vectors with a null label, or that are null, zero, or hold
 null or non-finite components, link with nothing and come out as they are; vectors of different length
-are not compared. Rows with a NULL vec_id are left out. Repeated rows of a vec_id are copies of one another if the vectors agree.
+are not compared. Every row is a vector of its own: rows of one vec_id count as copies if their vectors agree, else as different
+vectors. A NULL vec_id links like others; it names no component, so one without any other id is NULL, and it is never kept.
 Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -108,8 +109,7 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
     if not 0.9 <= limit <= 1:
         raise ValueError("the filters are made for cosines of 0.9 and more")
-    source = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>")).where(
-        "vec_id is not null")
+    source = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
 
     def normalise(batches):
         for batch in batches:
@@ -126,16 +126,18 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
                 pa.array([None if u is None else u.tolist() for u in units], pa.list_(pa.float64()))],
                 ["vec_id", "label", "key", "unit"])
 
-    units = store(source.mapInArrow(normalise, "vec_id long, label string, key binary, unit array<double>"), "units")
+    # Rows go by a number of their own, so ids may be NULL or stand for several vectors.
+    units = store(source.mapInArrow(normalise, "vec_id long, label string, key binary, unit array<double>").withColumn(
+        "row", F.monotonically_increasing_id()), "units")
     valid = units.where("key is not null")
-    same = valid.groupBy("label", "key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"))
-    copies = store(same, "classes")
-    first = copies.where("size > 1")
-    # A class's vector is that of its smallest vec_id; rows of single vectors need no join.
-    member = valid.join(first, ["label", "key"], "left").select(
-        "vec_id", "label", "unit", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("size", F.lit(1)).alias("size"))
+    same = valid.groupBy("label", "key").agg(
+        F.min("row").alias("class_id"), F.min("vec_id").alias("low"), F.count("*").alias("size")).where("size > 1")
+    # A class is named by one of its rows; rows of single vectors need no join.
+    member = valid.join(same, ["label", "key"], "left").select(
+        "vec_id", "row", "label", "unit", F.coalesce("class_id", "row").alias("class_id"),
+        F.when(F.col("class_id").isNull(), F.col("vec_id")).otherwise(F.col("low")).alias("low"), F.coalesce("size", F.lit(1)).alias("size"))
     member = store(member, "members")
-    heads = member.where("vec_id = class_id").dropDuplicates(["label", "class_id"])
+    heads = member.where("row = class_id")
 
     # One row per vector length in use; a table holds a handful of them.
     sizes = heads.groupBy(F.size("unit").alias("n"), "label").count().groupBy("n").agg(F.max("count").alias("largest")).collect()
@@ -175,12 +177,15 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     both = links.select("label", F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("label", "b", "a"))
     linked = both.join(weights, ["label", "other"]).groupBy("label", F.col("id").alias("class_id")).agg(F.sum("size").alias("others"))
     reached = components(links.select("a", "b"), "vector-links").select(F.col("id").alias("class_id"), "component")
-    counted = member.select("vec_id", "label", "class_id", "size").join(linked, ["label", "class_id"], "left").join(reached, "class_id", "left")
+    named = reached.union(reached.select("component", "component").distinct()).distinct().join(heads.select("class_id", "low"), "class_id")
+    lowest = named.groupBy("component").agg(F.min("low").alias("lowest"))
+    reached = named.select("class_id", "component").join(lowest, "component").select("class_id", "lowest", F.lit(True).alias("joined"))
+    counted = member.select("vec_id", "label", "class_id", "low", "size").join(linked, ["label", "class_id"], "left").join(reached, "class_id", "left")
     result = counted.select(
         "vec_id", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "class_id").alias("component_id"))
+        F.when(F.col("joined"), F.col("lowest")).otherwise(F.col("low")).alias("component_id"))
     alone = units.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return result.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return result.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _even(column) -> bool:

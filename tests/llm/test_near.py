@@ -140,18 +140,17 @@ def test_pairs_that_are_apart_hold_all_that_can_reach_the_threshold(session):
         assert {(a, b) for a, b in links if a % groups != b % groups} <= found
         assert all(a % groups != b % groups and a < b for a, b in found) and len(found) < 0.6 * len(texts) ** 2 / 2
     alone = bagminhash._with_components(prefix, session.createDataFrame([(i, 0) for i in texts], "id long, component long"))
-    assert bagminhash._apart(alone).collect() == [] and bagminhash._attempts(alone, 0).collect() == []
+    assert bagminhash._apart(alone).collect() == [] and bagminhash._attempts(alone).collect() == []
 
 
-def test_attempts_are_no_more_than_documents(session):
+def test_attempts_grow_with_the_documents(session):
     texts = dict(enumerate(family(3, 300)))
     _, bags = true_links(dict(list(texts.items())[:2]))
     bags = {i: bagminhash.shingles(t.encode().split()) for i, t in texts.items()}
     stored = session.createDataFrame([(i, b.view(np.int64).tolist()) for i, b in bags.items()], "doc_id long, bag array<long>")
     prefix = bagminhash._prefixes(stored.select("doc_id"), stored, 0.8)
     placed = bagminhash._with_components(prefix, session.createDataFrame([], "id long, component long"))
-    for number in range(3):
-        assert 50 < bagminhash._attempts(placed, number).count() <= 300
+    assert 100 < bagminhash._attempts(placed).count() <= 3 * 300
 
 
 def test_a_large_group_of_members_around_the_threshold_equals_brute_force(session, docs):
@@ -219,3 +218,13 @@ def test_near_vectors_equal_brute_force(session):
     assert recall > 0.999 and all(r.n_links <= total[i] for i, r in found.items())
     assert {i: r.component_id for i, r in found.items()} == brute_components([r[0] for r in rows], links)
     assert capfilters.near_vectors(table.limit(0)).collect() == []
+
+
+def test_vectors_by_row_not_by_id(session):
+    east, north, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.1, 0.0]
+    rows = [(5, east, 1), (5, north, 1), (1, east, 1), (None, near, 1), (7, north, 1), (None, [0.0, 0.0, 1.0], 1), (None, [0.0, 0.0, 1.0], 1), (9, east, 2), (None, None, 1)]
+    table = session.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in capfilters.near_vectors(table).collect())
+    assert found == Counter([
+        (5, 2, 1, False), (5, 1, 5, True), (1, 2, 1, True), (None, 2, 1, False), (7, 1, 5, False), (None, 1, None, False), (None, 1, None, False),
+        (9, 0, 9, True), (None, 0, None, False)])
