@@ -37,6 +37,11 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
+def in_fold(doc_id: Column, parts: int, part: int) -> Column:
+    """Whether the id's fold is ``part``; false for a NULL id, which has none."""
+    return F.coalesce(fold(doc_id, parts) == part, F.lit(False))
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []

@@ -19,6 +19,7 @@ counted before they are shuffled; a word of a third of all rows moves once per t
 Null texts count as empty: the end alone. Repeated documents are scored, and learnt from, row by row. Rows of NULL doc_id
 are never learnt from but scored. A null language is one of its own. Without training rows, known counts are zero and all pieces
 are equally likely. Extra columns are ignored; an empty table gives no rows.
+A NULL doc_id is in no fold: held_out is false, and the text is learnt from.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import fold, mix
+from seriesloom.llm.common import in_fold, mix
 from seriesloom.llm.tokens import public_path
 from seriesloom.session import store
 
@@ -339,5 +340,5 @@ def score(docs: DataFrame, train: F.Column, vocabulary: str = "piece_bpe_32k.mod
 
 def held_out_scores(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
     """Learn outside the held-out fold, score all documents."""
-    scored = score(docs, fold(F.col("doc_id"), parts) != held)
-    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = score(docs, ~in_fold(F.col("doc_id"), parts, held))
+    return scored.select("doc_id", in_fold(F.col("doc_id"), parts, held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

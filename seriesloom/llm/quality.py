@@ -10,7 +10,7 @@ Means and covariances come from sums over all labelled training rows, added up o
 driver sees one number per class and pair of statistics, however many rows there are.
 
 Null and empty texts have defined statistics (all counts zero) and are scored like any other. Documents without
-a label are only scored; where a doc_id is labelled twice and the rows disagree, 1 wins. Repeated
+a label are only scored, as are those with a NULL doc_id, which are in no fold (held_out is false); where a doc_id is labelled twice and the rows disagree, 1 wins. Repeated
 documents are scored one by one. With fewer than two rows of a class the score is the smoothed share
 of class 1. Extra columns are ignored.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.classify import clean_labels, sigmoid
-from seriesloom.llm.common import fold, only
+from seriesloom.llm.common import in_fold, only
 from seriesloom.session import store
 
 THRESHOLD = 0.7
@@ -161,7 +161,7 @@ def train(rows: DataFrame, labels: DataFrame) -> QualityModel:
 def quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold, score all documents. Each text is read once."""
     rows = store(measured(docs), "statistics")
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels.where(fold(F.col("doc_id"), parts) != held)))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels.where(~in_fold(F.col("doc_id"), parts, held))))
 
     def rate(batches):
         for batch in batches:
@@ -171,7 +171,7 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, t
                 ["doc_id", "score", "predicted"])
 
     scored = rows.mapInArrow(rate, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", in_fold(F.col("doc_id"), parts, held).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

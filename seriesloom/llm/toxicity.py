@@ -17,6 +17,7 @@ Null and empty texts get the score of the intercept. Documents without a label a
 is labelled twice and the rows disagree, 1 wins. Repeated documents are scored one by one. With no
 labelled rows, or only one class, the score is the smoothed share of that class. Extra columns are
 ignored.
+A NULL doc_id is in no fold (held_out is false) and has no label.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.classify import bounded_sample, clean_labels, sigmoid
-from seriesloom.llm.common import fold
+from seriesloom.llm.common import in_fold
 from seriesloom.session import store
 
 # Families of identity terms that may stand for one another, in the corpus' languages. The
@@ -277,6 +278,6 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, **fitting) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold, score all documents."""
-    model = train(docs, labels.where(fold(F.col("doc_id"), parts) != held), **fitting)
+    model = train(docs, labels.where(~in_fold(F.col("doc_id"), parts, held)), **fitting)
     scored = score(docs, model)
-    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", in_fold(F.col("doc_id"), parts, held).alias("held_out"), "score", "predicted")
