@@ -8,7 +8,8 @@ possible occurrence (it must lie inside the document), and the words there are c
 
 The corpus is read once. A bitmap of fixed size over all windows' shingles (a Bloom filter with one
 hash) is the only thing sent to the tasks, whatever the size of the benchmark; each document keeps only
-its runs of words that can matter, and everything after works on those. A passage shared by many
+its runs of words that can matter, and everything after works on those. A text of any length takes rows in proportion to
+its words, also where all of it lies in the benchmark. A passage shared by many
 documents is counted by partial sums, and joins on its shingle are plain equi-joins that adaptive
 execution can split.
 
@@ -24,7 +25,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import byte_words, only, shingle_hashes, word_hashes, words
@@ -123,46 +124,59 @@ def _shingles(words_column, first, size=SHINGLE):
         F.array_join(F.slice(words_column, k + 1, size), " ").alias("shingle"), (k + first).alias("at")))
 
 
-def occurrences(scanned: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Exact occurrences of windows: row, start, length, words."""
-    texts = distinct.select("words").distinct()
-    listed = store(texts.withColumn("window", F.monotonically_increasing_id()), "windows")
-    pieces = scanned.where(F.size("runs") > 0).select("row", F.explode(F.arrays_zip("starts", "runs")).alias("z")).select(
-        "row", F.col("z.starts").alias("base"), F.col("z.runs").alias("found"))
+def occurrences(scanned: DataFrame, listed: DataFrame) -> DataFrame:
+    """Exact occurrences of the listed windows (window, words): row, start, length, window.
+
+    Shingles travel alone; the words of a run meet the places that may match in it once, and only as many as the window
+    has are cut out for each, so a text of L words costs L small rows however much of it lies in windows.
+    """
+    pieces = store(scanned.where(F.size("runs") > 0).select("row", F.explode(F.arrays_zip("starts", "runs")).alias("z")).select(
+        "row", F.col("z.starts").alias("base"), F.col("z.runs").alias("found")), "pieces")
     lengths = [r[0] for r in listed.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
     if not lengths:
-        return pieces.select("row", F.col("base").alias("start"), F.col("base").alias("length"), F.lit(0).cast("long").alias("window"),
-                             F.col("found").alias("words")).where(F.lit(False))
+        return pieces.select("row", F.col("base").alias("start"), F.col("base").alias("length"), F.lit(0).cast("long").alias("window")).where(F.lit(False))
     by_length = [
-        pieces.where(F.size("found") >= n).select("row", "base", "found", F.explode(_shingles(F.col("found"), F.lit(0), n)).alias("s"))
+        pieces.where(F.size("found") >= n).select("row", "base", F.size("found").alias("size"), F.explode(_shingles(F.col("found"), F.lit(0), n)).alias("s"))
         for n in lengths
     ]
-    tokens = functools.reduce(DataFrame.unionByName, by_length).select("row", "base", "found", "s.shingle", "s.at")
+    tokens = functools.reduce(DataFrame.unionByName, by_length).select("row", "base", "size", "s.shingle", "s.at")
     frequency = tokens.groupBy("shingle").agg(F.count("*").alias("n"))
-    in_windows = listed.select("window", "words", F.explode(_shingles(F.col("words"), F.lit(0))).alias("s")).select(
-        "window", "words", "s.shingle", "s.at")
+    in_windows = listed.select("window", F.size("words").alias("length"), F.explode(_shingles(F.col("words"), F.lit(0))).alias("s")).select(
+        "window", "length", "s.shingle", "s.at")
     # A window with a shingle that no document has cannot occur: the inner join and the count drop it.
     ranked = in_windows.join(frequency, "shingle")
     prefix = ranked.groupBy("window").agg(
-        F.min(F.struct("n", "at", "shingle")).alias("rarest"), F.count("*").alias("present"), F.first("words").alias("words"))
-    prefix = prefix.where(F.col("present") == F.greatest(F.size("words") - SHINGLE + 1, F.lit(1))).select(
-        "window", "words", F.col("rarest.shingle").alias("shingle"), F.col("rarest.at").alias("inside"))
+        F.min(F.struct("n", "at", "shingle")).alias("rarest"), F.count("*").alias("present"), F.first("length").alias("length"))
+    prefix = prefix.where(F.col("present") == F.greatest(F.col("length") - SHINGLE + 1, F.lit(1))).select(
+        "window", "length", F.col("rarest.shingle").alias("shingle"), F.col("rarest.at").alias("inside"))
     start = F.col("at") - F.col("inside")
-    return tokens.join(prefix, "shingle").where((start >= 0) & (start + F.size("words") <= F.size("found"))).where(
-        F.slice("found", start + 1, F.size("words")) == F.col("words")).select(
-        "row", (F.col("base") + start).alias("start"), F.size("words").alias("length"), "window", "words").distinct()
+    places = tokens.join(prefix, "shingle").where((start >= 0) & (start + F.col("length") <= F.col("size"))).select(
+        "row", "base", start.alias("inside_run"), "length", "window")
+    cut = places.join(pieces, ["row", "base"]).select(
+        "row", (F.col("base") + F.col("inside_run")).alias("start"), "length", "window",
+        F.slice("found", F.col("inside_run") + 1, F.col("length")).alias("here"))
+    return cut.join(listed, "window").where(F.col("here") == F.col("words")).select("row", "start", "length", "window")
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """row, n_hit: positions under any occurrence, from the occurrences in order. A document has at most as many as words."""
+    end = F.col("start") + F.col("length")
+    before = Window.partitionBy("row").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0)))
+    return found.select("row", "start", "length").distinct().select("row", F.greatest(end - reached, F.lit(0)).alias("new")).groupBy(
+        "row").agg(F.sum("new").alias("n_hit"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     cut = store(windows(benchmark, window), "cut")
+    listed = store(cut.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
     bitmap, sizes = _bitmap(cut)
     scanned = runs(docs, bitmap, sizes)
-    found = store(occurrences(scanned, cut), "occurrences")
-    # Positions under any occurrence; a document's own are at most its words.
-    hits = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy(
-        "row").agg(F.count("*").alias("n_hit"))
-    named = found.select("row", "words").distinct().join(cut, "words").where("item_id is not null").groupBy("row").agg(
+    found = store(occurrences(scanned, listed), "occurrences")
+    hits = covered(found)
+    of_items = cut.where("item_id is not null").join(listed, "words").select("item_id", "window")
+    named = found.select("row", "window").distinct().join(of_items, "window").groupBy("row").agg(
         F.sort_array(F.collect_set("item_id")).alias("items"))
     judged = scanned.select("row", "doc_id", "n_words").join(hits, "row", "left").join(named, "row", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
