@@ -8,17 +8,18 @@ permutation. Nothing but the key is shared between tasks, so any task gives the
 
 What is found, and what stays valid:
 
-- payment card numbers of 13 to 19 digits with a right Luhn sum, plain or in groups, also next to other numbers: digits
-  permuted, sum right again;
+- payment card numbers of 13 to 19 digits that are issued like this and have a right Luhn sum, plain or in groups, also next
+  to other numbers: digits permuted, sum right again;
 - IBANs with right check digits, also before other words: account part permuted, check digits right again;
 - telephone numbers in international or North American form: digits after the country code;
 - social security numbers (3-2-4 digits, valid areas); IPv4 addresses with octets up to 255: the 32-bit address;
+  IPv6 addresses: their hex digits;
 - calendar dates (1900 to 2099; ISO, slashes, points): another day of those years in the same layout;
-- e-mail addresses: letters and digits of the local part; keys, tokens and passwords: letters, digits and hex digits, up to
-  white space or the closing quote, of any length.
+- e-mail addresses: letters and digits of the local part, of any alphabet; keys, tokens and passwords: letters, digits and hex
+  digits, up to white space or the closing quote, from eight characters on, or from four with a digit among them.
 
-Numbers that fail their check (a wrong Luhn sum, an octet of 300, the 31st of February) stay as they are. Letters keep
-their case. The text's length never changes. Null texts stay null; empty ones empty. Repeated rows are treated alike;
+Numbers that fail their check (a wrong Luhn sum, an octet of 300, the 31st of February) stay as they are. Digits of other
+scripts count as digits. Letters keep their case. The text's length never changes. Null texts stay null; empty ones empty. Repeated rows are treated alike;
 other columns are handed on. An empty table gives no rows.
 """
 
@@ -28,7 +29,9 @@ import bisect
 import datetime
 import functools
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import only
 
 ROUNDS = 10
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Longer letters and digits are permuted in blocks of this length, each under the values of those before it.
 BLOCK = 128
 CACHE = 50_000
@@ -70,20 +74,20 @@ class Feistel:
         return str(self.permute(int(text), 10 ** len(text), tweak)).zfill(len(text)) if text else text
 
     def characters(self, text: str, tweak: str) -> str:
-        """Permutes letters among letters of their case and digits among digits; other characters stay."""
+        """Permutes letters among letters of their case (and alphabet) and digits among digits; other characters stay."""
         if len(text) > BLOCK:
             return self._blocks(self.characters, text, tweak)
         value, size, classes = 0, 1, []
         for c in text:
-            base, count = ("0", 10) if "0" <= c <= "9" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else (c, 1)
-            classes.append((base, count))
-            value, size = value * count + (ord(c) - ord(base)), size * count
+            alike = "0123456789" if "0" <= c <= "9" else LOWER if "a" <= c <= "z" else UPPER if "A" <= c <= "Z" else relatives(c)
+            classes.append(alike)
+            value, size = value * len(alike) + alike.index(c), size * len(alike)
         if size == 1:
             return text
-        value, out = self.permute(value, size, f"{tweak}:{''.join(b for b, _ in classes)}"), []
-        for base, count in reversed(classes):
-            value, at = divmod(value, count)
-            out.append(chr(ord(base) + at))
+        value, out = self.permute(value, size, f"{tweak}:{''.join(alike[0] for alike in classes)}"), []
+        for alike in reversed(classes):
+            value, at = divmod(value, len(alike))
+            out.append(alike[at])
         return "".join(reversed(out))
 
     def _blocks(self, change: Callable[[str, str], str], text: str, tweak: str) -> str:
@@ -104,6 +108,16 @@ class Feistel:
         return changed.upper() if text.upper() == text else changed
 
 
+@functools.lru_cache(4096)
+def relatives(c: str) -> str:
+    """Letters, digits and accents outside ASCII of the same kind in the same block of 128 characters; any other character alone."""
+    kind = unicodedata.category(c)
+    if c.isascii() or kind[0] not in "LNM":
+        return c
+    start = ord(c) & ~127
+    return "".join(x for x in map(chr, range(max(start, 128), start + 128)) if unicodedata.category(x) == kind)
+
+
 def luhn_digit(payload: str) -> str:
     total = 0
     for k, c in enumerate(reversed(payload)):
@@ -135,8 +149,24 @@ LENGTHS = {country: size for size, countries in {
     28: "AL AZ BY CY DO GT HU LB NI PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 
 
+# First digits (from, to) and lengths of the cards that are issued.
+ISSUED = [(first, last, set(lengths)) for first, last, lengths in (
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)),
+    ("6011", "6011", range(16, 20)), ("644", "649", range(16, 20)), ("65", "65", range(16, 20)), ("300", "305", range(14, 20)),
+    ("3095", "3095", range(14, 20)), ("36", "36", range(14, 20)), ("38", "39", range(14, 20)), ("3528", "3589", range(16, 20)),
+    ("62", "62", range(16, 20)), ("2200", "2204", range(16, 20)), ("5018", "5018", range(13, 20)), ("5020", "5020", range(13, 20)),
+    ("5038", "5038", range(13, 20)), ("5893", "5893", range(13, 20)), ("6304", "6304", range(13, 20)), ("6759", "6759", range(13, 20)),
+    ("6761", "6763", range(13, 20)), ("60", "60", (16,)), ("81", "82", (16,)), ("508", "508", (16,)), ("636", "636", range(16, 20)),
+    ("9792", "9792", (16,)))]
+
+
+def issued(digits: str) -> bool:
+    """Whether cards of this length begin like this."""
+    return any(first <= digits[: len(first)] <= last and len(digits) in lengths for first, last, lengths in ISSUED)
+
+
 def card_windows(run: str, printed: bool = False) -> list[tuple[int, int]]:
-    """Places of cards in a run of digit groups: 13 to 19 digits of whole groups with a right Luhn sum.
+    """Places of cards in a run of digit groups: 13 to 19 digits of whole groups, as issued, with a right Luhn sum.
 
     Of windows that overlap, those in a usual layout (one kind of gap, first digit of 2 to 6) come first, then longer ones,
     then earlier ones. ``printed`` leaves out the others.
@@ -152,7 +182,7 @@ def card_windows(run: str, printed: bool = False) -> list[tuple[int, int]]:
             usual = run[groups[k][0]] in "23456" and (j == k or tuple(b - a for a, b in groups[k : j + 1]) in PRINTED and len(
                 {run[b] for _, b in groups[k:j]}) == 1)
             plain = re.sub(r"[ -]", "", run[groups[k][0] : groups[j][1]]) if size >= 13 and (usual or not printed) else ""
-            if plain and luhn_digit(plain[:-1]) == plain[-1]:
+            if plain and issued(plain) and luhn_digit(plain[:-1]) == plain[-1]:
                 found.append((not usual, -size, groups[k][0], groups[j][1]))
     taken: list[tuple[int, int]] = []
     for _, _, a, b in sorted(found):
@@ -232,6 +262,18 @@ def _address(f: Feistel, text: str) -> str:
     return ".".join(reversed(out))
 
 
+def _address6(f: Feistel, text: str) -> str:
+    """IPv6: hex digits of every group, whose layout stays."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return text
+    if not any(c.isdigit() for c in text) and text.count(":") < 4:
+        return text
+    at = iter(f.hexadecimal(text.replace(":", ""), "ip6" + re.sub("[^:]", "x", text)))
+    return "".join(c if c == ":" else next(at) for c in text)
+
+
 def _date(f: Feistel, text: str) -> str:
     numbers = re.findall(r"\d+", text)
     year_first = len(numbers[0]) == 4
@@ -280,23 +322,26 @@ def _secret(f: Feistel, text: str) -> str:
 
 # A mail address begins where its characters begin, so a long word is read once. A secret runs to white space or its closing
 # quote, without the marks of the sentence.
-MAIL = r"[._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*+(?<!\.)@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
+MAIL = r"[._%+-]*[^\W_][\w.%+\u0300-\u036f-]*+(?<!\.)@(?:[\w-]{1,63}\.)+[^\W\d_]{2,24}"
 
 KINDS: dict[str, tuple[str, Callable[[Feistel, str], str]]] = {
-    "mail": (rf"(?<![A-Za-z0-9._%+-]){MAIL}", _mail),
+    "mail": (rf"(?<![\w.%+\u0300-\u036f-]){MAIL}", _mail),
     "secret": (r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?i:token|password|passwd|secret|api[_-]?key)\s*[=:]\s*"
-               r"(?:\"[^\s\"]{8,}(?=\")|'[^\s']{8,}(?=')|[\"']?[^\s\"']{7,}[^\s\"'.,;:!?)\]}>])"
+               r"(?:\"[^\s\"]{8,}(?=\")|'[^\s']{8,}(?=')|[\"']?[^\s\"']{7,}[^\s\"'.,;:!?)\]}>]"
+               # Shorter ones need a digit, as words follow such keys in prose.
+               r"|[\"']?(?=[^\s\"'\d]{0,6}\d)[^\s\"']{3,6}[^\s\"'.,;:!?)\]}>])"
                r"|\b(?:[0-9a-f]{40}|[0-9A-F]{40})\b", _secret),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     "phone": (r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
               r"|(?<![\d.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])", _phone),
     "date": (r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\d/-]|\.\d)", _date),
     "social": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _social),
+    "address6": (r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?<=[0-9A-Fa-f])(?![\w:])", _address6),
     "address": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _address),
-    "card": (r"(?<![\d.-])\d(?:[ -]?\d){12,}(?![\d-]|\.\d)", _card),
+    "card": (r"(?<!\d)(?<!\d[.-])\d(?:[ -]?\d){12,}(?!\d|[.-]\d)", _card),
 }
 # One scan decides whether any kind can occur at all.
-HINT = re.compile(r"\d|@|(?i:token|passw|secret|api[_-]?key)|A[KS]IA|[A-Fa-f]{40}")
+HINT = re.compile(r"\d|@|::|(?i:token|passw|secret|api[_-]?key)|A[KS]IA|[A-Fa-f]{40}")
 # What a kind begins with: it saves trying the whole pattern elsewhere, and changes nothing that is found.
 BEGINS = {"secret": "(?=[A-Fa-fTtPpSs\u017f0-9])", "iban": "(?=[A-Z]{2})", "phone": r"(?=[\d+(])"} | dict.fromkeys(("date", "social", "address", "card"), r"(?=\d)")
 
@@ -311,6 +356,16 @@ MAIL_HERE = re.compile(f"(?P<mail>{MAIL})")
 OTHERS = _any([k for k in KINDS if k != "card"])
 
 
+OTHER_DIGIT = re.compile(r"[^\D0-9]")
+
+
+def _in_script(old: str, plain: str, new: str) -> str:
+    """A new digit in the script of the old one; what has not changed stays as it was."""
+    if new == plain:
+        return old
+    return chr(ord(old) - int(plain) + int(new)) if old != plain and new.isdecimal() else new
+
+
 class Pseudonyms:
     """Replaces the personal data of texts under one key."""
 
@@ -352,12 +407,19 @@ class Pseudonyms:
         return at
 
     def text(self, text: str) -> str:
-        """Texts with digits, @ signs or key words are searched whole for all kinds, the others are left alone."""
+        """Texts with digits, @ signs or key words are searched whole for all kinds, the others are left alone.
+
+        Decimal digits of any script are read as such, and come back in theirs.
+        """
         if not HINT.search(text):
             return text
+        plain = text if text.isascii() or not OTHER_DIGIT.search(text) else OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
         parts, done = [], 0
-        for start, end, kind in self._values(text, FOUND, 0, len(text)):
-            parts += [text[done:start], self.value(kind, text[start:end])]
+        for start, end, kind in self._values(plain, FOUND, 0, len(plain)):
+            changed = self.value(kind, plain[start:end])
+            if plain is not text:
+                changed = "".join(map(_in_script, text[start:end], plain[start:end], changed))
+            parts += [text[done:start], changed]
             done = end
         return "".join([*parts, text[done:]])
 

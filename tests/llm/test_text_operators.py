@@ -4,6 +4,7 @@ import hashlib
 import html
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,15 @@ def test_contamination_equals_brute_force(session, docs, clashing):
     assert got == brute_contamination(documents, items)
 
 
+def test_contamination_of_long_copies(session, docs):
+    """A hundred texts of 20,000 words that lie in one item: some rows a word, not words times words."""
+    chance = random.Random(8)
+    found = [f"w{chance.randint(0, 4000)}" for _ in range(20_000)]
+    benchmark = session.createDataFrame([(1, " ".join(found)), (2, " ".join(found[500:520]))], "item_id long, text string")
+    rows = decontaminate.contamination(docs([(k, " ".join(found)) for k in range(100)]), benchmark).collect()
+    assert len(rows) == 100 and all((r.n_words, r.n_hit, r.n_items, r.contaminated) == (20_000, 20_000, 2, True) for r in rows)
+
+
 def test_contamination_of_empty_tables(session, docs):
     none = session.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs([]), none).collect() == []
@@ -232,6 +242,40 @@ def test_other_numbers_stay(text):
     assert pseudonyms.Pseudonyms("key").text(text) == text
 
 
+# Every value must go, the text around it must stay.
+HIDDEN = [("4111-1111-1111-1111-", "4111-1111-1111-1111"), ("card-4111111111111111.", "4111111111111111"), ("josé.garcía@mail.example.com", "josé.garcía"),
+          ("ünal@mail.example.com", "ünal"), ("иван.петров@почта.рф", "иван.петров"), ("e\u0301va@mail.example.com", "e\u0301va"), ("password: hunter2", "hunter2"),
+          ("token=ab12", "ab12"), ("４１１１ １１１１ １１１１ １１１１", "４１１１ １１１１ １１１１ １１１１"), ("+٤٩ ٣٠ ١٢٣٤٥٦٧٨", "٣٠ ١٢٣٤٥٦٧٨"),
+          ("2001:0db8:85a3::8a2e:0370:7334", "2001:0db8:85a3::8a2e:0370:7334"), ("fe80:0:0:0:204:61ff:fe9d:f156", "fe80:0:0:0:204:61ff:fe9d:f156"), ("١٩٨٧-٠٢-٢٨", "١٩٨٧-٠٢-٢٨")]
+PROSE = ["order 1234567890128", "isbn 9780306406157", "password: yes please", "the token: a thing", "at 12:30:45 sharp", "std::vector and a::b", "secret: be kind",
+         "pages 10:20", "id 7777777777777777", "7086638319846192", "½ ² ③ 1 2 3"]
+
+
+@pytest.mark.parametrize("text, value", HIDDEN)
+def test_values_that_were_left_in_clear(text, value):
+    p = pseudonyms.Pseudonyms("key")
+    before, _, after = text.partition(value)
+    for whole in (text, f"see {text} now", f"({text})"):
+        new = p.text(whole)
+        assert value not in new and len(new) == len(whole) and before in new and after in new
+        assert [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in whole] or "token" in text or "password" in text or ":" in value
+    others = {p.text(text.replace(value, value[:-1] + c)) for c in "abc123"}
+    assert len(others) == 6 or not value[-1].isascii() or ":" in value or value[0] == "4"
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_clean_prose_stays(text):
+    assert pseudonyms.Pseudonyms("key").text(text) == text
+
+
+@given(st.text(alphabet="éüñαβжя漢字ａ１e\u0301a", min_size=1, max_size=6), st.text(alphabet="éüñαβжя漢字ａ１e\u0301a", min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_letters_of_any_alphabet_are_permuted_one_to_one(one, other):
+    f = pseudonyms.Feistel("key")
+    assert (f.characters(one, "t") == f.characters(other, "t")) == (one == other)
+    assert len(f.characters(one, "t").encode()) == len(one.encode())
+
+
 def test_pseudonyms_stay_valid():
     p = pseudonyms.Pseudonyms("key")
     card = p.text("4041894974608795")
