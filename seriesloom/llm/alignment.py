@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import hold, only
-from seriesloom.llm.tokens import LATIN, ODD, ODD_WIDE, SPACE, Encoder, public_path
+from seriesloom.llm.tokens import LATIN, SPACE, Encoder, odd, public_path
 from seriesloom.session import store
 
 # Pairs whose counts every task may hold: 17 bytes each, so 68 MB.
@@ -244,7 +244,7 @@ class Aligner:
 
     def chunks(self, text: str) -> list[str] | None:
         """The text cut where both sides do, or None where its white space may be more than a cut."""
-        if ALONE in text or (ODD if text.isascii() else ODD_WIDE).search(text):
+        if ALONE in text or odd(text):
             return None
         if self.sides.cuts_marks:
             text = MARK.sub(rf" {ALONE}\1", text)

@@ -10,7 +10,7 @@ Fixed-size lists lie back to back in a batch, so a memory-mapped file gives any
 documents of a shard follow one another without gaps, each with its end id, in ascending order of doc_id
 (NULL first; equal ids by their text), and the shards follow one another in the same order.
 
-Null texts count as empty: such a document is the end id alone. Repeated ids are all written. Other
+Null texts count as empty: such a document is the end id alone. Repeated ids are all written. A doc_id is a whole number. Other
 columns are ignored. An empty table gives no files and no rows.
 """
 
@@ -53,6 +53,8 @@ class ShardWriter:
         self.begun: list[tuple[int | None, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and ids.max() > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {ids.max()} does not fit into {self.dtype}")
         self.begun.append((doc_id, self.written + self.held))
         self.parts.append(ids.astype(self.dtype))
         self.held += len(ids)
@@ -146,12 +148,15 @@ class SequenceFile:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = LENGTH,
-                 dtype: str = "uint16") -> DataFrame:
+                 dtype: str | None = None) -> DataFrame:
     """Write the ids of all documents below ``folder``; one row (shard, path, n_tokens, n_docs) per file.
 
     One shuffle puts the documents in order. A task writes its file under a name of its own and moves
-    it into place at the end, so a repeated task replaces the file with the same one.
+    it into place at the end, so a repeated task replaces the file with the same one. Ids take two bytes where the
+    vocabulary and the end id allow it, else four.
     """
+    if dtype is None:
+        dtype = "uint16" if max(encoder(tokenizer).library.get_vocab_size() - 1, end_id) < 1 << 16 else "uint32"
     filesystem, root = pafs.FileSystem.from_uri(folder)
     filesystem.create_dir(root, recursive=True)
 
@@ -178,7 +183,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leng
                 "n_tokens": pa.array([total], pa.int64()), "n_docs": pa.array([docs_seen], pa.int64()),
             })
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return store(ordered.mapInArrow(write, "shard int, path string, n_tokens long, n_docs long"), "shards")
 
 

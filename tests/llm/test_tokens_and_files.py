@@ -165,3 +165,13 @@ def test_packing_documents(session, docs, clashing):
             end += length
         assert end <= 64
     assert packing.pack_documents(docs([]), BYTE, 0).collect() == []
+
+
+def test_width_of_ids(session, docs, tmp_path):
+    writer = arrow_files.ShardWriter(str(tmp_path / "x.arrow"), 8, "uint16")
+    with pytest.raises(ValueError, match="70000"):
+        writer.add(1, np.array([1, 70_000], np.uint32))
+    files = arrow_files.write_shards(docs([(1, "one two")]), f"file://{tmp_path}/wide", WORD, 70_000)
+    (row,) = arrow_files.read_shards(files).collect()
+    ids = np.append(encoder(WORD).whole("one two"), 70_000).astype("<u4")
+    assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
