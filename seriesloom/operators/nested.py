@@ -31,11 +31,3 @@ def explode_parallel(df: DataFrame, arrays: Sequence[str], keep: Sequence[str],
         df = df.select(*keep, *parts)
     rows = df.select(*keep, F.explode(F.arrays_zip(*arrays)).alias("_item"))
     return rows.select(*keep, *[F.col(f"_item.{a}").alias(a) for a in arrays])
-
-
-def missing_arrays(arrays: Sequence[str]) -> Column:
-    """Whether a row would be lost by :func:`explode_parallel`."""
-    missing = F.lit(False)
-    for name in arrays:
-        missing = missing | F.col(name).isNull()
-    return missing

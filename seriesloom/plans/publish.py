@@ -8,15 +8,16 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.plans.climate import ENTITY
 from seriesloom.schemas import columns
-from seriesloom.sources.tables import child_names, path_exists
+from seriesloom.sources.tables import child_names, path_exists, skippable
 
 MANIFEST = columns(
-    "exported_at TIMESTAMP, table_name STRING, row_count BIGINT, byte_count BIGINT, data_through DATE"
+    "exported_at TIMESTAMP, table_name STRING, row_count BIGINT, byte_count BIGINT, data_through DATE, fingerprint STRING"
 )
 
 
@@ -44,14 +45,38 @@ def _staged_sizes(spark: SparkSession, staging: str, names: Iterable[str]) -> Da
     return reduce(DataFrame.unionByName, [one(n) for n in names])
 
 
+def fingerprint(df: DataFrame) -> Column:
+    """An aggregate that tells tables with different rows apart, whatever their order: sums of two hashes over all columns.
+
+    Sums of 64-bit hashes are added up exactly, so rows may be counted in any number of tasks, and a repeated row changes
+    them like any other. Names and types of the columns are part of it.
+    """
+    described = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema.fields, key=lambda f: f.name))
+    columns = [(F.col(f"`{name}`"), df.schema[name].dataType) for name in sorted(df.columns)]
+    # A hash passes over NULL: flags tell missing columns, and nested values are hashed as text that names theirs.
+    missing = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c, _ in columns])
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    values = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if isinstance(kind, nested) else c for c, kind in columns]
+    exact = "decimal(38, 0)"
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), missing, *values).cast(exact)), F.lit(0).cast(exact)) for seed in (1, 2)]
+    return F.sha2(F.concat_ws("|", F.lit(described), F.count(F.lit(1)).cast("string"), *[x.cast("string") for x in sums]), 256)
+
+
+def fingerprints(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name and fingerprint of each table, in one plan."""
+    found = [t.agg(fingerprint(t).alias("fingerprint")).select(F.lit(n).alias("table_name"), "fingerprint") for n, t in tables.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def manifest_rows(sizes: DataFrame, data_through: DataFrame, exported_at: datetime.datetime) -> DataFrame:
     """One row per table. ``data_through`` is a one-row table with that column."""
-    rows = sizes if "byte_count" in sizes.columns else sizes.withColumn("byte_count", F.lit(None).cast("bigint"))
+    absent = {c: F.lit(None).cast(MANIFEST[c].dataType) for c in ("byte_count", "fingerprint") if c not in sizes.columns}
+    rows = sizes.withColumns(absent) if absent else sizes
     through = data_through.first()["data_through"]
     return rows.select(
         F.lit(exported_at).cast("timestamp").alias("exported_at"), "table_name",
         F.col("row_count").cast("bigint").alias("row_count"), F.col("byte_count").cast("bigint").alias("byte_count"),
-        F.lit(through).cast("date").alias("data_through"),
+        F.lit(through).cast("date").alias("data_through"), "fingerprint",
     )
 
 
@@ -62,16 +87,18 @@ def export_tables(
     """Write each table to the staging folder and the manifest last; return the manifest.
 
     The rebalance hint makes one file of a small table and evenly sized files of a large one. Rows of
-    one entity lie together and in order, so that a reader of one entity can skip the rest of a file.
+    one entity lie together and in order, so that a reader of one entity can skip the rest of a file, and every row group
+    has a Bloom filter of its entities, so that a reader also skips those between whose first and last entity it lies.
     """
     for name, table in tables.items():
         if ENTITY in table.columns:
             table = table.hint("rebalance", ENTITY).sortWithinPartitions(ENTITY)
         else:
             table = table.hint("rebalance")
-        table.write.mode("overwrite").parquet(f"{staging}/{name}")
+        skippable(table.write.mode("overwrite"), [ENTITY] if ENTITY in table.columns else []).parquet(f"{staging}/{name}")
     through = spark.read.parquet(f"{staging}/{newest[0]}").agg(F.max(newest[1]).alias("data_through"))
-    manifest = manifest_rows(_staged_sizes(spark, staging, tables), through, exported_at)
+    written = fingerprints({n: spark.read.parquet(f"{staging}/{n}") for n in tables})
+    manifest = manifest_rows(_staged_sizes(spark, staging, tables).join(written, "table_name"), through, exported_at)
     manifest.coalesce(1).write.mode("overwrite").json(f"{staging}/manifest")
     return read_manifest(spark, staging)
 
@@ -99,6 +126,13 @@ def manifest_differences(manifest: DataFrame, expected: DataFrame, observed: Dat
     )
 
 
+def changed_tables(manifest: DataFrame, observed: DataFrame) -> DataFrame:
+    """Tables whose rows are not those the manifest was made from, though they may be as many."""
+    stated = manifest.where("fingerprint is not null").select("table_name", F.col("fingerprint").alias("stated"))
+    return stated.join(observed, "table_name").where("stated <> fingerprint").select(
+        "table_name", F.lit("changed content").alias("problem"))
+
+
 def publish(spark: SparkSession, staging: str, live: str, expected: Iterable[str]) -> str:
     """Check a staged export against its manifest and, if all of it holds, make it the live one.
 
@@ -113,6 +147,8 @@ def publish(spark: SparkSession, staging: str, live: str, expected: Iterable[str
         nothing = wanted.limit(0).withColumn("row_count", F.lit(0))
         observed = _staged_sizes(spark, staging, staged) if staged else nothing
         problems = manifest_differences(manifest, wanted, observed).collect()
+        problems = problems or changed_tables(
+            manifest, fingerprints({n: spark.read.parquet(f"{staging}/{n}") for n in staged})).collect()
     except (PySparkException, Py4JJavaError) as error:
         if not _is_unreadable(error):
             raise

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.numeric import round_half_up
@@ -21,10 +21,11 @@ from seriesloom.schemas import (
 def with_latest(anomaly: DataFrame) -> DataFrame:
     """Each row with the latest day of its entity.
 
-    A window instead of a join with an aggregate: the rows are read once, and rows that are already
-    partitioned by entity stay where they are.
+    A join with an aggregate instead of a window, which would hold all rows of an entity for one date. Rows that are already
+    partitioned by entity stay where they are, and the aggregate reads two columns.
     """
-    return anomaly.withColumn("latest_date", F.max(DAY).over(Window.partitionBy(ENTITY)))
+    latest = anomaly.groupBy(ENTITY).agg(F.max(DAY).alias("latest_date"))
+    return anomaly.join(latest, ENTITY).select(*anomaly.columns, "latest_date")
 
 
 def series_history(anomaly: DataFrame, params: ServingParams = ServingParams()) -> DataFrame:

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.latest import keep_latest, replace_matching
 from seriesloom.schemas import columns
+from seriesloom.session import work_dir
 
-PART = "part_key"
-# Rows of a commit: (part, version) of each part; (query, batch) merged last; (mark, high) of each tracked column.
-COMMIT_SCHEMA = columns("part STRING, version BIGINT, query STRING, batch BIGINT, mark STRING, high STRING")
+PART, LOAD = "part_key", "load"
+# A version of a table: which load holds each part.
+PARTS = columns("part_key STRING, load STRING")
 
 
 class ConcurrentWrite(RuntimeError):
-    """Another writer has committed, or is about to, since this one read the table."""
+    """Another writer has made the version that this one was about to make."""
 
 
 class DuplicateKeys(ValueError):
@@ -36,6 +39,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, if it exists."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
 def layer_path(root: str, layer: str, name: str) -> str:
     return f"{root}/{layer}/{name}"
 
@@ -53,6 +62,14 @@ def clustered(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
+def skippable(writer: DataFrameWriter, keys: Sequence[str], distinct: int = 100_000) -> DataFrameWriter:
+    """Have every row group written with a Bloom filter of each key, for up to about ``distinct`` values in it."""
+    for key in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(
+            f"parquet.bloom.filter.expected.ndv#{key}", str(distinct)).option(f"parquet.bloom.filter.adaptive.enabled#{key}", "true")
+    return writer
+
+
 def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, order: Sequence[str] = ()) -> DataFrame:
     """Write a layer bucketed by ``key`` as catalog table ``name`` and return it.
 
@@ -89,29 +106,27 @@ def register_bucketed(spark: SparkSession, name: str, path: str, key: str, bucke
     spark.sql(f"CREATE TABLE `{name}` ({fields}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({key}){sort} INTO {buckets} BUCKETS")
 
 
-class Commit:
-    """What one commit says: the version of each part, the last batch of each stream, the tracked maxima."""
-
-    def __init__(self, version: int = -1):
-        self.version = version
-        self.parts: dict[str, int] = {}
-        self.batches: dict[str, int] = {}
-        self.marks: dict[str, str] = {}
+def create_exclusively(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False where it exists. Of several callers exactly one gets True."""
+    fs, target = _file_system(spark, path)
+    fs.mkdirs(target.getParent())
+    if fs.getScheme() == "file":
+        # The local file system of Hadoop looks first and creates then; Java's own does both at once.
+        return spark._jvm.java.io.File(target.toUri().getPath()).createNewFile()
+    return fs.createNewFile(target)
 
 
 class VersionedTable:
-    """A Parquet table whose commits replace whole parts and appear at once.
-
-    The rows live in ``data/v=<version>/part_key=<part>``; a commit is one small folder below
-    ``commits`` that says which version holds each part, and counts only once Spark has marked it
-    complete. Parts that a commit does not touch keep their files. A version is never used twice: a writer
-    claims the next free number with a file only one writer can create, and checks before it commits that nobody
-    else has. A stream's batch is recorded in the commit under the stream's id, so a replayed batch is
-    skipped, and a stream that starts anew from a fresh checkpoint merges its rows once more without
-    touching what is there.
-
-    ``part`` must have few values, bounded by the calendar and a fixed number of buckets: their
-    names are read by the driver. ``tracked`` columns have their highest value kept in the commit.
+    """A Parquet table whose versions replace whole parts and appear at once.
+
+    A load writes the rows of some parts to a folder of its own, ``data/load=<id>/part_key=<part>``. A version is a table of
+    (part, load) in ``versions/v=<n>``, next to one line of state: the last batch of every stream, and the highest values of
+    ``tracked`` columns. Reading is a join of the data with that table on the two partition columns, by which
+    Spark skips all other folders; parts are only ever handled as rows of tables.
+
+    Version n + 1 is made from version n by the one writer that creates the file ``claims/v=<n + 1>``; all others are told so
+    and merge again. The version is written aside and moved into place after that. A writer that dies between the two leaves a
+    claim without a version, which nobody passes until ``release`` takes it away.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, part: Column | None = None,
@@ -127,84 +142,62 @@ class VersionedTable:
 
     # -- reading
 
-    def _numbers(self, folder: str) -> list[int]:
-        return [int(n[2:]) for n in child_names(self.spark, f"{self.path}/{folder}") if n.startswith("v=")]
-
     def versions(self) -> list[int]:
-        """All complete versions that are still kept."""
-        found = sorted(self._numbers("commits"))
-        return [v for v in found if path_exists(self.spark, f"{self.path}/commits/v={v}/_SUCCESS")]
-
-    def newest(self) -> Commit:
-        """The newest complete commit; looks at as few folders as it can."""
-        for version in sorted(self._numbers("commits"), reverse=True):
-            if path_exists(self.spark, f"{self.path}/commits/v={version}/_SUCCESS"):
-                return self._commit_of(version)
-        return Commit()
-
-    def _commit_of(self, version: int) -> Commit:
-        commit = Commit(version)
-        for r in self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.path}/commits/v={version}").collect():
-            if r["part"] is not None:
-                commit.parts[r["part"]] = r["version"]
-            elif r["query"] is not None:
-                commit.batches[r["query"]] = r["batch"]
-            elif r["mark"] is not None:
-                commit.marks[r["mark"]] = r["high"]
-        return commit
+        """All versions that are still kept."""
+        return sorted(int(n[2:]) for n in child_names(self.spark, f"{self.path}/versions") if n.startswith("v="))
 
-    def exists(self) -> bool:
-        return self.newest().version >= 0
+    def newest(self) -> int:
+        """The number of the newest version, -1 before the first one."""
+        return max(self.versions(), default=-1)
 
-    def _read_parts(self, parts: dict[str, int]) -> DataFrame:
-        if not parts:
+    def exists(self) -> bool:
+        return self.newest() >= 0
+
+    def parts(self, version: int) -> DataFrame:
+        """part_key and load of every part of a version."""
+        if version < 0:
+            return self.spark.createDataFrame([], PARTS).limit(0)
+        return self.spark.read.schema(PARTS).parquet(f"{self.path}/versions/v={version}/parts")
+
+    def _state(self, version: int) -> dict[str, dict]:
+        if version < 0:
+            return {"batches": {}, "marks": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/versions/v={version}/state").first()[0])
+
+    def _rows(self, version: int, touched: DataFrame | None = None) -> DataFrame:
+        """Rows of a version with their part, all or those of the parts in ``touched``."""
+        if version < 0 or not path_exists(self.spark, f"{self.path}/data"):
             # The limit lets the optimizer see that there is nothing to merge with.
-            return self.spark.createDataFrame([], self.schema).limit(0)
-        paths = [f"{self.path}/data/v={version}/{PART}={part}" for part, version in sorted(parts.items())]
-        return self.spark.read.schema(self.schema).parquet(*paths)
+            return self.spark.createDataFrame([], self.schema).withColumn(PART, F.lit("")).limit(0)
+        schema = T.StructType([*self.schema.fields, *PARTS.fields])
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
+        # Spark prunes partitions by a join only if the other side is filtered; this filter keeps all.
+        wanted = self.parts(version).where(F.col(PART) >= "")
+        if touched is not None:
+            wanted = wanted.join(touched, PART, "left_semi")
+        return rows.join(wanted, [LOAD, PART], "left_semi").drop(LOAD)
 
     def read(self) -> DataFrame:
-        """The rows of the newest complete version."""
-        return self._read_parts(self.newest().parts)
+        """The rows of the newest version."""
+        return self._rows(self.newest()).drop(PART)
 
     def high_water(self, column: str) -> str | None:
-        """The highest value of a tracked column, as text, from the commit alone."""
+        """The highest value of a tracked column, as text, from the version's state alone."""
         if column not in self.tracked:
             raise ValueError(f"{column} is not tracked")
-        return self.newest().marks.get(column)
+        return self._state(self.newest())["marks"].get(column)
 
     # -- writing
 
-    def _claim(self) -> int:
-        """A version no writer has used or will use: one past all that left any trace."""
-        version = max([-1, *self._numbers("commits"), *self._numbers("data"), *self._numbers("claims")]) + 1
-        fs, path = _file_system(self.spark, f"{self.path}/claims/v={version}")
-        if not fs.createNewFile(path):
-            raise ConcurrentWrite(f"version {version} of {self.path} is being written by another writer")
-        return version
-
-    def _write(self, df: DataFrame, version: int) -> set[str]:
-        """Write the rows of some parts and return which parts were written.
+    def _write(self, rows: DataFrame) -> str:
+        """Write the rows of some parts as a new load.
 
         The rebalance hint lets adaptive execution split a large part over several files and put
         small ones into one.
         """
-        folder = f"{self.path}/data/v={version}"
-        rows = df.select(*self.schema.fieldNames()).withColumn(PART, self.part)
-        rows.hint("rebalance", PART).write.mode("errorifexists").partitionBy(PART).parquet(folder)
-        prefix = f"{PART}="
-        return {n[len(prefix):] for n in child_names(self.spark, folder) if n.startswith(prefix)}
-
-    def _commit(self, commit: Commit, version: int) -> None:
-        """Publish ``commit``, which was made from version ``commit.version``, as ``version``."""
-        if self.newest().version != commit.version:
-            raise ConcurrentWrite(f"{self.path} has a newer version than {commit.version}")
-        none = (None,) * 6
-        rows = [(p, v, *none[:4]) for p, v in sorted(commit.parts.items())]
-        rows += [(None, None, q, b, None, None) for q, b in sorted(commit.batches.items())]
-        rows += [(None, None, None, None, m, h) for m, h in sorted(commit.marks.items())]
-        frame = self.spark.createDataFrame(rows, COMMIT_SCHEMA)
-        frame.coalesce(1).write.mode("errorifexists").json(f"{self.path}/commits/v={version}")
+        load = uuid.uuid4().hex
+        rows.hint("rebalance", PART).write.mode("errorifexists").partitionBy(PART).parquet(f"{self.path}/data/{LOAD}={load}")
+        return load
 
     def _marks(self, rows: DataFrame) -> dict[str, str]:
         if not self.tracked:
@@ -212,69 +205,100 @@ class VersionedTable:
         highest = rows.agg(*[F.max(c).cast("string").alias(c) for c in self.tracked]).first()
         return {c: highest[c] for c in self.tracked if highest[c] is not None}
 
+    def _commit(self, base: int, parts: DataFrame, state: dict[str, dict]) -> None:
+        """Make ``parts`` the version after ``base``, if nobody else has made one."""
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+        parts.select(*PARTS.fieldNames()).coalesce(1).write.parquet(f"{aside}/parts")
+        self.spark.createDataFrame([(json.dumps(state),)], "state STRING").coalesce(1).write.text(f"{aside}/state")
+        if not create_exclusively(self.spark, f"{self.path}/claims/v={base + 1}"):
+            remove(self.spark, aside)
+            raise ConcurrentWrite(f"version {base + 1} of {self.path} is another writer's; merge again, or release it if that one is gone")
+        fs, source = _file_system(self.spark, aside)
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/v={base + 1}")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"version {base + 1} of {self.path} could not be moved into place")
+
+    def release(self, version: int) -> None:
+        """Take over from a writer that claimed a version and died. Only for claims whose writer is known to be gone."""
+        if version in self.versions():
+            raise ValueError(f"version {version} of {self.path} is complete")
+        remove(self.spark, f"{self.path}/claims/v={version}")
+
     def overwrite(self, df: DataFrame) -> None:
         """Replace the whole table; its columns may be others than before."""
-        commit, version = self.newest(), self._claim()
+        base = self.newest()
+        state = self._state(base)
         self.schema = df.schema
-        commit.parts = {part: version for part in self._write(df, version)}
-        commit.marks = self._marks(self._read_parts(commit.parts))
-        self._commit(commit, version)
+        load = self._write(df.withColumn(PART, self.part))
+        written = self.spark.read.schema(T.StructType([*df.schema.fields, PARTS[PART]])).parquet(f"{self.path}/data/{LOAD}={load}")
+        state["marks"] = self._marks(written)
+        self._commit(base, written.select(PART).distinct().withColumn(LOAD, F.lit(load)), state)
 
     def upsert_latest(
         self, batch: DataFrame, keys: Sequence[str], sequence: Sequence[str], source: tuple[str, int] | None = None
-    ) -> None:
+    ) -> bool:
         """Merge a batch so that each key keeps its row with the highest sequence, old or new.
 
-        ``source`` is a stream's id and batch number; a batch the table has already is skipped.
+        ``source`` is a stream's id and batch number; a batch the table has already is skipped, and False returned. The
+        batch is read once.
         """
-        self._merge(batch, source, lambda old, new: keep_latest(old.unionByName(new), keys, sequence))
+        return self._merge(batch, source, lambda old, new: keep_latest(old.unionByName(new), keys, sequence))
 
-    def upsert(self, batch: DataFrame, keys: Sequence[str], source: tuple[str, int] | None = None) -> None:
+    def upsert(self, batch: DataFrame, keys: Sequence[str], source: tuple[str, int] | None = None) -> bool:
         """Merge a batch whose rows replace those with the same key; others are added. Two rows of a key are an error."""
-        twice = batch.groupBy(*keys).count().where("count > 1").limit(3).collect()
-        if twice:
-            raise DuplicateKeys(f"more than one row for a key, such as {[tuple(r)[:-1] for r in twice]}")
-        self._merge(batch, source, lambda old, new: replace_matching(old, new, keys))
+        def unique(old: DataFrame, new: DataFrame) -> DataFrame:
+            twice = new.groupBy(*keys).count().where("count > 1").limit(3).collect()
+            if twice:
+                raise DuplicateKeys(f"more than one row for a key, such as {[tuple(r)[:-1] for r in twice]}")
+            return replace_matching(old, new, keys)
+
+        return self._merge(batch, source, unique)
 
-    def _merge(self, batch: DataFrame, source: tuple[str, int] | None, combine) -> None:
-        commit = self.newest()
+    def _merge(self, batch: DataFrame, source: tuple[str, int] | None, combine) -> bool:
+        base = self.newest()
+        state = self._state(base)
         if source is not None:
             query, number = source
-            if commit.batches.get(query, -1) >= number:
-                return
-            commit.batches[query] = number
-        new = batch.select(*self.schema.fieldNames())
-        touched = {r["part"] for r in new.select(self.part.alias("part")).distinct().collect()}
-        version = self._claim()
-        if touched:
-            old = self._read_parts({p: v for p, v in commit.parts.items() if p in touched})
-            written = self._write(combine(old, new), version)
-            fresh = {part: version for part in written}
-            commit.parts.update(fresh)
-            marks = self._marks(self._read_parts(fresh))
-            commit.marks.update({c: max(h, commit.marks.get(c, h)) for c, h in marks.items()})
-        self._commit(commit, version)
+            if state["batches"].get(query, -1) >= number:
+                return False
+            state["batches"][query] = number
+        # The batch is read several times: it is stored once, with the part of each row.
+        aside = work_dir(self.spark, "batch")
+        batch.select(*self.schema.fieldNames()).withColumn(PART, self.part).write.parquet(aside)
+        new = self.spark.read.schema(T.StructType([*self.schema.fields, PARTS[PART]])).parquet(aside)
+        touched = new.select(PART).distinct()
+        fresh = self.parts(base).limit(0)
+        if not new.isEmpty():
+            names = self.schema.fieldNames()
+            merged = combine(self._rows(base, touched).select(*names), new.select(*names))
+            fresh = touched.withColumn(LOAD, F.lit(self._write(merged.withColumn(PART, self.part))))
+            for column, high in self._marks(new).items():
+                state["marks"][column] = max(high, state["marks"].get(column, high))
+        self._commit(base, self.parts(base).join(touched, PART, "left_anti").unionByName(fresh), state)
+        remove(self.spark, aside)
+        return True
 
     def expire(self, keep: int) -> list[int]:
-        """Remove all but the newest ``keep`` versions and the data folders none of those names.
+        """Remove all but the newest ``keep`` versions and the loads none of those names; the versions removed.
 
-        Readers of an older version must be done. Unfinished folders go too, so no writer may be at work.
+        Readers of an older version must be done. Loads of failed writers go too, so no writer may be at work.
         """
         if keep < 1:
             raise ValueError("at least the newest version stays")
         complete = self.versions()
-        kept = complete[-keep:]
+        kept, gone = complete[-keep:], complete[:-keep]
         if not kept:
             return []
-        used = set(kept) | {v for k in kept for v in self._commit_of(k).parts.values()}
-        gone = []
-        for folder, needed in (("commits", set(kept)), ("data", used)):
-            for number in self._numbers(folder):
-                if number not in needed:
-                    fs, path = _file_system(self.spark, f"{self.path}/{folder}/v={number}")
-                    fs.delete(path, True)
-                    gone.append(number)
-        return sorted(set(gone))
+        # A load is one commit's; there are as many as commits.
+        used = {r[0] for v in kept for r in self.parts(v).select(LOAD).distinct().collect()}
+        for load in child_names(self.spark, f"{self.path}/data"):
+            if load.startswith(f"{LOAD}=") and load[len(LOAD) + 1 :] not in used:
+                remove(self.spark, f"{self.path}/data/{load}")
+        for version in gone:
+            remove(self.spark, f"{self.path}/versions/v={version}")
+        remove(self.spark, f"{self.path}/aside")
+        return gone
 
 
 def newer_than_target(source: DataFrame, target: VersionedTable | DataFrame, sequence: str) -> DataFrame:

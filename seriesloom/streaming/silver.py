@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from seriesloom import schemas
 from seriesloom.operators.latest import keep_latest
-from seriesloom.operators.nested import explode_parallel, missing_arrays, variant_fields
+from seriesloom.operators.nested import explode_parallel, variant_fields
 from seriesloom.operators.quality import drop_violations, violation_counts
 from seriesloom.sources.tables import VersionedTable, place_year
 
@@ -103,12 +105,15 @@ def location_rows(raw: DataFrame, tolerant: bool = False) -> DataFrame:
     return raw.select(*variant_fields(LOCATION_FIELDS, tolerant=tolerant), *keep)
 
 
+def reply_counts(raw: DataFrame) -> list[Column]:
+    """How many replies there are, and how many give no rows because a measure is absent; for an aggregate or an observation."""
+    absent = [field.isNull() for name, field in zip(REPLY_FIELDS, variant_fields(REPLY_FIELDS), strict=True) if name in ARRAYS]
+    return [F.count(F.lit(1)).alias("replies"), F.count_if(reduce(or_, absent)).alias("replies_without_rows")]
+
+
 def reply_metrics(raw: DataFrame) -> DataFrame:
-    """How many replies there are, and how many give no rows because a measure is absent."""
-    arrays = reply_arrays(raw)
-    return arrays.agg(
-        F.count(F.lit(1)).alias("replies"), F.count_if(missing_arrays(ARRAYS)).alias("replies_without_rows")
-    )
+    """The counts of replies, as one row."""
+    return raw.agg(*reply_counts(raw))
 
 
 def with_source(schema: T.StructType) -> T.StructType:
@@ -162,7 +167,7 @@ def upsert_stream(
     expected: dict[str, str],
     checkpoint: str,
     on_metrics: OnMetrics | None = None,
-    measure: Callable[[DataFrame], DataFrame] | None = None,
+    measure: Callable[[DataFrame], list[Column]] | None = None,
 ) -> StreamingQuery:
     """Merge a stream of raw rows into a keyed table: drop bad rows first, then the highest sequence wins.
 
@@ -171,22 +176,27 @@ def upsert_stream(
     """
     spark = raw.sparkSession
 
+    dropped = [c.alias(f"dropped_{n}") for n, c in zip(required, violation_counts(required), strict=True)]
+    wanted = [F.count(F.lit(1)).alias("row_count"), *dropped, *violation_counts(expected)]
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         query = query_id(spark, checkpoint)
-        rows = prepare(batch)
-        # One row per key is all the merge needs, and it is read several times.
-        newest = keep_latest(drop_violations(rows, required), keys, sequence).persist()
-        try:
-            target.upsert_latest(newest, keys, sequence, source=(query, batch_id))
-            if on_metrics:
-                dropped = [c.alias(f"dropped_{n}") for n, c in zip(required, violation_counts(required), strict=True)]
-                warned = violation_counts(expected)
-                counts = rows.agg(F.count(F.lit(1)).alias("row_count"), *dropped, *warned).first().asDict()
-                if measure:
-                    counts |= measure(batch).first().asDict()
-                on_metrics(query, batch_id, counts)
-        finally:
-            newest.unpersist()
+        # Everything is counted while the merge stores the batch, which it does once.
+        replies, rows = Observation(f"replies-{batch_id}"), Observation(f"rows-{batch_id}")
+        seen = batch.observe(replies, *measure(batch)) if on_metrics and measure else batch
+        prepared = prepare(seen)
+        prepared = prepared.observe(rows, *wanted) if on_metrics else prepared
+        newest = keep_latest(drop_violations(prepared, required), keys, sequence)
+        merged = target.upsert_latest(newest, keys, sequence, source=(query, batch_id))
+        if not on_metrics:
+            return
+        if merged:
+            counts = rows.get | (replies.get if measure else {})
+        else:
+            # The table had the batch already, so nothing was written; its counts may not have been kept.
+            counts = prepare(batch).agg(*wanted).first().asDict()
+            counts |= batch.agg(*measure(batch)).first().asDict() if measure else {}
+        on_metrics(query, batch_id, counts)
 
     return (
         raw.writeStream.foreachBatch(merge)
@@ -216,7 +226,7 @@ def refresh_weather(
     return upsert_stream(
         raw_stream(spark, raw_path, max_files_per_trigger), weather_rows, weather_table(spark, path, buckets),
         ("location_id", "weather_date"), ("extracted_at", SOURCE), WEATHER_REQUIRED, WEATHER_EXPECTED, checkpoint,
-        on_metrics, reply_metrics,
+        on_metrics, reply_counts,
     )
 
 

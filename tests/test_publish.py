@@ -78,3 +78,56 @@ def test_bad_exports_are_refused_and_nothing_changes(spark, folder):
     export(spark, f"{folder}/better")
     publish.publish(spark, f"{folder}/better", live, EXPECTED)
     assert publish.live_folder(spark, live) == f"{folder}/better"
+
+
+def test_changed_content_of_equal_length_is_refused(spark, folder):
+    export(spark, f"{folder}/one")
+    changed = spark.read.parquet(f"{folder}/one/city_summary").withColumn(
+        "latest_date", F.when(F.col("id") == 2, F.lit(day("2024-01-02"))).otherwise(F.col("latest_date")))
+    rows = changed.collect()
+    spark.createDataFrame(rows, changed.schema).write.mode("overwrite").parquet(f"{folder}/one/city_summary")
+    refused(spark, f"{folder}/one", f"{folder}/live", EXPECTED, "city_summary: changed content")
+    # The same rows in other files and another order are the same content.
+    export(spark, f"{folder}/two")
+    same = spark.createDataFrame([(k, day("2024-01-01")) for k in (2, 0, 1)], changed.schema).repartition(3)
+    same.write.mode("overwrite").parquet(f"{folder}/two/city_summary")
+    publish.publish(spark, f"{folder}/two", f"{folder}/live", EXPECTED)
+
+
+def test_fingerprints(spark):
+    schema = "a string, b bigint, c double, d array<int>"
+    rows = [("x", 1, 1.5, [1, None]), (None, 2, None, None), ("", None, 0.0, []), ("x", 1, 1.5, [1, None])]
+
+    def of(values, schema=schema, parts=1):
+        df = spark.createDataFrame(values, schema).repartition(parts)
+        return df.agg(publish.fingerprint(df).alias("f")).first()[0]
+
+    plain = of(rows)
+    assert of(rows[::-1], parts=3) == plain
+    others = [rows[:3], rows + rows[:1], [("x", 1, 1.5, [1]), *rows[1:]], [rows[0], ("", 2, None, None), *rows[2:]], [rows[0], (None, None, None, None), *rows[2:]], []]
+    found = {of(v) for v in others}
+    assert len(found) == len(others) and plain not in found
+    assert of([], "a string") != of([], "a bigint") != of([], "b bigint")
+    swapped = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
+    assert of([(2, 1)], "a bigint, b bigint") != swapped.agg(publish.fingerprint(swapped).alias("f")).first()[0]
+
+
+def scanned_rows(df):
+    """Rows that the file scan gave to the filter above it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    return sum(int(leaves.apply(k).metrics().apply("numOutputRows").value()) for k in range(leaves.size()))
+
+
+def test_bloom_filters_skip_row_groups(spark, folder):
+    """An entity that lies between a row group's first and last one, but is not in it, costs no row."""
+    table = spark.range(0, 4000, 2).withColumnRenamed("id", "location_id").withColumn("v", F.lit(1.0))
+    publish.export_tables(spark, {"city_summary": table.withColumn("latest_date", F.lit(day("2024-01-01")))}, f"{folder}/one", NOW)
+    table.coalesce(1).write.parquet(f"{folder}/plain")
+    absent, present = F.col("location_id") == 1001, F.col("location_id") == 1000
+    assert scanned_rows(spark.read.parquet(f"{folder}/plain").where(absent)) > 0
+    exported = spark.read.parquet(f"{folder}/one/city_summary")
+    assert scanned_rows(exported.where(absent)) == 0
+    assert exported.where(present).count() == 1

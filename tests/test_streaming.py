@@ -5,6 +5,8 @@ import json
 import os
 import time
 
+import pytest
+
 from seriesloom.streaming import bronze, silver
 from tests.helpers import day, tuples
 
@@ -76,6 +78,37 @@ def test_files_are_taken_once_and_metrics_are_counted(spark, folder):
     assert result(spark, folder) == EXPECTED
 
 
+def test_counts_lost_in_a_crash_are_counted_again(spark, folder):
+    """The table had committed the batch, but its counts were not kept."""
+    for i, record in enumerate((A, B, C)):
+        put(f"{folder}/landing", f"{i}", record)
+
+    class Failing(list):
+        def append(self, counts):
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        refresh(spark, folder, Failing())
+    assert result(spark, folder) == EXPECTED
+    metrics = []
+    refresh(spark, folder, metrics)
+    assert [(m["row_count"], m["dropped_complete_day"], m["replies"]) for m in metrics] == [(6, 1, 3)]
+    assert result(spark, folder) == EXPECTED
+
+
+def test_expectations_are_counted_while_the_batch_is_stored(spark, folder, monkeypatch):
+    """Nothing but the merge reads the batch: neither a second aggregate over it nor a cached copy."""
+    for i, record in enumerate((A, B)):
+        put(f"{folder}/landing", f"{i}", record)
+    read = []
+    rows = silver.weather_rows
+    monkeypatch.setattr(silver, "weather_rows", lambda raw, *a: read.append(1) or rows(raw, *a))
+    metrics = []
+    refresh(spark, folder, metrics)
+    assert len(read) == 1 and metrics[0]["row_count"] == 4
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+
 def test_equal_sequences_are_decided_by_the_source_file(spark, folder):
     first = reply(1, "20240110T000000Z", [("2024-01-01", 5.0, 1.0, 1.0, 0.0, 20.0)])
     second = reply(1, "20240110T000000Z", [("2024-01-01", 5.0, 1.0, 2.0, 0.0, 20.0)])

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import glob
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -60,14 +62,43 @@ def test_upserts_by_sequence_do_not_depend_on_order(spark, folder):
     assert results[0] == results[1] == results[2] == [(1, 0, 2, "a2"), (2, 1, 3, "b3"), (3, 1, 1, "c1")]
 
 
+def loads(target, version):
+    return {r.part_key: r.load for r in target.parts(version).collect()}
+
+
 def test_only_touched_parts_are_rewritten(spark, folder):
     target = table(spark, folder)
     target.upsert(rows(spark, (1, 0, 1, "a"), (2, 1, 1, "b")), ["k"])
     target.upsert(rows(spark, (2, 1, 1, "c")), ["k"])
-    assert [n for n in os.listdir(f"{folder}/t/data/v=1") if n.startswith("part")] == ["part_key=x31"]
+    old, new = loads(target, 0), loads(target, 1)
+    assert old["x30"] == new["x30"] and old["x31"] != new["x31"]
+    assert [n for n in os.listdir(f"{folder}/t/data/load={new['x31']}") if n.startswith("part")] == ["part_key=x31"]
     assert [r[3] for r in tuples(target.read(), "k")] == ["a", "c"]
 
 
+def test_reading_skips_replaced_parts(spark, folder):
+    target = table(spark, folder)
+    target.upsert(rows(spark, *[(k, k, 1, "a") for k in range(12)]), ["k"])
+    for n in range(5):
+        target.upsert(rows(spark, (1, 1, 1, f"b{n}"), (2, 2, 1, f"b{n}")), ["k"])
+    plan = target.read()._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert target.read().count() == 12 and len(glob.glob(f"{folder}/t/data/*/*/*.parquet")) == 22
+
+
+def test_many_parts_stay_in_tables(spark, folder, monkeypatch):
+    """No name of a part reaches the driver: neither folder listings nor collected rows of them."""
+    target = table(spark, folder)
+    wide = spark.range(3000).selectExpr("id as k", "id as part_of", "1L as seq", "'a' as v")
+    listed = []
+    monkeypatch.setattr(tables, "child_names", lambda spark, path, real=tables.child_names: listed.append(path) or real(spark, path))
+    target.upsert(wide, ["k"])
+    target.upsert(wide.where("k in (5, 2900)").withColumn("v", F.lit("b")), ["k"])
+    assert target.parts(1).count() == 3000 and target.parts(1).select("load").distinct().count() == 2
+    assert {p.rsplit("/", 1)[1] for p in listed} == {"versions"}
+    assert target.read().where("v = 'b'").count() == 2 and target.read().count() == 3000
+
+
 def test_null_and_escaped_parts_are_merged(spark, folder):
     target = VersionedTable(spark, f"{folder}/t", SCHEMA, F.col("v"))
     target.upsert(rows(spark, (1, 0, 1, None), (2, 0, 1, "a:b"), (3, 0, 1, "a/b=%3A"), (4, 0, 1, "null"), (5, 0, 1, "")), ["k"])
@@ -103,9 +134,9 @@ def test_a_second_writer_is_refused(spark, folder, monkeypatch):
     target.upsert(rows(spark, (1, 0, 1, "a")), ["k"])
     write = target._write
 
-    def slow(df, version):
+    def slow(df):
         other.upsert(rows(spark, (2, 0, 1, "b")), ["k"])
-        return write(df, version)
+        return write(df)
 
     monkeypatch.setattr(target, "_write", slow)
     with pytest.raises(tables.ConcurrentWrite):
@@ -116,14 +147,50 @@ def test_a_second_writer_is_refused(spark, folder, monkeypatch):
     assert [r[0] for r in tuples(other.read(), "k")] == [1, 2, 3]
 
 
-def test_an_unfinished_commit_is_not_seen(spark, folder):
+def test_of_writers_that_finish_together_one_wins(spark, folder, monkeypatch):
+    """All are held between writing their rows and claiming the version."""
+    table(spark, folder).upsert(rows(spark, (0, 0, 1, "first")), ["k"])
+    barrier = threading.Barrier(4)
+    claim = tables.create_exclusively
+    monkeypatch.setattr(tables, "create_exclusively", lambda *a: barrier.wait(60) >= 0 and claim(*a))
+
+    def write(k):
+        try:
+            table(spark, folder).upsert(rows(spark, (k, k % 2, 1, f"w{k}")), ["k"])
+            return k
+        except tables.ConcurrentWrite:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = [k for k in pool.map(write, range(1, 5)) if k]
+    monkeypatch.undo()
+    assert len(done) == 1
+    assert [r[0] for r in tuples(table(spark, folder).read(), "k")] == [0, *done]
+    for k in range(1, 5):
+        table(spark, folder).upsert(rows(spark, (k, k % 2, 1, f"w{k}")), ["k"])
+    assert [r[0] for r in tuples(table(spark, folder).read(), "k")] == [0, 1, 2, 3, 4]
+
+
+def test_an_exclusive_file_has_one_creator(spark, folder):
+    with ThreadPoolExecutor(16) as pool:
+        for n in range(20):
+            made = list(pool.map(lambda _, n=n: tables.create_exclusively(spark, f"{folder}/claims/v={n}"), range(16)))
+            assert sum(made) == 1
+
+
+def test_a_claim_without_a_version_needs_a_takeover(spark, folder):
     target = table(spark, folder)
     target.upsert(rows(spark, (1, 0, 1, "a")), ["k"])
-    target._write(rows(spark, (1, 0, 1, "broken")), 1)
-    os.makedirs(f"{folder}/t/commits/v=1")
+    target._write(rows(spark, (1, 0, 1, "broken")).withColumn("part_key", F.lit("x30")))
+    assert tables.create_exclusively(spark, f"{folder}/t/claims/v=1")
     assert tuples(target.read()) == [(1, 0, 1, "a")]
+    with pytest.raises(tables.ConcurrentWrite):
+        target.upsert(rows(spark, (2, 0, 1, "b")), ["k"])
+    target.release(1)
     target.upsert(rows(spark, (2, 0, 1, "b")), ["k"])
-    assert target.versions() == [0, 2]
+    assert target.versions() == [0, 1] and [r[0] for r in tuples(target.read(), "k")] == [1, 2]
+    with pytest.raises(ValueError):
+        target.release(1)
 
 
 def test_high_water_mark_comes_from_the_commit(spark, folder):
@@ -141,7 +208,7 @@ def test_expired_versions_are_removed(spark, folder):
     target = table(spark, folder)
     for k in range(4):
         target.upsert(rows(spark, (k % 2, k % 2, k, f"v{k}")), ["k"])
-    assert target.expire(keep=1) == [0, 1, 2]
+    assert target.expire(keep=1) == [0, 1, 2] and len(os.listdir(f"{folder}/t/data")) == 2
     assert [r[3] for r in tuples(target.read(), "k")] == ["v2", "v3"] and target.versions() == [3]
     target.upsert(rows(spark, (5, 0, 1, "w")), ["k"])
     assert target.versions() == [3, 4]
@@ -153,11 +220,14 @@ def test_a_backfill_rewrites_its_own_parts_only(spark, folder):
     days = spark.sql("select explode(sequence(date'2000-01-01', date'2004-12-31', interval 10 days)) as weather_date")
     places = spark.range(40).withColumnRenamed("id", "location_id")
     target.upsert(places.crossJoin(days).withColumn("x", F.lit(1)), ["location_id", "weather_date"])
-    assert len(target.newest().parts) == 8 * 5
+    first = loads(target, 0)
+    assert len(first) == 8 * 5
     target.upsert(places.where("location_id = 3").crossJoin(days).withColumn("x", F.lit(2)), ["location_id", "weather_date"])
-    assert sum(v == 1 for v in target.newest().parts.values()) == 5
+    second = loads(target, 1)
+    assert sum(second[p] != first[p] for p in first) == 5
     target.upsert(places.crossJoin(days.where("year(weather_date) = 2004")).withColumn("x", F.lit(3)), ["location_id", "weather_date"])
-    assert sum(v == 2 for v in target.newest().parts.values()) == 8
+    third = loads(target, 2)
+    assert sum(third[p] != second[p] for p in first) == 8
 
 
 def test_an_empty_batch_changes_nothing(spark, folder):
@@ -165,6 +235,11 @@ def test_an_empty_batch_changes_nothing(spark, folder):
     target.upsert(rows(spark, (1, 0, 1, "a")), ["k"])
     target.upsert(rows(spark, (1, 0, 1, "a")).limit(0), ["k"])
     assert tuples(target.read()) == [(1, 0, 1, "a")]
+    empty = table(spark, f"{folder}/none")
+    empty.upsert(rows(spark, (1, 0, 1, "a")).limit(0), ["k"], source=("q", 3))
+    assert empty.read().collect() == [] and empty.versions() == [0]
+    empty.overwrite(rows(spark, (1, 0, 1, "a")).limit(0))
+    assert empty.read().collect() == [] and empty.versions() == [0, 1]
 
 
 def test_high_water_mark(spark):
