@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,11 @@ from seriesloom.functions import calendar
 from seriesloom.functions.numeric import clamp_scale, nan_to_null, round_half_up
 from seriesloom.functions.wording import describe_anomaly, describe_vs_average
 from seriesloom.ml import training
+from seriesloom.ml.quantile_boost import pinball
 from seriesloom.ml.registry import Registry
-from seriesloom.operators import latest, nested, quality, series
+from seriesloom.operators import latest, nested, quality, runs, series
 from seriesloom.params import BoostParams, RunParams, ServingParams
-from seriesloom.plans import backtest, climate, dims, features, forecast, planning, publish, reads, serving
+from seriesloom.plans import backtest, climate, dims, features, forecast, normals, planning, publish, reads, serving
 from seriesloom.session import configure, store, work_dir
 from seriesloom.sources import landing, tables
 from seriesloom.streaming import bronze, silver
@@ -427,6 +430,19 @@ def reference_days(spark, folder):
     return rounded(climate.reference_days(proxy.fact(spark, folder), proxy.BASELINE))
 
 
+@check("A1 A2 M6", f"select location_id, day_of_year, {o.six('mean_c', 'std_c', 'tmax_p90_c')} from reference")
+def merged_normals(spark, folder):
+    """The reference days from states that arrived year by year, the first year in two halves."""
+    facts = store(proxy.fact(spark, folder), "fact")
+    parts = [F.quarter("weather_date") <= 2, F.quarter("weather_date") > 2]
+    arrivals = [facts.where((F.year("weather_date") == 1995) & part) for part in parts]
+    arrivals += [facts.where(F.year("weather_date") == year) for year in (1996, 1997, 1998)]
+    state = normals.normal_state(arrivals[0], proxy.BASELINE)
+    for more in arrivals[1:]:
+        state = store(normals.merged(state, normals.normal_state(more, proxy.BASELINE)), "normal_state")
+    return rounded(normals.reference_days(state, proxy.BASELINE))
+
+
 @check(
     "M6 F1 A1 A2 W1",
     f"select location_id, day_of_year, {o.six('baseline_mean_c', 'baseline_std_c', 'baseline_tmax_p90_c')}"
@@ -472,6 +488,23 @@ def hot_runs(spark, folder):
     ).drop("_run")
 
 
+@check(
+    "W2 W3 W4 M7",
+    """select location_id, is_hot_day, min(weather_date) as first_day, max(weather_date) as last_day
+       from islands group by location_id, is_hot_day, island""",
+)
+def resumed_runs(spark, folder):
+    """All runs of hot and other days, from days that arrived in three portions: every other month first, then the newest year, then the rest."""
+    gold = Gold(spark, folder)
+    days = store(gold.anomaly.select("location_id", "weather_date", "is_hot_day"), "days")
+    newest, odd = F.year("weather_date") >= 2001, F.month("weather_date") % 2 == 1
+    key = (*KEY, "is_hot_day")
+    state = store(runs.runs_of(days.where(~newest & odd), *key), "runs")
+    for part in (newest, ~newest & ~odd):
+        state = store(runs.advanced(state, days.where(part), *key), "runs")
+    return state
+
+
 @check(
     "J1",
     f"""select season_code, {o.six_of('avg(temperature_mean_c)')} as mean_c, count(*) as days
@@ -1089,26 +1122,111 @@ def manifest_differences(spark, folder):
     return publish.manifest_differences(stated, expected, sizes("supplier", "part", "customer"))
 
 
-# -- learning (not expressible in SQL)
+# -- learning: what a model says is not SQL, what its rows are and what must hold for them is
 
-# The operator's own 200 rounds. A round is about four Spark jobs for each quantile (and test year), so both queries run long
-# whatever the size of these tables.
 BOOST = BoostParams()
 
 
-@check("ML1 ML3 ML4 ML5 ML6 M14")
+def _beats_constants(model, rows: DataFrame) -> bool:
+    """Whether each quantile loses less on the rows it learnt from than the best constant."""
+    levels = {name: (m.level, m.start) for name, m in model.models.items()}
+    losses = model.predict(rows).agg(*[
+        (F.avg(pinball(F.col("target"), F.col(name), level)) < F.avg(pinball(F.col("target"), F.lit(start), level))).alias(name)
+        for name, (level, start) in levels.items()
+    ]).first()
+    return all(losses)
+
+
+@check(
+    "ML1 ML3 ML4 ML5 ML6 M14",
+    f"""select location_id, date_key, target_date, forecast_made_date, horizon_days, {o.six('baseline_mean_c')},
+               'temperature' as model_name, model_version, scored_at, true as is_ordered, true as is_shifted, true as beats_constants
+        from forecast""",
+)
 def boosted_forecast(spark, folder):
-    """Train, register, load the champion and score the newest day of every place."""
+    """Train 200 rounds, register, load the champion and score the newest day of every place.
+
+    ``is_ordered``: low <= mid <= high; ``is_shifted``: temperatures are the normal plus the deviations, NULL without one.
+    """
     gold = Gold(spark, folder)
     table = bucketed(gold.features, "features")
     registry = Registry(spark, work_dir(spark, "registry"))
     training.train(table, registry, "temperature", proxy.BACKTEST.train_start_year, BOOST)
-    return stamped(training.score_champion(table, gold.baseline, registry, "temperature", scored_at()))
+    model, _ = registry.load("temperature")
+    better = _beats_constants(model, training.training_rows(table, proxy.BACKTEST.train_start_year))
+    rows = stamped(training.score_champion(table, gold.baseline, registry, "temperature", scored_at()))
+    quantiles = ("low", "mid", "high")
+    shifted = [F.abs(F.col(f"temperature_{q}_c") - F.col("baseline_mean_c") - F.col(f"anomaly_{q}_c")) < 1e-9 for q in quantiles]
+    without = [F.col(f"temperature_{q}_c").isNull() for q in quantiles]
+    return rounded(rows.select(
+        "location_id", "date_key", "target_date", "forecast_made_date", "horizon_days", "baseline_mean_c", "model_name", "model_version",
+        "scored_at", F.expr("anomaly_low_c <= anomaly_mid_c and anomaly_mid_c <= anomaly_high_c").alias("is_ordered"),
+        F.when(F.col("baseline_mean_c").isNull(), reduce(and_, without)).otherwise(reduce(and_, shifted)).alias("is_shifted"),
+        F.lit(better).alias("beats_constants"),
+    ))
 
 
-@check("ML1 ML2 ML5 A8 A9 A10 M15")
+@check(
+    "ML1 ML2 ML5 A8 A9 A10 M15",
+    f"""select test_year, horizon, test_rows, {o.six('mae_persistence', 'mae_climatology', 'mae_recent_normal')},
+               true as skills_fit, true as is_useful from metrics""",
+)
 def boosted_backtest(spark, folder):
-    """One fit per test year on what was known before it."""
+    """One fit of 200 rounds per test year on what was known before it, all in the same passes.
+
+    ``skills_fit``: skills follow from the errors; ``is_useful``: some of the range is covered, and the middle is not much worse
+    than no deviation at all, which is the best forecast where the table is noise.
+    """
+    table = bucketed(Gold(spark, folder).features, "features")
+    metrics = training.backtest(table, proxy.BACKTEST, BOOST)
+    fits = [F.abs(F.col(f"skill_vs_{n}") - (1 - F.col("mae_model") / F.col(f"mae_{n}"))) < 1e-9 for n in ("climatology", "persistence", "recent_normal")]
+    return rounded(metrics.select(
+        "test_year", "horizon", "test_rows", "mae_persistence", "mae_climatology", "mae_recent_normal",
+        reduce(and_, fits).alias("skills_fit"),
+        F.expr("mae_model < 1.15 * mae_climatology and coverage_80 between 0.5 and 0.95").alias("is_useful"),
+    ))
+
+
+SHORT = BoostParams(rounds=2, depth=2)
+
+
+@check(
+    "ML3 ML4",
+    """select 'temperature' as model_name, v.version, v.version = 2 as is_champion, 2 as rounds, (select count(*) from long_targets) as train_rows
+       from (select 1 as version union all select 2) v""",
+)
+def model_versions(spark, folder):
+    """Two short trainings: both versions are kept, the newer one is the champion and loads with its rounds."""
     table = bucketed(Gold(spark, folder).features, "features")
-    return training.backtest(table, proxy.BACKTEST, BOOST)
+    registry = Registry(spark, work_dir(spark, "registry"))
+    for _ in range(2):
+        training.train(table, registry, "temperature", proxy.BACKTEST.train_start_year, SHORT)
+    model, champion = registry.load("temperature")
+    rounds = {len(m.steps) for m in model.models.values()}
+    counted = registry.run_log().where("name = 'train_rows'").agg(F.max(F.col("text_value").cast("bigint"))).first()[0]
+    return registry.versions("temperature").select(
+        "model_name", "version", (F.col("version") == champion).alias("is_champion"), F.lit(max(rounds)).alias("rounds"),
+        F.lit(counted).cast("bigint").alias("train_rows"),
+    )
+
 
+@check(
+    "ML6",
+    """select 'train_final' as run_name, 'param' as kind, 'train_rows' as name, cast((select count(*) from long_targets) as varchar) as text_value
+       union all select 'train_final', 'param', 'train_start_year', '1995'
+       union all select 'train_final', 'param', 'train_end_date', cast((select max(weather_date) from features) as varchar)
+       union all select 'train_final', 'param', 'features', '16'
+       union all select 'backtest', 'param', 'features', '16'
+       union all select 'backtest', 'param', 'test_years', '[1999, 2000, 2001]'
+       union all select 'backtest', 'param', 'train_start_year', '1995'
+       union all select 'backtest', 'param', 'quantiles', '[0.1, 0.5, 0.9]'
+       union all select distinct 'backtest', 'metric', 'mae_climatology_h' || horizon, null from metrics""",
+)
+def run_log(spark, folder):
+    """What a short training and a short backtest leave in the run log: their parameters, and the metrics' names per horizon."""
+    table = bucketed(Gold(spark, folder).features, "features")
+    registry = Registry(spark, work_dir(spark, "registry"))
+    training.train(table, registry, "temperature", proxy.BACKTEST.train_start_year, SHORT)
+    training.backtest(table, proxy.BACKTEST, SHORT, registry)
+    logged = registry.run_log().where("kind = 'param' or name like 'mae\\_climatology\\_h%'")
+    return logged.select("run_name", "kind", "name", "text_value")

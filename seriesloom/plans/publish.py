@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from seriesloom.plans.climate import ENTITY
 from seriesloom.schemas import columns
-from seriesloom.sources.tables import child_names, path_exists, skippable
+from seriesloom.sources.tables import child_names, from_footers, path_exists, skippable
 
 MANIFEST = columns(
     "exported_at TIMESTAMP, table_name STRING, row_count BIGINT, byte_count BIGINT, data_through DATE, fingerprint STRING"
@@ -68,11 +68,21 @@ def fingerprints(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def manifest_rows(sizes: DataFrame, data_through: DataFrame, exported_at: datetime.datetime) -> DataFrame:
-    """One row per table. ``data_through`` is a one-row table with that column."""
+def newest_day(spark: SparkSession, path: str, column: str) -> datetime.date | None:
+    """The latest date of a written table, from its footers; NULL where it has none."""
+    try:
+        return from_footers(spark, path, F.max(column)).first()[0]
+    except (PySparkException, Py4JJavaError) as error:
+        # Row groups without a value have no bounds to answer from.
+        if "No min/max found" not in str(error):
+            raise
+        return spark.read.parquet(path).agg(F.max(column)).first()[0]
+
+
+def manifest_rows(sizes: DataFrame, through: datetime.date | None, exported_at: datetime.datetime) -> DataFrame:
+    """One row per table, all with the day that the data goes to."""
     absent = {c: F.lit(None).cast(MANIFEST[c].dataType) for c in ("byte_count", "fingerprint") if c not in sizes.columns}
     rows = sizes.withColumns(absent) if absent else sizes
-    through = data_through.first()["data_through"]
     return rows.select(
         F.lit(exported_at).cast("timestamp").alias("exported_at"), "table_name",
         F.col("row_count").cast("bigint").alias("row_count"), F.col("byte_count").cast("bigint").alias("byte_count"),
@@ -96,7 +106,7 @@ def export_tables(
         else:
             table = table.hint("rebalance")
         skippable(table.write.mode("overwrite"), [ENTITY] if ENTITY in table.columns else []).parquet(f"{staging}/{name}")
-    through = spark.read.parquet(f"{staging}/{newest[0]}").agg(F.max(newest[1]).alias("data_through"))
+    through = newest_day(spark, f"{staging}/{newest[0]}", newest[1])
     written = fingerprints({n: spark.read.parquet(f"{staging}/{n}") for n in tables})
     manifest = manifest_rows(_staged_sizes(spark, staging, tables).join(written, "table_name"), through, exported_at)
     manifest.coalesce(1).write.mode("overwrite").json(f"{staging}/manifest")

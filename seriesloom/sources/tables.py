@@ -45,6 +45,18 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def from_footers(spark: SparkSession, path: str, *aggregates: Column) -> DataFrame:
+    """Counts, minima and maxima of a whole Parquet table from its files' footers, as one row: no data page is read.
+
+    Spark pushes such aggregates into its newer Parquet reader only, and only when told to; a session of its own has these
+    settings, so the caller's stay as they are. Dates and numbers have their bounds in the footer, text has not.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(*aggregates)
+
+
 def layer_path(root: str, layer: str, name: str) -> str:
     return f"{root}/{layer}/{name}"
 

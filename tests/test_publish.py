@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.plans import publish
+from seriesloom.sources import tables
 from tests.helpers import day
 
 NOW = datetime.datetime(2024, 1, 2, 12, tzinfo=datetime.UTC)
@@ -16,11 +17,11 @@ EXPECTED = ("city_summary", "city_yearly")
 
 
 def export(spark, folder, rows=3):
-    tables = {
+    exported = {
         "city_summary": spark.range(rows).withColumn("latest_date", F.lit(day("2024-01-01"))),
         "city_yearly": spark.range(0),
     }
-    return publish.export_tables(spark, tables, folder, NOW)
+    return publish.export_tables(spark, exported, folder, NOW)
 
 
 def test_export_and_publish(spark, folder):
@@ -131,3 +132,27 @@ def test_bloom_filters_skip_row_groups(spark, folder):
     exported = spark.read.parquet(f"{folder}/one/city_summary")
     assert scanned_rows(exported.where(absent)) == 0
     assert exported.where(present).count() == 1
+
+
+def test_counts_and_bounds_come_from_the_footers(spark, folder):
+    """With every data page overwritten the answers are the same, and the caller's settings are untouched."""
+    days = spark.range(1000).selectExpr("id", "date_add(date'2024-01-01', cast(id % 90 as int)) as d", "cast(id as double) as x")
+    days.repartition(3).write.option("compression", "none").parquet(f"{folder}/t")
+    wanted = (F.count(F.lit(1)), F.max("d"), F.min("d"), F.max("x"))
+    assert "PushedAggregation: [COUNT(*), MAX(d), MIN(d), MAX(x)]" in tables.from_footers(spark, f"{folder}/t", *wanted)._jdf.queryExecution().toString()
+    for path in glob.glob(f"{folder}/t/*.parquet"):
+        data = open(path, "rb").read()
+        footer = int.from_bytes(data[-8:-4], "little")
+        open(path, "wb").write(data[:4] + bytes(len(data) - footer - 12) + data[-footer - 8 :])
+    for path in glob.glob(f"{folder}/t/.*.crc"):
+        os.remove(path)
+    assert tuple(tables.from_footers(spark, f"{folder}/t", *wanted).first()) == (1000, day("2024-03-30"), day("2024-01-01"), 999.0)
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{folder}/t").agg(F.sum("x")).collect()
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_newest_day_of_tables_without_days(spark, folder):
+    spark.sql("select 1 as id, cast(null as date) as d").write.parquet(f"{folder}/none")
+    spark.sql("select 1 as id, cast(null as date) as d").limit(0).write.parquet(f"{folder}/empty")
+    assert publish.newest_day(spark, f"{folder}/none", "d") is None and publish.newest_day(spark, f"{folder}/empty", "d") is None
