@@ -19,6 +19,7 @@ HEADLINE = (
     "fact_daily", "baseline", "anomaly", "anomaly_split", "feature_table", "feature_table_split", "targets_long",
     "backtest_metrics", "forecast_rows", "forecast_latest", "city_summary", "city_yearly", "city_recent_daily",
     "long_view", "timeline", "latest_event", "quality_report", "resolve_locations", "upsert", "bronze_silver",
+    "merged_normals", "resumed_runs",
 )
 
 
