@@ -29,9 +29,9 @@ SPACE = "\u0120"
 def odd(text: str) -> bool:
     """Whether there is white space beside white space, at either end, or other than a space or a line end.
 
-    Such a text falls into more or fewer parts at any white space than at single spaces and line ends.
+    Such a text falls into other parts at any white space than at single spaces and line ends.
     """
-    return len(text.split()) != text.count(" ") + text.count("\n") + 1
+    return text.split() != text.replace("\n", " ").split(" ")
 
 
 def public_path(name: str) -> str:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seriesloom.llm import arrow_files, packing
-from seriesloom.llm.tokens import encoder
+from seriesloom.llm.tokens import encoder, odd
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 TEXTS = st.text(alphabet=st.one_of(st.sampled_from("ab  \n\t.'sé́Σσ#<|>İſǅ\x1c\x85"), st.characters(blacklist_categories=("Cs",))), max_size=25)
@@ -22,6 +22,14 @@ def test_ids_equal_the_librarys(name, text):
     assert encoder(name).encode(text).tolist() == encoder(name).whole(text).tolist()
 
 
+@pytest.mark.parametrize("text", ["a\tb c ", "\ta", "a \tb", "a\t", "a\u00a0b  c", "x\x1cy ", " a\tb", "a\n\tb", "\u3000", "a \u2003"])
+def test_white_space_that_cancels_out(text):
+    """As many parts at any white space as at spaces, but not the same ones."""
+    assert odd(text)
+    for name in (BYTE, WORD):
+        assert encoder(name).encode(text).tolist() == encoder(name).whole(text).tolist()
+
+
 def test_special_strings_and_null():
     for name in (BYTE, WORD):
         e = encoder(name)
