@@ -11,7 +11,7 @@ A phrase can only be frequent if its head and its tail are. So the corpus is rea
 each length is one pass over them: a shard extends what may be frequent, the counts are added up by a
 40-bit hash, as sorted tables that tasks merge, and the sums that reach ``least`` set bits in a bitmap of fixed size, the only thing that is sent to the next
 pass. Hashes and bitmap only prune; they never lose a phrase, as a collision can only raise a sum. A last pass adds up
-the words themselves, so the counts are exact. Every longer phrase is the right extension of its head and the left
+the words themselves, first within a task, so the counts are exact. Every longer phrase is the right extension of its head and the left
 extension of its tail; the largest of those decides what is dropped.
 
 Index files are written under a temporary name and moved into place, so a repeated task replaces a file by an equal one; no
@@ -51,6 +51,8 @@ KEY_BITS, BITS = 40, 25
 # Shards per task, whose counts are added up before they leave it, and sums that a task holds.
 TOGETHER = 16
 HELD = 1 << 22
+# Bytes of phrases, with their words, that a task adds up at once.
+NAMED = 1 << 26
 # Words per part of the sums.
 PART = 1 << 21
 
@@ -316,13 +318,18 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[width:].T).view("<i8").ravel()
 
 
+def _bounds(parts: int) -> np.ndarray:
+    """Where the 2nd, 3rd, ... of ``parts`` equal ranges of the keys begins."""
+    return (np.arange(1, parts, dtype=object) * (1 << KEY_BITS) // parts).astype(np.uint64)
+
+
 def _survivors(indexes: DataFrame, bitmaps: list[np.ndarray], size: int, least: int, parts: int) -> DataFrame:
     """key of the phrases of ``size`` words whose hashes reach ``least`` over all shards.
 
     The range of keys is cut into ``parts``; a task sends its sums of a part as one value.
     """
     shared = indexes.sparkSession.sparkContext.broadcast(bitmaps)
-    bounds = (np.arange(1, parts, dtype=object) * (1 << KEY_BITS) // parts).astype(np.uint64)
+    bounds = _bounds(parts)
 
     def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         cuts = [0, *np.searchsorted(key, bounds).tolist(), len(key)]
@@ -385,44 +392,105 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _named(indexes: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
-    """lang, phrase, size, n per shard of all phrases that may be frequent."""
+def _summed(held: list[pa.Table]) -> pa.Table:
+    """Each phrase once with the sum of its numbers."""
+    names = ["part", "lang", "phrase", "size"]
+    return pa.concat_tables(held).group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"])
+
+
+def _sent(indexes: DataFrame, bitmaps: list[np.ndarray], parts: int) -> DataFrame:
+    """part, sums: the phrases that may be frequent with their numbers, as Arrow streams.
+
+    A task adds up its shards by the words themselves before anything leaves it; of each part of the keys it sends one value.
+    """
     shared = indexes.sparkSession.sparkContext.broadcast(bitmaps)
+    bounds = _bounds(parts)
+
+    def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by([("part", "ascending"), ("phrase", "ascending")])
+        full, first = np.unique(table.column("part").to_numpy(), return_index=True)
+        for part, at, end in zip(full.tolist(), first.tolist(), [*first[1:].tolist(), len(table)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table.slice(at, end - at).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "sums"])
 
     def run(batches):
         only()
-        found = shared.value
+        bits = shared.value
+        held, count = [], 0
         for batch in batches:
             for lang, path, sign in zip(*(batch.column(c).to_pylist() for c in ("lang", "path", "sign")), strict=True):
                 index, hashes, joined = load(path)
                 words = pa.array([b"", *joined.split(b"\n")], pa.binary())
-                for numbers, keys, n in enumerate_phrases(index, hashes, found, len(found)):
-                    known = held_by(found[numbers.shape[1] - 1], keys)
-                    numbers, n = numbers[known], n[known]
+                for numbers, keys, n in enumerate_phrases(index, hashes, bits, len(bits)):
+                    known = held_by(bits[numbers.shape[1] - 1], keys)
+                    numbers, keys, n = numbers[known], keys[known], n[known]
                     for at in range(0, len(n), 50_000):
                         part = numbers[at : at + 50_000]
                         columns = [words.take(pa.array(c)) for c in part.T]
-                        phrase = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, b" ")
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([lang]).take(pa.array(np.zeros(len(part), np.int8))), phrase,
-                            pa.array(np.full(len(part), part.shape[1], np.int32)), pa.array(n[at : at + 50_000] * sign)], ["lang", "phrase", "size", "n"])
+                        held.append(pa.table({
+                            "part": pa.array(np.searchsorted(bounds, keys[at : at + 50_000], side="right").astype(np.int32)),
+                            "lang": pa.array([lang]).take(pa.array(np.zeros(len(part), np.int8))),
+                            "phrase": columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, b" "),
+                            "size": pa.array(np.full(len(part), part.shape[1], np.int32)), "n": pa.array(n[at : at + 50_000] * sign)}))
+                        count += held[-1].nbytes
+                        if count >= NAMED:
+                            held = [_summed(held)]
+                            count = held[0].nbytes
+                            if count >= NAMED // 2:
+                                yield from rows(held[0])
+                                held, count = [], 0
+        if held:
+            yield from rows(_summed(held))
+
+    return indexes.select("lang", "path", "sign").mapInArrow(run, "part int, sums binary")
+
+
+def _named(indexes: DataFrame, bitmaps: list[np.ndarray], least: int, parts: int) -> DataFrame:
+    """lang, phrase, size, f of the phrases that may be frequent and occur ``least`` times or more."""
+    def total(batches):
+        only()
+        held, count, limit, part = [], 0, NAMED, None
+
+        def finished():
+            table = _summed(held)
+            table = table.filter(pc.greater_equal(table.column("n"), least)).select(["lang", "phrase", "size", "n"])
+            return table.rename_columns(["lang", "phrase", "size", "f"]).to_batches()
+
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != part:
+                    if held:
+                        yield from finished()
+                    held, count, limit, part = [], 0, NAMED, number
+                held.append(pa.ipc.open_stream(data.as_buffer()).read_all())
+                count += held[-1].nbytes
+                if count >= limit:
+                    held = [_summed(held)]
+                    count = held[0].nbytes
+                    limit = max(NAMED, 2 * count)
+        if held:
+            yield from finished()
 
-    return indexes.select("lang", "path", "sign").mapInArrow(run, "lang string, phrase binary, size int, n long")
+    found = _sent(indexes, bitmaps, parts).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total, "lang string, phrase binary, size int, f long")
+    return found.withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def phrase_counts(indexes: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, phrase, size, f of all phrases of up to ``longest`` words that occur ``least`` times or more."""
     shards, words = indexes.agg(F.count("*"), F.sum(F.abs("words"))).first()
-    spread = indexes.repartition(max(1, -(-shards // TOGETHER)))
+    # Shards of a language go together, as they share most of their phrases, which are added up before they leave a task.
+    spread = indexes.repartitionByRange(max(1, -(-shards // TOGETHER)), "lang", "path")
+    parts = -(-(words or 0) // PART) + 1
     bitmaps: list[np.ndarray] = []
     for size in range(1, longest + 1):
-        frequent = _survivors(spread, bitmaps, size, least, -(-(words or 0) // PART) + 1)
+        frequent = _survivors(spread, bitmaps, size, least, parts)
         if frequent.isEmpty():
             break
         bitmaps.append(_bitmap(frequent))
-    named = _named(spread, bitmaps) if bitmaps else _named(spread.where(F.lit(False)), [np.zeros(1 << (BITS - 6), np.uint64)])
-    return store(named.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(
-        F.max("size").alias("size"), F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
+    named = _named(spread, bitmaps, least, parts) if bitmaps else _named(spread.where(F.lit(False)), [np.zeros(1 << (BITS - 6), np.uint64)], least, parts)
+    return store(named, "phrases")
 
 
 def scored(counts: DataFrame, share: int = SHARE) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,3 +159,17 @@ def test_empty_tables(session, place):
     for rows in ([], [(None, None)], [("one two", "en")]):
         indexes = phrases.build(session.createDataFrame(rows, "text string, lang string"), place())
         assert phrases.best_phrases(indexes).collect() == []
+
+
+def test_a_task_sends_a_phrase_once_however_many_shards_hold_it(session, place):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choices("abcd", k=30)), lang) for lang in ("en", "de") for _ in range(60)]
+    indexes = phrases.build(session.createDataFrame(rows, "text string, lang string").coalesce(1), place(), shard=100)
+    full = [np.full(1 << (phrases.BITS - 6), 2**64 - 1, np.uint64)] * 4
+    assert indexes.count() > 20
+    sent = phrases._sent(indexes.coalesce(1), full, 5).collect()
+    found = [(x["lang"], x["phrase"]) for r in sent for x in pa.ipc.open_stream(r["sums"]).read_all().to_pylist()]
+    assert len(sent) <= 5 and len(found) == len(set(found)) and len(found) > 500
+    counts = {(r.lang, r.phrase): r.f for r in phrases._named(indexes, full, 1, 5).collect()}
+    assert set(counts) == {(lang, phrase.decode()) for lang, phrase in found}
+    assert sum(n for (_, p), n in counts.items() if " " not in p) == 120 * 30
