@@ -13,7 +13,7 @@ batch at once, up to a horizon by which every component is expected to be filled
 component go on with a wider one.
 
 Stages: (1) documents with equal texts form classes by a 128-bit hash, and only the smallest
-doc_id of a class goes on; (2) signatures are cut into ``bands``; (3) each band bucket links its members to its smallest
+doc_id of a class goes on; texts are signed where they are read; (2) signatures are cut into ``bands``; (3) each band bucket links its members to its smallest
 id, and those pairs are verified by exact overlap; (4) the documents of buckets that still hold
 several components are joined exactly: their shingles are ordered by how many of them have them, and two
 documents can only reach the threshold if they share one of their rarest (1 - threshold) part, at a place that leaves enough
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,24 +168,45 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
 
 
+def _portions(batch: pa.RecordBatch, characters: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of at most 256 texts and about so many characters, so that long texts need no more memory than short ones."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        size = min(256, max(1, int(np.searchsorted(ends, before + characters, "right")) - at))
+        yield batch.slice(at, size)
+        at += size
+
+
 def _banded(texts: DataFrame, slots: int, bands: int) -> DataFrame:
-    """doc_id and its band keys (array)."""
+    """class_id (smallest doc_id), key and band keys (array) of each text with words, from doc_id, key and text.
+
+    Texts are signed where they are read, copies among each other too, so that signatures are shuffled and not texts.
+    """
 
     def sign(batches) -> Iterator[pa.RecordBatch]:
         only("words")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                bags = [shingles(byte_words(t.as_py())) for t in part.column("text")]
-                full = [k for k, b in enumerate(bags) if len(b)]
+            for part in _portions(batch):
+                # Copies within a part are signed once.
+                least: dict[bytes, int] = {}
+                bags: dict[bytes, np.ndarray] = {}
+                for doc_id, key, text in zip(*(part.column(c) for c in ("doc_id", "key", "text")), strict=True):
+                    doc_id, key = doc_id.as_py(), key.as_py()
+                    if key not in bags:
+                        bags[key] = shingles(byte_words(text.as_py()))
+                    least[key] = min(doc_id, least.get(key, doc_id))
+                full = [k for k, b in bags.items() if len(b)]
                 if not full:
                     continue
                 keys = band_keys(signatures([bags[k] for k in full], slots), bands).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").take(pa.array(full)),
-                    pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))], ["doc_id", "keys"])
+                    pa.array([least[k] for k in full], pa.int64()), pa.array(full, pa.binary()),
+                    pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))], ["doc_id", "key", "keys"])
 
-    return texts.mapInArrow(sign, "doc_id long, keys array<long>")
+    signed = texts.mapInArrow(sign, "doc_id long, key binary, keys array<long>")
+    return signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -321,10 +343,8 @@ def _judged(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, b
     several = store(grouped.where("key is not null").groupBy("doc_id").agg(
         F.min(F.xxhash64("key")).alias("low"), F.max(F.xxhash64("key")).alias("high")).where("low < high").select("doc_id", "low"), "several")
     several = None if several.isEmpty() else several
-    copies = grouped.where("doc_id <> class_id").select("doc_id", "key").distinct()
-    single = plain.withColumn("key", _key()).join(copies, ["doc_id", "key"], "left_anti").dropDuplicates(["doc_id", "key"])
-    single = _nodes(single.withColumnRenamed("doc_id", "class_id"), several).where("node is not null").select(F.col("node").alias("doc_id"), "text")
-    signed = store(_banded(single, slots, bands), "bands")
+    texts = plain.withColumn("key", _key()).where("key is not null")
+    signed = store(_nodes(_banded(texts, slots, bands), several).withColumnRenamed("node", "doc_id"), "bands")
     buckets = signed.select("doc_id", F.posexplode("keys").alias("band", "key"))
     # Buckets of one member need nothing more; two counts and a minimum per key are added up before the shuffle.
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1")
@@ -334,10 +354,14 @@ def _judged(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, b
     def measure(batches):
         only("words")
         for batch in batches:
-            bags = [shingles(byte_words(t.as_py())).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags, pa.list_(pa.int64()))], ["doc_id", "bag"])
-
-    bags = store(single.join(ids, "doc_id").mapInArrow(measure, "doc_id long, bag array<long>"), "bags")
+            for part in _portions(batch):
+                bags = [shingles(byte_words(t.as_py())).view(np.int64) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bags, pa.list_(pa.int64()))], ["doc_id", "bag"])
+
+    # The one shuffle of the texts: those of the candidates are picked out by id and text, and rows that repeat both go.
+    wanted = signed.join(ids, "doc_id").select(F.col("doc_id").alias("node"), F.col("class_id").alias("doc_id"), "key")
+    candidates = texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select(F.col("node").alias("doc_id"), "text")
+    bags = store(candidates.mapInArrow(measure, "doc_id long, bag array<long>"), "bags")
     star = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = store(_verified(star, bags, threshold), "star")
     joined = store(components(links, "star-links"), "star-components")

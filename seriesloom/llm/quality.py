@@ -177,9 +177,10 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, t
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, with their columns. All labelled rows are learnt from.
 
-    The texts are read twice, once for the moments and once for the decision, and never shuffled.
+    The texts are read twice, once for the moments and once for the decision, and never shuffled. The statistics are
+    stored in between: in one stage with the moments each task would keep two Python workers, which live on.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(measured(docs), labels))
+    shared = docs.sparkSession.sparkContext.broadcast(train(store(measured(docs), "statistics"), labels))
 
     def accept(batches):
         only()

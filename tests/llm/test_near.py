@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import bagminhash, capfilters
 from seriesloom.llm.common import components, words
+from seriesloom.session import store
 
 
 def brute_components(ids, linked):
@@ -228,3 +231,30 @@ def test_vectors_by_row_not_by_id(session):
     assert found == Counter([
         (5, 2, 1, False), (5, 1, 5, True), (1, 2, 1, True), (None, 2, 1, False), (7, 1, 5, False), (None, 1, None, False), (None, 1, None, False),
         (9, 0, 9, True), (None, 0, None, False)])
+
+
+def test_texts_are_shuffled_once_and_only_for_candidates(session, docs, monkeypatch):
+    plans = {}
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().explainString(
+            session._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return store(df, name)
+
+    monkeypatch.setattr(bagminhash, "store", watched)
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bagminhash.near_duplicates(docs([(k, f"one two three four five six {k // 2}") for k in range(8)]))
+    finally:
+        session.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = {name: len(re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[[^\]]*\btext#", plan)) for name, plan in plans.items()}
+    assert moved["bands"] == 0 and sum(moved.values()) == 1
+
+
+def test_long_texts_are_measured_a_few_at_a_time():
+    sizes = [10, 700, 500, 0, 5000, 3, 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n if n else None for n in sizes])], ["text"])
+    parts = [[len(t.as_py() or "") for t in p.column("text")] for p in bagminhash._portions(batch, 1000)]
+    assert parts == [[10, 700], [500, 0], [5000], [3, 3]]
+    many = pa.RecordBatch.from_arrays([pa.array(["x"] * 600)], ["text"])
+    assert [p.num_rows for p in bagminhash._portions(many)] == [256, 256, 88]

@@ -435,3 +435,11 @@ def test_main_text_of_given_pages(session, clashing):
     odd = session.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (3, "u", "<nav>a</nav>" * 3000)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in blocks.main_text(odd, model).collect()}[2] == ""
     assert blocks.main_text(odd.limit(0), model).collect() == []
+
+
+def test_the_moments_of_quality_need_one_worker_a_task(docs, session, monkeypatch):
+    """Statistics and moments in one stage would keep two Python workers busy in each task."""
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda rows, labels: seen.append(rows) or train(rows, labels))
+    quality.accepted(docs([(k, f"a text of {k} words.") for k in range(6)]), session.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().executedPlan().toString()
