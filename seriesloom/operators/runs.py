@@ -4,6 +4,9 @@ A run is one row: entity, flag, first and last day. Days that arrive, in any ord
 lie next to one: those are laid out in days, the new days replace or join them, and the days are put together anew. A day that
 is appended makes a run longer, a day that fills a gap joins two, and one whose flag changes cuts a run in two. So the work
 of a refresh follows the days that arrived and the runs beside them, not the length of the series.
+
+Dates and flags take next to no room in files, so a table of millions of days looks small enough to broadcast, and every task would
+count it whole as its own memory. The joins ask for a merge instead.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.session import store
+
 FIRST, LAST = "first_day", "last_day"
 
 
@@ -30,13 +35,17 @@ def days_of(runs: DataFrame, entity: str, day: str, flag: str) -> DataFrame:
 def touched(runs: DataFrame, days: DataFrame, entity: str, day: str) -> DataFrame:
     """The runs that hold one of the days or lie next to one.
 
-    Each run is looked up by entity and year, in the years it reaches; a run over many years has as many rows there.
+    Each run is looked up by entity and year, in the years it reaches; a run over many years has as many rows there. The days
+    are only asked for, never made distinct: that would keep a row for each of them in a task's memory. What is found is stored, and only
+    runs that reach several years can be there more than once.
     """
     spans = runs.withColumn("_year", F.explode(F.sequence(F.year(F.date_sub(FIRST, 1)), F.year(F.date_add(LAST, 1)))))
-    wanted = days.select(F.col(entity).alias("_entity"), F.year(day).alias("_in"), F.col(day).alias("_day")).distinct()
+    wanted = days.select(F.col(entity).alias("_entity"), F.year(day).alias("_in"), F.col(day).alias("_day"))
     beside = (F.col("_day") >= F.date_sub(FIRST, 1)) & (F.col("_day") <= F.date_add(LAST, 1))
     near = (F.col(entity) == F.col("_entity")) & (F.col("_year") == F.col("_in")) & beside
-    return spans.join(wanted, near, "left_semi").drop("_year").distinct()
+    found = store(spans.join(wanted.hint("merge"), near, "left_semi").drop("_year"), "touched")
+    several = F.year(F.date_sub(FIRST, 1)) < F.year(F.date_add(LAST, 1))
+    return found.where(~several).unionByName(found.where(several).distinct())
 
 
 def advance(runs: DataFrame, days: DataFrame, entity: str, day: str, flag: str) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +54,7 @@ def advance(runs: DataFrame, days: DataFrame, entity: str, day: str, flag: str)
     ``days`` has one row per entity and day. Give stored tables, as each is read several times.
     """
     old = touched(runs, days, entity, day)
-    kept = days_of(old, entity, day, flag).drop("run_length_days").join(days.select(entity, day), [entity, day], "left_anti")
+    kept = days_of(old, entity, day, flag).drop("run_length_days").join(days.select(entity, day).hint("merge"), [entity, day], "left_anti")
     return old, runs_of(kept.unionByName(days.select(entity, day, flag)), entity, day, flag)
 
 
@@ -53,4 +62,4 @@ def advanced(runs: DataFrame, days: DataFrame, entity: str, day: str, flag: str)
     """The whole table of runs after ``days`` have arrived."""
     old, new = advance(runs, days, entity, day, flag)
     # A run is known by its entity and first day: no two runs of an entity share a day.
-    return runs.join(old.select(entity, FIRST), [entity, FIRST], "left_anti").select(*new.columns).unionByName(new)
+    return runs.join(old.select(entity, FIRST).hint("merge"), [entity, FIRST], "left_anti").select(*new.columns).unionByName(new)

@@ -12,6 +12,7 @@ from tests.helpers import day
 START = day("2019-12-20")
 KEY = ("k", "d", "hot")
 FLAGGED = "k bigint, d date, hot boolean"
+RUNS = "k bigint, hot boolean, first_day date, last_day date"
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 arrivals = st.lists(st.lists(st.tuples(st.sampled_from([1, 2]), st.integers(0, 30) | st.integers(370, 380), st.booleans()),
                              max_size=25, unique_by=lambda x: x[:2]), min_size=1, max_size=4)
@@ -63,3 +64,15 @@ def test_only_runs_beside_the_days_are_touched(spark):
     old, new = runs.advance(state, table(spark, [(1, 205, False), (1, 400, True), (2, 5, True)]), *KEY)
     assert got(old) == [(1, False, 390, 399), (1, True, 200, 209)]
     assert got(new) == [(1, False, 205, 205), (1, False, 390, 399), (1, True, 200, 204), (1, True, 206, 209), (1, True, 400, 400), (2, True, 5, 5)]
+
+
+def test_runs_are_looked_up_without_an_aggregate_or_a_broadcast_of_the_days(spark, monkeypatch):
+    """A run that several days touch in several years is found once, and no task holds the days as distinct rows."""
+    plans, stored = [], runs.store
+    monkeypatch.setattr(runs, "store", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    state = spark.createDataFrame([(1, True, START, START + datetime.timedelta(days=800)), (2, False, START, START)], RUNS)
+    wanted = table(spark, [(1, o, False) for o in (3, 4, 100, 400, 700)] + [(2, 1, True)])
+    assert got(runs.touched(state, wanted, "k", "d")) == [(1, True, 0, 800), (2, False, 0, 0)]
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
+    after = runs.advanced(state, wanted, "k", "d", "hot")._jdf.queryExecution().executedPlan().toString()
+    assert not any("Broadcast" in plan for plan in (*plans, after))
