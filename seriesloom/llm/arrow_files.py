@@ -162,17 +162,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leng
 
     def write(batches):
         only("tokens")
-        encode, out, task, docs_seen = encoder(tokenizer).encode_bytes, None, TaskContext.get(), 0
+        encode_all, out, task, docs_seen = encoder(tokenizer).encode_all, None, TaskContext.get(), 0
         end = np.array([end_id], np.uint32).tobytes()
         target, base = pafs.FileSystem.from_uri(folder)
         shard = task.partitionId()
         unfinished = f"{base}/.{shard:06d}-{task.taskAttemptId()}"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1)), strict=True):
                 if out is None:
                     sink = target.open_output_stream(unfinished)
                     out = ShardWriter(sink, length, dtype)
-                out.add(doc_id, np.frombuffer(encode(text.as_py()) + end, np.uint32))
+                out.add(doc_id, np.frombuffer(ids + end, np.uint32))
                 docs_seen += 1
         if out is not None:
             total = out.close()

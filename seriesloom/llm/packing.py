@@ -186,11 +186,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
 
     def cut(batches):
         only("tokens")
-        encode, end = encoder(tokenizer).encode_bytes, np.array([end_id], np.uint32).tobytes()
+        encode_all, end = encoder(tokenizer).encode_all, np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1)), strict=True):
+                ids += end
                 total = len(ids) // 4
                 first = total % capacity or capacity
                 for piece, stop in enumerate(range(first, total + 1, capacity)):

@@ -2,7 +2,8 @@
 
 Both vocabularies cut a text into words before they merge anything, so a word's ids do not depend on
 its neighbours. Texts are cut at single spaces and line ends, where such a cut is always one of the
-library's own, and the ids of each piece are kept in a bounded cache. Texts with other white space
+library's own, and the ids of each piece are kept in a bounded cache. Arrow cuts the texts of a batch, a few
+megabytes at a time, and each distinct piece of those is looked up once. Texts with other white space
 that the cut would change go to the library whole. The tests compare both ways.
 """
 
@@ -12,16 +13,29 @@ import functools
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from seriesloom.llm.common import hold
 
 CACHE = 300_000
+# Bytes of text whose words are looked up together; a longer text is taken alone.
+TOGETHER = 16 << 20
 # A word of Latin letters, none of which composes with another, with ASCII marks behind it: the library
 # cuts such a piece into just these two.
 LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-SIMPLE = re.compile(rf"([{LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")
+MARKS = r"!-&(-/:-@\[-`{-~"
+SIMPLE = re.compile(rf"([{LATIN}]+)([{MARKS}]*)")
+# The marks one by one, to cut them off.
+ASCII_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+# Words that go to the library in one string.
+GROUP = 500
+# What ``odd`` finds, for Arrow: white space other than a space or a line end, beside another, or at either end.
+ODD = (r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+       r"|[ \n][ \n]|\A[ \n]|[ \n]\z")
 # How byte-level vocabularies write a space.
 SPACE = "\u0120"
 
@@ -66,11 +80,14 @@ class _Pieces(dict):
         found = self.old.get(word)
         if found is None:
             found = self.encode(word)
+        self.keep(word, found)
+        return found
+
+    def keep(self, word: str, ids: bytes) -> None:
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        self[word] = found
-        return found
+        self[word] = ids
 
 
 class Encoder:
@@ -78,7 +95,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.model, self.normal, self.split = self.library.model, self.library.normalizer, self.library.pre_tokenizer
@@ -88,6 +105,14 @@ class Encoder:
         self.inner = _Pieces(self._after_space if self.keeps_space else self._chunk)
         self.first = _Pieces(self._chunk)
         self.line_end = self.whole("\n").tobytes() if self.keeps_space else b""
+        # The same merges for words that are cut and written already.
+        self.merges = Tokenizer(self.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # How many characters of a written word each id stands for.
+        suffix, vocabulary = self.model.end_of_word_suffix or "", self.library.get_vocab(with_added_tokens=False)
+        self.spans = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for entry, k in vocabulary.items():
+            self.spans[k] = len(entry.removesuffix(suffix))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -97,9 +122,32 @@ class Encoder:
 
     def _letters(self, word: str, lead: str = "") -> bytes:
         """Ids of a word of Latin letters."""
+        return self._model(lead + self._written(word))
+
+    def _written(self, word: str) -> str:
         if not word.isascii():
             word = (word if self.keeps_space else word.lower()).translate(BYTE_LETTERS)
-        return self._model(lead + word)
+        return word
+
+    def _learn(self, words: list[str]) -> None:
+        """Merge the distinct words of Latin letters that are not known yet, many in one call."""
+        known, old = self.inner, self.inner.old
+        new = [w for w in words if w not in known and w not in old]
+        lead = SPACE if self.keeps_space else ""
+        for a in range(0, len(new), GROUP):
+            some = new[a : a + GROUP]
+            written = [lead + self._written(w) for w in some]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(written)], add_special_tokens=False)[0].ids, np.uint32)
+            told, ends = np.cumsum(self.spans[ids]), np.cumsum([len(w) for w in written])
+            stops = np.searchsorted(told, ends)
+            if len(ids) != stops[-1] + 1 or not np.array_equal(told[stops], ends):
+                # The vocabulary does not hold every letter, so its ids do not tell where a word ends.
+                for word in some:
+                    known.keep(word, self._letters(word, lead))
+                continue
+            data, cuts = ids.tobytes(), (4 * (stops + 1)).tolist()
+            for word, start, stop in zip(some, [0, *cuts], cuts):
+                known.keep(word, data[start:stop])
 
     def _after_space(self, word: str) -> bytes:
         simple = SIMPLE.fullmatch(word)
@@ -121,26 +169,57 @@ class Encoder:
         text = self.normal.normalize_str(chunk) if self.normal is not None else chunk
         return b"".join([self.parts[part] for part, _ in self.split.pre_tokenize_str(text)])
 
-    def encode_bytes(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct pieces as bytes: letters, the marks behind them, and pieces of any other kind whole."""
+        first, inner, line_end = self.first, self.inner, self.line_end
+        simple = pc.match_substring_regex(words, rf"\A[{LATIN}]+[{MARKS}]*\z")
+        plain = pc.if_else(simple, words, "")
+        letters = pc.ascii_rtrim(plain, ASCII_MARKS).dictionary_encode()
+        marks = pc.replace_substring_regex(plain, rf"\A[{LATIN}]+", "").dictionary_encode()
+        others = pc.if_else(simple, "", words).dictionary_encode()
+        known = letters.dictionary.to_pylist()
+        self._learn([w for w in known if w])
+        parts = (
+            (letters, [inner[w] if w else b"" for w in known]),
+            (marks, [self.parts[w] if w else b"" for w in marks.dictionary.to_pylist()]),
+            (others, [line_end + first[w[1:]] if w[:1] == "\n" else inner[w] if w else b"" for w in others.dictionary.to_pylist()]),
+        )
+        nothing = pa.scalar(b"", pa.large_binary())
+        return pc.binary_join_element_wise(*[pa.array(ids, pa.large_binary()).take(coded.indices) for coded, ids in parts], nothing)
+
+    def _together(self, texts: pa.Array) -> Iterator[bytes]:
+        apart = pc.match_substring(texts, "<|")
+        if self.keeps_space:
+            apart = pc.or_(apart, pc.match_substring_regex(texts, ODD))
+        plain = pc.if_else(apart, "", texts)
         if self.keeps_space:
-            if odd(text) or "<|" in text:
-                return self.whole(text).tobytes()
-            lines = []
-            for line in text.split("\n"):
-                first, _, rest = line.partition(" ")
-                lines.append(self.first[first] + (b"".join(map(self.inner.__getitem__, rest.split(" "))) if rest else b""))
-            return self.line_end.join(lines)
-        if "<|" in text:
-            return self.whole(text).tobytes()
-        # The normaliser folds these letters too, after composing, which keeps A-Z apart from a-z only by case.
-        text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return b"".join(map(self.inner.__getitem__, text.replace("\n", " ").split(" ")))
+            # The first word of a line keeps the line end before it. A text's first word gets one too, which is left out below.
+            lines = pc.binary_replace_slice(pc.replace_substring(plain, "\n", " \n"), 0, 0, "\n")
+        else:
+            # The normaliser folds these letters too, after composing, which keeps A-Z apart from a-z only by case.
+            lines = pc.replace_substring(pc.ascii_lower(plain), "\n", " ")
+        words = pc.split_pattern(lines, " ")
+        coded = words.values.dictionary_encode()
+        ids = self._distinct(coded.dictionary).take(coded.indices)
+        _, places, data = ids.buffers()
+        bounds = np.frombuffer(places, np.int64)[words.offsets.to_numpy()].tolist()
+        data, skip = memoryview(data or b""), len(self.line_end)
+        for k, alone in enumerate(apart.to_pylist()):
+            yield self.whole(texts[k].as_py()).tobytes() if alone else bytes(data[bounds[k] + skip : bounds[k + 1]])
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text in turn, as little-endian unsigned 32-bit integers; null texts have none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+            yield from self._together(texts[start:stop])
+            start = stop
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), np.uint32)
+        return np.frombuffer(next(self.encode_all(pa.array([text], pa.large_string()))), np.uint32)
 
 
 @functools.lru_cache(maxsize=2)

@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seriesloom.llm import arrow_files, packing
+from seriesloom.llm import arrow_files, packing, tokens
 from seriesloom.llm.tokens import encoder, odd
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -38,6 +39,43 @@ def test_special_strings_and_null():
         assert e.encode(None).tolist() == []
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD])
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), TEXTS), max_size=6))
+def test_texts_encoded_together(name, texts):
+    e = encoder(name)
+    assert list(e.encode_all(pa.array(texts, pa.string()))) == [e.whole(text or "").tobytes() for text in texts]
+
+
+def test_a_batch_looks_up_each_word_once(monkeypatch):
+    """However often a word occurs and whatever marks follow it; new words are merged many in one call."""
+    letters = "abcdefghijklmnopqrstuvwxyzäöü"
+    words = [a + b + c for a in letters for b in letters for c in letters[:2]]
+    texts = [" ".join(words), ", ".join(reversed(words)), "\n".join(words[:50]) + "!", "don't 12"] * 5
+    monkeypatch.setattr(tokens, "GROUP", 100)
+    for name in (BYTE, WORD):
+        fresh, asked, alone = tokens.Encoder(tokens.public_path(name)), [], []
+
+        class Counted(tokens._Pieces):
+            def __getitem__(self, word):
+                asked.append(word)
+                return super().__getitem__(word)
+
+        fresh.inner = Counted(lambda word, encode=fresh.inner.encode: alone.append(word) or encode(word))
+        found = list(fresh.encode_all(pa.array(texts)))
+        assert found == [fresh.whole(text).tobytes() for text in texts]
+        assert len(asked) == len(set(asked)) and set(words) <= set(asked)
+        assert set(alone) <= {"12", "don't"}
+
+
+def test_a_text_longer_than_a_chunk(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 10)
+    texts = ["a", "", "long " * 20 + "end", None, "b c", "\t", "d" * 30, ""]
+    for name in (BYTE, WORD):
+        e = encoder(name)
+        assert list(e.encode_all(pa.array(texts))) == [e.whole(text or "").tobytes() for text in texts]
+
+
 def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
