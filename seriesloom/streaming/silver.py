@@ -86,10 +86,15 @@ def reply_arrays(raw: DataFrame, tolerant: bool = False) -> DataFrame:
     return raw.select(*variant_fields(REPLY_FIELDS, tolerant=tolerant), *keep)
 
 
-def weather_rows(raw: DataFrame, tolerant: bool = False, fill_missing: bool = False) -> DataFrame:
-    """One row per entity and day of each daily reply."""
+def weather_rows(
+    raw: DataFrame, tolerant: bool = False, fill_missing: bool = False, replies: Observation | None = None
+) -> DataFrame:
+    """One row per entity and day of each daily reply. ``replies`` counts the replies as they pass by."""
     keep = ["location_id", "extracted_at", *([SOURCE] if SOURCE in raw.columns else [])]
-    rows = explode_parallel(reply_arrays(raw, tolerant), ARRAYS, keep, fill_missing)
+    arrays = reply_arrays(raw, tolerant)
+    if replies is not None:
+        arrays = arrays.observe(replies, *reply_counts())
+    rows = explode_parallel(arrays, ARRAYS, keep, fill_missing)
     day = F.try_to_date("date_str", "yyyy-MM-dd") if tolerant else F.to_date("date_str", "yyyy-MM-dd")
     return rows.select(
         "location_id",
@@ -105,15 +110,16 @@ def location_rows(raw: DataFrame, tolerant: bool = False) -> DataFrame:
     return raw.select(*variant_fields(LOCATION_FIELDS, tolerant=tolerant), *keep)
 
 
-def reply_counts(raw: DataFrame) -> list[Column]:
-    """How many replies there are, and how many give no rows because a measure is absent; for an aggregate or an observation."""
-    absent = [field.isNull() for name, field in zip(REPLY_FIELDS, variant_fields(REPLY_FIELDS), strict=True) if name in ARRAYS]
+def reply_counts() -> list[Column]:
+    """How many replies there are, and how many give no rows because a measure is absent; for an aggregate or an observation
+    of the arrays, so that no reply is unpacked twice."""
+    absent = [F.col(name).isNull() for name in ARRAYS]
     return [F.count(F.lit(1)).alias("replies"), F.count_if(reduce(or_, absent)).alias("replies_without_rows")]
 
 
 def reply_metrics(raw: DataFrame) -> DataFrame:
     """The counts of replies, as one row."""
-    return raw.agg(*reply_counts(raw))
+    return reply_arrays(raw).agg(*reply_counts())
 
 
 def with_source(schema: T.StructType) -> T.StructType:
@@ -159,7 +165,7 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
 
 def upsert_stream(
     raw: DataFrame,
-    prepare: Callable[[DataFrame], DataFrame],
+    prepare: Callable[[DataFrame, Observation | None], DataFrame],
     target: VersionedTable,
     keys: Sequence[str],
     sequence: Sequence[str],
@@ -167,12 +173,13 @@ def upsert_stream(
     expected: dict[str, str],
     checkpoint: str,
     on_metrics: OnMetrics | None = None,
-    measure: Callable[[DataFrame], list[Column]] | None = None,
+    measure: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Merge a stream of raw rows into a keyed table: drop bad rows first, then the highest sequence wins.
 
     Because dropping comes first, a newer but incomplete row never replaces an older complete one. The table
-    records the stream's id and batch number, so a batch that is run again is skipped.
+    records the stream's id and batch number, so a batch that is run again is skipped. Counts of raw rows that ``measure``
+    gives as one row, ``prepare`` adds to the observation it is handed.
     """
     spark = raw.sparkSession
 
@@ -183,19 +190,18 @@ def upsert_stream(
         query = query_id(spark, checkpoint)
         # Everything is counted while the merge stores the batch, which it does once.
         replies, rows = Observation(f"replies-{batch_id}"), Observation(f"rows-{batch_id}")
-        seen = batch.observe(replies, *measure(batch)) if on_metrics and measure else batch
-        prepared = prepare(seen)
+        prepared = prepare(batch, replies if on_metrics and measure else None)
         prepared = prepared.observe(rows, *wanted) if on_metrics else prepared
         newest = keep_latest(drop_violations(prepared, required), keys, sequence)
-        merged = target.upsert_latest(newest, keys, sequence, source=(query, batch_id))
+        merged = target.upsert_latest(newest, keys, sequence, source=(query, batch_id), distinct=True)
         if not on_metrics:
             return
         if merged:
             counts = rows.get | (replies.get if measure else {})
         else:
             # The table had the batch already, so nothing was written; its counts may not have been kept.
-            counts = prepare(batch).agg(*wanted).first().asDict()
-            counts |= batch.agg(*measure(batch)).first().asDict() if measure else {}
+            counts = prepare(batch, None).agg(*wanted).first().asDict()
+            counts |= measure(batch).first().asDict() if measure else {}
         on_metrics(query, batch_id, counts)
 
     return (
@@ -224,9 +230,10 @@ def refresh_weather(
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     return upsert_stream(
-        raw_stream(spark, raw_path, max_files_per_trigger), weather_rows, weather_table(spark, path, buckets),
+        raw_stream(spark, raw_path, max_files_per_trigger),
+        lambda batch, replies: weather_rows(batch, False, False, replies), weather_table(spark, path, buckets),
         ("location_id", "weather_date"), ("extracted_at", SOURCE), WEATHER_REQUIRED, WEATHER_EXPECTED, checkpoint,
-        on_metrics, reply_counts,
+        on_metrics, reply_metrics,
     )
 
 
@@ -240,6 +247,7 @@ def refresh_locations(
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     return upsert_stream(
-        raw_stream(spark, raw_path, max_files_per_trigger), location_rows, location_table(spark, path, buckets),
+        raw_stream(spark, raw_path, max_files_per_trigger),
+        lambda batch, replies: location_rows(batch), location_table(spark, path, buckets),
         ("location_id",), ("_file_modified_at", SOURCE), LOCATION_REQUIRED, {}, checkpoint, on_metrics,
     )

@@ -7,6 +7,7 @@ import time
 
 import pytest
 
+from seriesloom.sources import tables
 from seriesloom.streaming import bronze, silver
 from tests.helpers import day, tuples
 
@@ -109,6 +110,49 @@ def test_expectations_are_counted_while_the_batch_is_stored(spark, folder, monke
     assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
 
 
+def test_replies_are_unpacked_once(spark, folder, monkeypatch):
+    """What counts the replies takes the arrays that become rows; a count of raw values would unpack each of them again."""
+    for i, record in enumerate((A, B)):
+        put(f"{folder}/landing", f"{i}", record)
+    seen = []
+    observe = type(spark.range(1)).observe
+    monkeypatch.setattr(type(spark.range(1)), "observe", lambda df, name, *columns: seen.append((df, columns)) or observe(df, name, *columns))
+    metrics = []
+    refresh(spark, folder, metrics)
+    counted = [(df, [str(c) for c in columns]) for df, columns in seen]
+    assert len(counted) == 2 and not any("variant_get" in c for _, columns in counted for c in columns)
+    assert "raw" not in counted[0][0].columns
+    assert (metrics[0]["replies"], metrics[0]["replies_without_rows"], metrics[0]["row_count"]) == (2, 0, 4)
+
+
+def test_a_reply_without_rows_is_counted_in_passing(spark, folder):
+    short = reply(2, "20240110T000000Z", [("2024-01-01", 5.0, 1.0, 3.0, 0.0, 20.0)])
+    del short["payload"]["daily"]["wind_gusts_10m_max"]
+    for i, record in enumerate((A, short)):
+        put(f"{folder}/landing", f"{i}", record)
+    metrics = []
+    refresh(spark, folder, metrics)
+    assert (metrics[0]["replies"], metrics[0]["replies_without_rows"], metrics[0]["row_count"]) == (2, 1, 2)
+
+
+def test_the_first_batch_is_reduced_once(spark, folder, monkeypatch):
+    """An empty table takes a batch with one row per key as it is; later ones meet its rows in an aggregate."""
+    calls = []
+    latest = tables.keep_latest
+    monkeypatch.setattr(tables, "keep_latest", lambda *a: calls.append(1) or latest(*a))
+    for n, (record, aggregates) in enumerate(((B, 0), (A, 1), (C, 2))):
+        put(f"{folder}/landing", f"{n}", record)
+        refresh(spark, folder)
+        assert len(calls) == aggregates
+    assert result(spark, folder) == EXPECTED
+    # Without the promise of one row per key the first batch is reduced too.
+    rows = silver.weather_table(spark, f"{folder}/silver").read()
+    other = silver.weather_table(spark, f"{folder}/other")
+    older = rows.withColumn("extracted_at", rows.extracted_at.substr(1, 4))
+    other.upsert_latest(older.unionByName(rows), ("location_id", "weather_date"), ("extracted_at", silver.SOURCE))
+    assert tuples(other.read().drop(silver.SOURCE), "weather_date") == EXPECTED
+
+
 def test_equal_sequences_are_decided_by_the_source_file(spark, folder):
     first = reply(1, "20240110T000000Z", [("2024-01-01", 5.0, 1.0, 1.0, 0.0, 20.0)])
     second = reply(1, "20240110T000000Z", [("2024-01-01", 5.0, 1.0, 2.0, 0.0, 20.0)])
