@@ -109,7 +109,7 @@ class Encoder:
         self.merges = Tokenizer(self.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # How many characters of a written word each id stands for.
-        suffix, vocabulary = self.model.end_of_word_suffix or "", self.library.get_vocab(with_added_tokens=False)
+        suffix, vocabulary = getattr(self.model, "end_of_word_suffix", None) or "", self.library.get_vocab(with_added_tokens=False)
         self.spans = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for entry, k in vocabulary.items():
             self.spans[k] = len(entry.removesuffix(suffix))
